@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splicelake.schemas import stored_schema
+from splicelake.sources.lines import line_order
 
 
 def sniff_headers(spark: SparkSession, path: str, prefixes: Sequence[str]) -> DataFrame:
@@ -19,7 +20,7 @@ def sniff_headers(spark: SparkSession, path: str, prefixes: Sequence[str]) -> Da
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_row"),
+        line_order().alias("_row"),
         F.ltrim("value").alias("value"),
     )
     first = lines.filter("_at = 0").groupBy("file").agg(F.min_by("value", "_row").alias("first_line"))

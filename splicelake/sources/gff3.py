@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splicelake.sources.lines import line_order
+
 GFF_SCHEMA = (
     "seqid STRING, source STRING, type STRING, start BIGINT, end BIGINT, score STRING, strand STRING, "
     "phase STRING, attributes STRING"
@@ -14,8 +16,7 @@ GFF_SCHEMA = (
 def read_gff3(spark: SparkSession, path: str) -> DataFrame:
     """One row per feature line: the nine columns, ``attrs`` (percent-decoded later, per use) and ``ord``.
 
-    ``ord`` is (file, block start, row number in the split), so 'first' and
-    'last' follow the order of lines in a file.
+    'First' and 'last' in the readers built on this follow ``ord``, the order of lines.
     """
     raw = (
         spark.read.schema(GFF_SCHEMA)
@@ -25,10 +26,7 @@ def read_gff3(spark: SparkSession, path: str) -> DataFrame:
         .csv(path)
         .select(
             "*",
-            F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("ord"),
+            line_order().alias("ord"),
         )
     )
     return raw.withColumn("attrs", F.str_to_map("attributes", F.lit(";"), F.lit("="))).drop("attributes")

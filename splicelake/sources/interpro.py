@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splicelake.sources.lines import line_order
+
 # Spelling of member accessions per source.
 MEMBER_SPELLING = {"smart": r"^sm(?=\d)", "pfam": r"^pf(?=\d)"}
 MEMBER_SOURCES = ("pfam", "smart", "cdd", "tigrfams")
@@ -154,7 +156,7 @@ def read_uniprot_idmap(spark: SparkSession, path: str, columns: int = 22) -> Dat
     schema = ", ".join(f"c{i} STRING" for i in range(columns))
     raw = spark.read.schema(schema).option("sep", "\t").option("quote", "\u0000").option("nullValue", "\u0000").option("emptyValue", "").csv(path)
     return raw.select(
-        F.monotonically_increasing_id().alias("ord"),
+        line_order().alias("ord"),
         F.col("c0").alias("accession"),
         F.coalesce("c3", F.lit("")).alias("refseq_id"),
         F.coalesce("c19", F.lit("")).alias("enst_id"),

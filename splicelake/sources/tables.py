@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splicelake.schemas import SPECIES
+from splicelake.sources.lines import line_order
 
 # The sources with a domain table and the accession spellings they use.
 DOMAIN_SOURCES = ("pfam", "smart", "cdd", "tigrfams", "interpro")
@@ -89,7 +90,7 @@ def read_id_crosswalk(spark: SparkSession, path: str) -> DataFrame:
         .option("sep", "\t")
         .option("comment", "#")
         .csv(path)
-        .withColumn("ord", F.monotonically_increasing_id())
+        .withColumn("ord", line_order())
     )
 
 
@@ -153,7 +154,7 @@ def latest_assembly(summary: DataFrame, staged: DataFrame | None = None) -> Data
 
 
 def read_assembly_summary(spark: SparkSession, path: str, species: str) -> DataFrame:
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
+    lines = spark.read.text(path).withColumn("ord", line_order())
     cols = F.split("value", "\t")
     return lines.filter(~F.col("value").startswith("#") & (F.size(cols) > 19)).select(
         F.lit(species).alias("species"),
@@ -174,7 +175,7 @@ GENEPRED = (
 def read_genepred(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.schema(GENEPRED).option("sep", "\t").option("comment", "#").csv(path)
-        .withColumn("ord", F.monotonically_increasing_id())
+        .withColumn("ord", line_order())
     )
 
 
