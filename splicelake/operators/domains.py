@@ -321,13 +321,13 @@ def close_groups(domains: DataFrame) -> DataFrame:
         lo, hi = s["aa_start"], -s["neg_end"]
         joint = (F.greatest(acc["hi"], hi) - F.least(acc["lo"], lo)).cast("double")
         shared = (F.least(acc["hi"], hi) - F.greatest(acc["lo"], lo)).cast("double")
-        joins = F.coalesce(
+        # least and greatest skip nulls, so the empty start state needs its own test.
+        joins = acc["lo"].isNotNull() & (
             ((lo >= acc["lo"]) & (hi <= acc["hi"]))
             | ((lo <= acc["lo"]) & (hi >= acc["hi"]))
-            | ((joint > 0) & (shared >= joint * F.lit(0.5))),
-            F.lit(False),
+            | ((joint > 0) & (shared >= joint * F.lit(0.5)))
         )
-        head = F.when(joins, F.element_at(acc["starts"], -1)).otherwise(F.size(acc["starts"]).cast("bigint"))
+        head = F.when(joins, F.try_element_at(acc["starts"], F.lit(-1))).otherwise(F.size(acc["starts"]).cast("bigint"))
         return F.struct(
             F.when(joins, F.least(acc["lo"], lo)).otherwise(lo).alias("lo"),
             F.when(joins, F.greatest(acc["hi"], hi)).otherwise(hi).alias("hi"),

@@ -1,6 +1,9 @@
 """All registered queries."""
 
 from splicelake.plans import (  # noqa: F401
+    queries_domains,
     queries_exons,
+    queries_ids,
+    queries_stats,
 )
 from splicelake.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -65,8 +65,8 @@ CTES: dict[str, str] = {
         WHERE refseq_prot IS NOT NULL GROUP BY 1""",
     "t2g": """SELECT id, arg_max_null(other, ord) AS other FROM (SELECT refseq_tx AS id, gene_id AS other, ord FROM crosswalk
         UNION ALL SELECT ens_tx, ens_gene, ord FROM crosswalk) WHERE id IS NOT NULL GROUP BY id""",
-    "idnov": """SELECT split_part(f, '.', 1) AS id, arg_max(f, ord * 10 + at) AS other FROM (
-        SELECT gene_id AS f, ord, 0 AS at FROM crosswalk UNION ALL SELECT ens_gene, ord, 1 FROM crosswalk
+    "idnov": """SELECT split_part(f, '.', 1) AS id, arg_max(f, ord * 10 + place) AS other FROM (
+        SELECT gene_id AS f, ord, 0 AS place FROM crosswalk UNION ALL SELECT ens_gene, ord, 1 FROM crosswalk
         UNION ALL SELECT refseq_tx, ord, 2 FROM crosswalk UNION ALL SELECT ens_tx, ord, 3 FROM crosswalk
         UNION ALL SELECT refseq_prot, ord, 4 FROM crosswalk UNION ALL SELECT ens_prot, ord, 5 FROM crosswalk)
         WHERE f IS NOT NULL GROUP BY 1""",

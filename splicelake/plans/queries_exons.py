@@ -138,11 +138,11 @@ def strand_mirror(t: Tables) -> DataFrame:
     "first_long_gap",
     """WITH u AS (SELECT DISTINCT gene_key, genomic_start_tx AS s, genomic_end_tx AS e FROM exons),
        w AS (SELECT *, max(e) OVER (PARTITION BY gene_key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM u)
-       SELECT gene_key, min(p) AS gap_start, arg_min(s - p, p) AS gap_length FROM w WHERE s > p + 250 GROUP BY gene_key""",
+       SELECT gene_key, min(p) AS gap_start, arg_min(s - p, p) AS gap_length FROM w WHERE s > p + 100 GROUP BY gene_key""",
 )
 def first_long_gap(t: Tables) -> DataFrame:
-    """Genes here are compact, so the gap threshold is 250 bases."""
-    return ex.first_long_gap(t.exons, threshold=250)
+    """Genes here are compact, so the gap threshold is 100 bases."""
+    return ex.first_long_gap(t.exons, threshold=100)
 
 
 @query(

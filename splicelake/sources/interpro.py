@@ -45,10 +45,12 @@ def entry_index(entries: DataFrame) -> DataFrame:
 
 def entry_columns(index: DataFrame) -> DataFrame:
     """One row per entry with a sorted accession list per source."""
-    return (
-        index.groupBy("accession", "entry_type")
-        .pivot("source", ["interpro", *MEMBER_SOURCES])
-        .agg(F.array_join(F.array_sort(F.collect_set("ext_id")), "; "))
+    sources = ["interpro", *MEMBER_SOURCES]
+    lists = index.groupBy("accession", "entry_type").agg(
+        *[F.array_sort(F.collect_set(F.when(F.col("source") == s, F.col("ext_id")))).alias(s) for s in sources]
+    )
+    return lists.select(
+        "accession", "entry_type", *[F.nullif(F.array_join(s, "; "), F.lit("")).alias(s) for s in sources]
     )
 
 
