@@ -44,10 +44,11 @@ def collapse_orthology(pairs: DataFrame) -> DataFrame:
 def ortholog_wide(pairs: DataFrame, species: list[str]) -> DataFrame:
     """One row per gene with the symbols of its orthologs, one column per species."""
     flipped = both_directions(pairs)
-    return (
-        flipped.groupBy("ensembl_id", "species")
-        .pivot("other_species", species)
-        .agg(F.array_join(F.array_sort(F.collect_set("other_symbol")), text.SEP))
+    lists = flipped.groupBy("ensembl_id", "species").agg(
+        *[F.array_sort(F.collect_set(F.when(F.col("other_species") == s, F.col("other_symbol")))).alias(s) for s in species]
+    )
+    return lists.select(
+        "ensembl_id", "species", *[F.nullif(F.array_join(s, text.SEP), F.lit("")).alias(s) for s in species]
     )
 
 

@@ -18,6 +18,7 @@ from splicelake.functions import text
 from splicelake.operators import crosswalk as xw
 from splicelake.operators.joins import dedupe_transcripts
 from splicelake.operators.ordered import first_per_key
+from splicelake.session import staged
 
 COLUMNS = [
     "seq",
@@ -108,7 +109,7 @@ def reconcile_transcripts(
     separated one and ``leftover`` for Ensembl transcripts nobody claimed.
     ``exon_source`` names the source whose exons the row takes.
     """
-    pairs = pair_transcripts(refseq, ensembl, rows, trans2pro)
+    pairs = staged(pair_transcripts(refseq, ensembl, rows, trans2pro))
     e = ensembl.select(
         F.col("ord").alias("_e_ord"),
         F.col("transcript_ensembl_id").alias("_e_tx"),
@@ -173,7 +174,9 @@ def reconcile_transcripts(
         "canonical", F.col("canonical").bitwiseOR(F.coalesce("_rc", F.lit(0)))
     ).drop("_rc")
 
-    everything = ref_part.select(*COLUMNS).unionByName(apart.select(*COLUMNS)).unionByName(left.select(*COLUMNS))
+    everything = staged(
+        ref_part.select(*COLUMNS).unionByName(apart.select(*COLUMNS)).unionByName(left.select(*COLUMNS))
+    )
     unique = dedupe_transcripts(everything, "seq")
     return repoint_genes(unique, first_pairing_wins(everything, "gene_ensembl_id", "gene_geneid_id", "seq"))
 

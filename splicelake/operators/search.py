@@ -72,9 +72,9 @@ def _exact_hits(terms: DataFrame, genes: DataFrame, transcripts: DataFrame) -> D
     """All hits of the three exact tiers.
 
     The third tier compares ids without version as a literal prefix: a term
-    matches an id that starts with it. Prefixes of stored ids are looked up by
-    equality of the version-less id and, for shorter terms, by every cut length
-    the terms really have.
+    matches an id that starts with it. Stored ids are cut to every length the
+    terms have, which makes it an equi join; the lengths are the only values that
+    reach the driver, and there are no more of them than characters in an id.
     """
     asked = terms.select("term", F.upper("term").alias("key")).distinct()
     tier1 = asked.join(_gene_keys(genes), "key").select("term", F.lit(1).alias("tier"), "gene_key", "specie")
@@ -83,15 +83,12 @@ def _exact_hits(terms: DataFrame, genes: DataFrame, transcripts: DataFrame) -> D
     )
     bare = asked.select("term", F.substring_index("key", VERSION_CUT, 1).alias("key")).filter("key <> ''")
     stored = _transcript_keys(transcripts, bare=False).withColumnRenamed("key", "full")
-    lengths = bare.select(F.length("key").alias("n")).distinct()
-    cuts = lengths.agg(F.array_sort(F.collect_set("n"))).scalar()
-    prefixes = stored.select(
-        F.explode(
-            F.transform(F.filter(cuts, lambda n: n <= F.length("full")), lambda n: F.substring(F.col("full"), F.lit(1), n))
-        ).alias("key"),
-        "_t_geneid",
-        "_t_ensembl",
-    ).distinct()
+    lengths = sorted(r[0] for r in bare.select(F.length("key")).distinct().collect())
+    sizes = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+    cuts = F.transform(
+        F.filter(sizes, lambda n: n <= F.length("full")), lambda n: F.substring(F.col("full"), F.lit(1), n)
+    )
+    prefixes = stored.select(F.explode(cuts).alias("key"), "_t_geneid", "_t_ensembl").distinct()
     tier3 = bare.join(prefixes, "key").select("term", F.lit(3).alias("tier"), "_t_geneid", "_t_ensembl")
     by_transcript = _genes_of(tier2.unionByName(tier3), genes)
     return tier1.unionByName(by_transcript)

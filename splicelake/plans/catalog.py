@@ -4,6 +4,8 @@ from splicelake.plans import (  # noqa: F401
     queries_domains,
     queries_exons,
     queries_ids,
+    queries_search,
+    queries_similarity,
     queries_stats,
 )
 from splicelake.plans.registry import ORACLE, QUERIES  # noqa: F401
