@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splicelake.functions.ids import dash_to_null, strip_version
+from splicelake.session import staged
 
 ID_COLUMNS = ("gene_id", "ens_gene", "refseq_tx", "ens_tx", "refseq_prot", "ens_prot")
 
@@ -53,39 +54,12 @@ def protein_map(rows: DataFrame) -> DataFrame:
     return _pairs(rows, "refseq_prot", "ens_prot").groupBy("id").agg(F.max_by("other", "ord").alias("other"))
 
 
-def _directed(rows: DataFrame, a: str, b: str) -> DataFrame:
-    return (
-        rows.select(F.col(a).alias("id"), F.col(b).alias("other"), "ord")
-        .filter("id IS NOT NULL")
-        .groupBy("id")
-        .agg(F.max_by("other", "ord").alias("other"))
-    )
-
-
-def transcript_to_protein(rows: DataFrame) -> DataFrame:
-    return _directed(rows, "refseq_tx", "refseq_prot")
-
-
-def protein_to_transcript(rows: DataFrame) -> DataFrame:
-    return _directed(rows, "refseq_prot", "refseq_tx")
-
-
-def transcript_to_gene(rows: DataFrame) -> DataFrame:
-    """Each transcript's gene in its own source."""
-    both = [
-        rows.select(F.col(t).alias("id"), F.col(g).alias("other"), "ord").filter("id IS NOT NULL")
-        for t, g in (("refseq_tx", "gene_id"), ("ens_tx", "ens_gene"))
-    ]
-    return both[0].unionByName(both[1]).groupBy("id").agg(F.max_by("other", "ord").alias("other"))
-
-
 def versionless(rows: DataFrame) -> DataFrame:
     """Id without version to the last full id seen for it."""
-    stacked = rows.select(
-        "ord", F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(c).alias("full")) for i, c in enumerate(ID_COLUMNS)])).alias("e")
-    ).filter("e.full IS NOT NULL")
-    return stacked.groupBy(strip_version(F.col("e.full")).alias("id")).agg(
-        F.max_by("e.full", F.struct("ord", "e.at")).alias("other")
+    columns = F.array(*[F.struct(F.lit(i).alias("place"), F.col(c).alias("full")) for i, c in enumerate(ID_COLUMNS)])
+    stacked = rows.select("ord", F.inline(columns)).filter("full IS NOT NULL")
+    return stacked.groupBy(strip_version(F.col("full")).alias("id")).agg(
+        F.max_by("full", F.struct("ord", "place")).alias("other")
     )
 
 
@@ -95,42 +69,91 @@ def look_up(df: DataFrame, key: str, table: DataFrame, out: str) -> DataFrame:
     return df.join(renamed, F.col(key) == F.col(f"_{out}_id"), "left").drop(f"_{out}_id")
 
 
-def gene_of_transcript(df: DataFrame, key: str, rows: DataFrame, out: str) -> DataFrame:
-    """Gene by exact transcript id, else by the full id behind its version-less form."""
-    genes = transcript_to_gene(rows)
-    found = look_up(df, key, genes, "_exact").withColumn("_bare", strip_version(F.col(key)))
-    found = look_up(found, "_bare", versionless(rows), "_full")
-    found = look_up(found, "_full", genes, "_loose")
-    return found.withColumn(out, F.coalesce("_exact", "_loose")).drop("_exact", "_bare", "_full", "_loose")
+def crosswalk_facts(rows: DataFrame) -> DataFrame:
+    """Everything the crosswalk knows about an id, one row per id, computed once.
 
-
-def transcript_protein_lookup(df: DataFrame, key: str, rows: DataFrame, out: str) -> DataFrame:
-    """Protein of a transcript or transcript of a protein.
-
-    In order: own pairing, reverse pairing, through the other source's
-    transcript, through the other source's protein. The first table that knows
-    the id decides, even when its answer is null.
+    Columns: ``id``; ``gene_other``, ``tx_other``, ``prot_other`` (the same thing
+    in the other source); ``gene`` of a transcript; ``loose_gene`` of an id
+    without version; ``answer``, the protein of a transcript or transcript of a
+    protein. The answer comes from the first of these that knows the id, even when
+    it is null: own pairing, reverse pairing, the other source's transcript, the
+    other source's protein.
     """
-    t2p, p2t = transcript_to_protein(rows), protein_to_transcript(rows)
-    tmap, pmap = transcript_map(rows), protein_map(rows)
-    known = lambda t: t.withColumn("other", F.struct(F.col("other").alias("v")))
-    x = look_up(df, key, known(t2p), "_s1")
-    x = look_up(x, key, known(p2t), "_s2")
-    x = look_up(x, key, tmap, "_t")
-    x = look_up(x, "_t", known(t2p), "_tp")
-    x = look_up(x.withColumn("_tp_id", F.col("_tp.v")), "_tp_id", pmap, "_s3")
-    x = look_up(x, key, pmap, "_p")
-    x = look_up(x, "_p", known(p2t), "_pt")
-    x = look_up(x.withColumn("_pt_id", F.col("_pt.v")), "_pt_id", tmap, "_s4")
-    answer = (
-        F.when(F.col("_s1").isNotNull(), F.col("_s1.v"))
-        .when(F.col("_s2").isNotNull(), F.col("_s2.v"))
-        .when(F.col("_tp").isNotNull(), F.col("_s3"))
-        .when(F.col("_pt").isNotNull(), F.col("_s4"))
+    def last(id_column: str, **values: str) -> DataFrame:
+        """Last crosswalk row of every id in one column."""
+        fields = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
+        return (
+            rows.filter(F.col(id_column).isNotNull())
+            .groupBy(F.col(id_column).alias("id"))
+            .agg(F.max_by(fields, "ord").alias("v"))
+            .select("id", "v.*")
+        )
+
+    def padded(df: DataFrame, **columns: str | None) -> DataFrame:
+        return df.select(
+            "id", *[(F.lit(None).cast("string") if c is None else F.col(c)).alias(n) for n, c in columns.items()]
+        )
+
+    ref_tx = staged(last("refseq_tx", other="ens_tx", mate="refseq_prot", gene="gene_id"))
+    ens_tx = staged(last("ens_tx", other="refseq_tx", gene="ens_gene"))
+    ref_prot = staged(last("refseq_prot", other="ens_prot", mate="refseq_tx"))
+    ens_prot = staged(last("ens_prot", other="refseq_prot"))
+
+    def via(df: DataFrame, mates: DataFrame, back: DataFrame) -> DataFrame:
+        """Add ``answer`` through the other source: its mate there, brought back over the id pairing."""
+        mate = mates.select(F.col("id").alias("other"), F.col("mate").alias("_mate"))
+        home = back.select(F.col("id").alias("_mate"), F.col("other").alias("answer"))
+        return df.join(mate, "other", "left").join(home, "_mate", "left")
+
+    tx_facts = padded(
+        ref_tx, gene_other=None, tx_other="other", prot_other=None, gene="gene", answer="mate"
+    ).unionByName(
+        padded(
+            via(ens_tx, ref_tx, ref_prot), gene_other=None, tx_other="other", prot_other=None, gene="gene", answer="answer"
+        )
+    )
+    prot_facts = padded(
+        ref_prot, gene_other=None, tx_other=None, prot_other="other", gene=None, answer="mate"
+    ).unionByName(
+        padded(
+            via(ens_prot, ref_prot, ref_tx), gene_other=None, tx_other=None, prot_other="other", gene=None, answer="answer"
+        )
     )
-    return x.withColumn(out, answer).drop(
-        "_s1", "_s2", "_t", "_tp", "_tp_id", "_s3", "_p", "_pt", "_pt_id", "_s4"
+    gene_facts = padded(
+        gene_map(rows), gene_other="other", tx_other=None, prot_other=None, gene=None, answer=None
     )
+    exact = tx_facts.unionByName(prot_facts).unionByName(gene_facts)
+
+    # Version-less ids lead to the last full id seen, and that to its gene.
+    genes = ref_tx.select("id", "gene").unionByName(ens_tx.select("id", "gene"))
+    full = versionless(rows).select(F.col("other").alias("_full"), F.col("id").alias("bare"))
+    loose = full.join(genes.withColumnRenamed("id", "_full"), "_full").select(
+        F.col("bare").alias("id"), F.col("gene").alias("loose_gene")
+    )
+    return staged(
+        exact.withColumn("is_tx", F.col("tx_other").isNotNull() | F.col("gene").isNotNull()).unionByName(
+            loose, allowMissingColumns=True
+        )
+    )
+
+
+def _ask(df: DataFrame, key: str, facts: DataFrame, **columns: str) -> DataFrame:
+    """Left join of ``df.key`` to the facts; ``columns`` maps new names to fact columns."""
+    needed = facts.select(F.col("id").alias(key), *[F.col(c).alias(n) for n, c in columns.items()])
+    useful = " OR ".join(f"{n} IS NOT NULL" for n in columns)
+    return df.join(needed.filter(useful), key, "left")
+
+
+def gene_of_transcript(df: DataFrame, key: str, facts: DataFrame, out: str) -> DataFrame:
+    """Gene by exact transcript id, else by the full id behind its version-less form."""
+    found = _ask(df, key, facts, _exact="gene").withColumn("_bare", strip_version(F.col(key)))
+    found = _ask(found, "_bare", facts, _loose="loose_gene")
+    return found.withColumn(out, F.coalesce("_exact", "_loose")).drop("_exact", "_bare", "_loose")
+
+
+def transcript_protein_lookup(df: DataFrame, key: str, facts: DataFrame, out: str) -> DataFrame:
+    """Protein of a transcript or transcript of a protein; see ``crosswalk_facts``."""
+    return _ask(df, key, facts, **{out: "answer"})
 
 
 TRANSCRIPT_IDS = (
@@ -143,37 +166,41 @@ TRANSCRIPT_IDS = (
 )
 
 
-def fill_missing_ids(transcripts: DataFrame, rows: DataFrame) -> DataFrame:
+def fill_missing_ids(transcripts: DataFrame, facts: DataFrame) -> DataFrame:
     """Fill null ids of transcripts, from the RefSeq side when it has an id, else the Ensembl side.
 
     A mitochondrial Ensembl transcript without a RefSeq partner takes the
     placeholder ``mito-<GeneID>`` when the crosswalk knows it.
     """
-    refseq = transcripts.filter("transcript_refseq_id IS NOT NULL")
-    ensembl = transcripts.filter("transcript_refseq_id IS NULL AND transcript_ensembl_id IS NOT NULL")
+    ids = set(TRANSCRIPT_IDS)
+
+    def fill(df: DataFrame, own: str, other: str) -> DataFrame:
+        """``own`` and ``other`` name the source whose id leads and the one that follows."""
+        tx, gene, prot = (f"{k}_{own}_id" for k in ("transcript", "gene", "protein"))
+        tx2, gene2, prot2 = (f"{k}_{other}_id" for k in ("transcript", "gene", "protein"))
+        gene, gene2 = (g.replace("gene_refseq", "gene_geneid") for g in (gene, gene2))
+        assert {tx, gene, prot, tx2, gene2, prot2} == ids
+        x = _ask(df, tx, facts, _tx="tx_other", _gene="gene", _prot="answer").withColumn("_bare", strip_version(F.col(tx)))
+        x = _ask(x, "_bare", facts, _loose="loose_gene")
+        x = x.withColumns({gene: F.coalesce(gene, "_gene", "_loose"), prot: F.coalesce(prot, "_prot"), tx2: F.coalesce(tx2, "_tx")})
+        x = _ask(x, gene, facts, _gene2="gene_other")
+        x = _ask(x, prot, facts, _prot2="prot_other")
+        x = x.withColumns({gene2: F.coalesce(gene2, "_gene2"), prot2: F.coalesce(prot2, "_prot2")})
+        return x.select(*transcripts.columns)
+
+    refseq = fill(transcripts.filter("transcript_refseq_id IS NOT NULL"), "refseq", "ensembl")
+    ensembl = fill(
+        transcripts.filter("transcript_refseq_id IS NULL AND transcript_ensembl_id IS NOT NULL"), "ensembl", "refseq"
+    )
     neither = transcripts.filter("transcript_refseq_id IS NULL AND transcript_ensembl_id IS NULL")
-
-    def fill(df: DataFrame, column: str, value: str) -> DataFrame:
-        return df.withColumn(column, F.coalesce(column, value)).drop(value)
-
-    r = fill(look_up(refseq, "transcript_refseq_id", transcript_map(rows), "_v"), "transcript_ensembl_id", "_v")
-    r = fill(gene_of_transcript(r, "transcript_refseq_id", rows, "_v"), "gene_geneid_id", "_v")
-    r = fill(look_up(r, "gene_geneid_id", gene_map(rows), "_v"), "gene_ensembl_id", "_v")
-    r = fill(transcript_protein_lookup(r, "transcript_refseq_id", rows, "_v"), "protein_refseq_id", "_v")
-    r = fill(look_up(r, "protein_refseq_id", protein_map(rows), "_v"), "protein_ensembl_id", "_v")
-
-    e = fill(look_up(ensembl, "transcript_ensembl_id", transcript_map(rows), "_v"), "transcript_refseq_id", "_v")
-    e = fill(gene_of_transcript(e, "transcript_ensembl_id", rows, "_v"), "gene_ensembl_id", "_v")
-    e = fill(look_up(e, "gene_ensembl_id", gene_map(rows), "_v"), "gene_geneid_id", "_v")
     if "chromosome" in transcripts.columns:
-        e = e.withColumn("_mito", F.concat(F.lit("mito-"), "gene_geneid_id"))
-        e = look_up(e, "_mito", transcript_map(rows).withColumn("other", F.lit(True)), "_known")
+        named = ensembl.withColumn("_mito", F.concat(F.lit("mito-"), "gene_geneid_id"))
+        named = named.join(facts.filter("is_tx").select(F.col("id").alias("_mito"), F.lit(True).alias("_known")), "_mito", "left")
         use = F.col("transcript_refseq_id").isNull() & (F.col("chromosome") == "MT") & F.col("_known")
-        e = e.withColumn("transcript_refseq_id", F.when(use, F.col("_mito")).otherwise(F.col("transcript_refseq_id")))
-        e = e.drop("_mito", "_known")
-    e = fill(transcript_protein_lookup(e, "transcript_ensembl_id", rows, "_v"), "protein_ensembl_id", "_v")
-    e = fill(look_up(e, "protein_ensembl_id", protein_map(rows), "_v"), "protein_refseq_id", "_v")
-    return r.unionByName(e).unionByName(neither).select(*transcripts.columns)
+        ensembl = named.withColumn(
+            "transcript_refseq_id", F.when(use, F.col("_mito")).otherwise(F.col("transcript_refseq_id"))
+        ).select(*transcripts.columns)
+    return refseq.unionByName(ensembl).unionByName(neither)
 
 
 def fill_missing_proteins(proteins: DataFrame, rows: DataFrame) -> DataFrame:

@@ -109,6 +109,7 @@ def reconcile_transcripts(
     separated one and ``leftover`` for Ensembl transcripts nobody claimed.
     ``exon_source`` names the source whose exons the row takes.
     """
+    facts = xw.crosswalk_facts(rows)
     pairs = staged(pair_transcripts(refseq, ensembl, rows, trans2pro))
     e = ensembl.select(
         F.col("ord").alias("_e_ord"),
@@ -133,7 +134,7 @@ def reconcile_transcripts(
     )
     filled = from_refseq.filter("action IN ('merge', 'fill')")
     ref_part = from_refseq.filter("action NOT IN ('merge', 'fill')").unionByName(
-        xw.fill_missing_ids(filled, rows)
+        xw.fill_missing_ids(filled, facts)
     )
 
     apart = partnered.filter((F.col("action") == "separate") & F.col("_e_tx").isNotNull()).select(
@@ -168,7 +169,7 @@ def reconcile_transcripts(
         F.col("_e_canonical").alias("canonical"),
         F.lit("ensembl").alias("exon_source"),
     )
-    left = xw.fill_missing_ids(left, rows)
+    left = xw.fill_missing_ids(left, facts)
     ref_canonical = refseq.groupBy(F.col("transcript_refseq_id").alias("id")).agg(F.max("canonical").alias("other"))
     left = xw.look_up(left, "transcript_refseq_id", ref_canonical, "_rc").withColumn(
         "canonical", F.col("canonical").bitwiseOR(F.coalesce("_rc", F.lit(0)))

@@ -30,20 +30,15 @@ def _gene_keys(genes: DataFrame) -> DataFrame:
     return keyed.filter("key IS NOT NULL")
 
 
-def _transcript_keys(transcripts: DataFrame, *, bare: bool) -> DataFrame:
+def _transcript_keys(transcripts: DataFrame) -> DataFrame:
     """(key, gene ids) for the four transcript and protein ids."""
-    def shaped(c: str):
-        up = F.upper(F.col(c))
-        return ids.strip_version(up) if bare else up
-
     return (
         transcripts.select(
-            F.explode(F.array_distinct(F.array(*[shaped(c) for c in TRANSCRIPT_ID_COLUMNS]))).alias("key"),
+            F.explode(F.array_distinct(F.array(*[F.upper(c) for c in TRANSCRIPT_ID_COLUMNS]))).alias("key"),
             F.col("gene_geneid_id").alias("_t_geneid"),
             F.col("gene_ensembl_id").alias("_t_ensembl"),
         )
         .filter("key IS NOT NULL")
-        .distinct()
     )
 
 
@@ -78,19 +73,19 @@ def _exact_hits(terms: DataFrame, genes: DataFrame, transcripts: DataFrame) -> D
     """
     asked = terms.select("term", F.upper("term").alias("key")).distinct()
     tier1 = asked.join(_gene_keys(genes), "key").select("term", F.lit(1).alias("tier"), "gene_key", "specie")
-    tier2 = asked.join(_transcript_keys(transcripts, bare=False), "key").select(
+    tier2 = asked.join(_transcript_keys(transcripts), "key").select(
         "term", F.lit(2).alias("tier"), "_t_geneid", "_t_ensembl"
     )
     bare = asked.select("term", F.substring_index("key", VERSION_CUT, 1).alias("key")).filter("key <> ''")
-    stored = _transcript_keys(transcripts, bare=False).withColumnRenamed("key", "full")
+    stored = _transcript_keys(transcripts).withColumnRenamed("key", "full")
     lengths = sorted(r[0] for r in bare.select(F.length("key")).distinct().collect())
     sizes = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
     cuts = F.transform(
         F.filter(sizes, lambda n: n <= F.length("full")), lambda n: F.substring(F.col("full"), F.lit(1), n)
     )
-    prefixes = stored.select(F.explode(cuts).alias("key"), "_t_geneid", "_t_ensembl").distinct()
+    prefixes = stored.select(F.explode(cuts).alias("key"), "_t_geneid", "_t_ensembl")
     tier3 = bare.join(prefixes, "key").select("term", F.lit(3).alias("tier"), "_t_geneid", "_t_ensembl")
-    by_transcript = _genes_of(tier2.unionByName(tier3), genes)
+    by_transcript = _genes_of(tier2.unionByName(tier3).distinct(), genes)
     return tier1.unionByName(by_transcript)
 
 

@@ -6,6 +6,7 @@ from splicelake.plans import (  # noqa: F401
     queries_ids,
     queries_search,
     queries_similarity,
+    queries_sources,
     queries_stats,
 )
 from splicelake.plans.registry import ORACLE, QUERIES  # noqa: F401

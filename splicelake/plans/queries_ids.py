@@ -56,7 +56,7 @@ CASCADE = """CASE WHEN s1.id IS NOT NULL THEN s1.other WHEN s2.id IS NOT NULL TH
 def lookup_cascade(t: Tables) -> DataFrame:
     columns = ["transcript_refseq_id", "transcript_ensembl_id", "protein_refseq_id", "protein_ensembl_id"]
     ids = t.transcripts.select(F.explode(F.array(*columns)).alias("id")).filter("id IS NOT NULL").distinct()
-    return xw.transcript_protein_lookup(ids, "id", _crosswalk(t), "answer")
+    return xw.transcript_protein_lookup(ids, "id", xw.crosswalk_facts(_crosswalk(t)), "answer")
 
 
 @query(
@@ -73,7 +73,7 @@ def gene_of_transcript(t: Tables) -> DataFrame:
             ".", F.substring_index("transcript_ensembl_id", ".", 1), (F.col("tx_key") % 2 + 1).cast("string")
         ).alias("asked"),
     )
-    return xw.gene_of_transcript(asked, "asked", _crosswalk(t), "gene")
+    return xw.gene_of_transcript(asked, "asked", xw.crosswalk_facts(_crosswalk(t)), "gene")
 
 
 BROKEN = {
@@ -122,7 +122,7 @@ def _filled_sql(source: str, key: str) -> str:
 @query("fill_missing_ids", f"WITH broken AS ({BROKEN_SQL}), {_filled_sql('broken', 'tx_key')} SELECT * FROM broken_filled")
 def fill_missing_ids(t: Tables) -> DataFrame:
     broken = t.transcripts.selectExpr("tx_key", *[f"{e} AS {n}" for n, e in BROKEN.items()])
-    return xw.fill_missing_ids(broken, _crosswalk(t))
+    return xw.fill_missing_ids(broken, xw.crosswalk_facts(_crosswalk(t)))
 
 
 @query(

@@ -103,14 +103,25 @@ MATCH_XML = (
     "_id STRING, match ARRAY<STRUCT<_id: STRING, _name: STRING, ipr: STRUCT<_id: STRING, _name: STRING>, "
     "lcn: ARRAY<STRUCT<_start: BIGINT, _end: BIGINT, _score: DOUBLE, _representative: STRING>>>>"
 )
+XML_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
 
 
-def read_interpro_matches(spark: SparkSession, path: str) -> DataFrame:
-    """Representative locations of all proteins: id, domain, span and score.
+def _xml_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """One row (``xml``) per element of this name.
 
-    A gzip file is one split, so the rows are spread before they are used.
+    Files are cut at the closing tags, so a plain file is read by many tasks. A
+    gzip file is one split; its records are spread before they are parsed.
     """
-    proteins = spark.read.format("xml").option("rowTag", "protein").schema(MATCH_XML).load(path)
+    raw = spark.read.option("lineSep", f"</{tag}>").text(path)
+    if path.endswith(".gz"):
+        raw = raw.repartition(F.xxhash64("value"))
+    body = F.regexp_extract("value", rf"(?s)(<{tag}[\s>].*)$", 1)
+    return raw.select(body.alias("body")).filter("body <> ''").select(F.concat("body", F.lit(f"</{tag}>")).alias("xml"))
+
+
+def read_interpro_matches(spark: SparkSession, path: str) -> DataFrame:
+    """Representative locations of all proteins: id, domain, span and score."""
+    proteins = _xml_records(spark, path, "protein").select(F.from_xml("xml", MATCH_XML).alias("p")).select("p.*")
     matches = proteins.select(F.col("_id").alias("protein_interpro_id"), F.explode("match").alias("m"))
     located = matches.select(
         "protein_interpro_id",
@@ -142,11 +153,20 @@ def attach_entry_meta(domains: DataFrame, entries: DataFrame) -> DataFrame:
 
 def read_interpro_descriptions(spark: SparkSession, path: str) -> DataFrame:
     """(accession, type, description) with markup removed and white space collapsed."""
-    schema = "_id STRING, _type STRING, abstract STRING"
-    rows = spark.read.format("xml").option("rowTag", "interpro").schema(schema).load(path)
-    flat = F.trim(F.regexp_replace(F.regexp_replace("abstract", r"<[^>]+>", " "), r"\s+", " "))
-    return rows.filter("_id IS NOT NULL").select(
-        F.col("_id").alias("accession"), F.col("_type").alias("type"), F.nullif(flat, F.lit("")).alias("description")
+    head = F.regexp_extract("xml", r"(?s)^(<interpro[^>]*>)", 1)
+    body = F.regexp_extract("xml", r"(?s)<abstract[^>]*>(.*?)</abstract>", 1)
+    flat = F.regexp_replace(body, r"<[^>]+>", " ")
+    for entity, char in XML_ENTITIES.items():
+        flat = F.replace(flat, F.lit(entity), F.lit(char))
+    flat = F.trim(F.regexp_replace(flat, r"\s+", " "))
+    return (
+        _xml_records(spark, path, "interpro")
+        .select(
+            F.nullif(F.regexp_extract(head, r'\bid="([^"]*)"', 1), F.lit("")).alias("accession"),
+            F.nullif(F.regexp_extract(head, r'\btype="([^"]*)"', 1), F.lit("")).alias("type"),
+            F.nullif(flat, F.lit("")).alias("description"),
+        )
+        .filter("accession IS NOT NULL")
     )
 
 

@@ -105,20 +105,20 @@ def read_orthology_pairs(spark: SparkSession, folder: str) -> DataFrame:
         .option("sep", "\t")
         .option("header", True)
         .option("enforceSchema", True)
-        .option("pathGlobFilter", "*.orthology.txt")
-        .csv(folder)
-        .withColumn("_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        .csv(f"{folder}/*.orthology.txt")
+        .withColumn("_path", F.col("_metadata.file_path"))
     )
+    named = r"([^/.]+)\.([^/.]+)\.orthology\.txt"
     return (
         raw.drop("type")
         .na.drop()
         .select(
             "a_id",
             F.upper("a_name").alias("a_name"),
-            F.split_part("_file", F.lit("."), F.lit(1)).alias("a_species"),
+            F.regexp_extract("_path", named, 1).alias("a_species"),
             "b_id",
             F.upper("b_name").alias("b_name"),
-            F.split_part("_file", F.lit("."), F.lit(2)).alias("b_species"),
+            F.regexp_extract("_path", named, 2).alias("b_species"),
         )
     )
 
