@@ -31,6 +31,9 @@ COLUMNS = [
     "protein_ensembl_id",
     "canonical",
     "exon_source",
+    "ref_tx",
+    "ens_tx",
+    "ens_prot",
 ]
 
 
@@ -107,7 +110,8 @@ def reconcile_transcripts(
     ``action`` tells how a row came about: ``merge``, ``separate``, ``fill`` or
     ``alone`` for RefSeq transcripts, ``kept_apart`` for the Ensembl partner of a
     separated one and ``leftover`` for Ensembl transcripts nobody claimed.
-    ``exon_source`` names the source whose exons the row takes.
+    ``exon_source`` names the source whose exons the row takes; ``ref_tx``,
+    ``ens_tx`` and ``ens_prot`` are the source records behind it.
     """
     facts = xw.crosswalk_facts(rows)
     pairs = staged(pair_transcripts(refseq, ensembl, rows, trans2pro))
@@ -131,6 +135,9 @@ def reconcile_transcripts(
         F.lit(None).cast("string").alias("protein_ensembl_id"),
         F.when(merged, F.col("canonical").bitwiseOR(F.coalesce("_e_canonical", F.lit(0)))).otherwise(F.col("canonical")).alias("canonical"),
         F.when(merged & F.col("_e_tx").isNotNull(), "ensembl").otherwise("refseq").alias("exon_source"),
+        F.col("transcript_refseq_id").alias("ref_tx"),
+        F.when(merged, F.col("_e_tx")).alias("ens_tx"),
+        F.when(merged, F.col("ens_prot")).alias("ens_prot"),
     )
     filled = from_refseq.filter("action IN ('merge', 'fill')")
     ref_part = from_refseq.filter("action NOT IN ('merge', 'fill')").unionByName(
@@ -148,6 +155,9 @@ def reconcile_transcripts(
         F.col("_e_prot").alias("protein_ensembl_id"),
         F.col("_e_canonical").alias("canonical"),
         F.lit("ensembl").alias("exon_source"),
+        F.lit(None).cast("string").alias("ref_tx"),
+        F.col("_e_tx").alias("ens_tx"),
+        F.col("_e_prot").alias("ens_prot"),
     )
     apart = first_per_key(apart, ["transcript_ensembl_id"], ["seq"])
     apart = xw.look_up(apart, "gene_ensembl_id", xw.gene_map(rows), "_g").withColumn("gene_geneid_id", F.col("_g")).drop("_g")
@@ -168,6 +178,9 @@ def reconcile_transcripts(
         F.col("_e_prot").alias("protein_ensembl_id"),
         F.col("_e_canonical").alias("canonical"),
         F.lit("ensembl").alias("exon_source"),
+        F.lit(None).cast("string").alias("ref_tx"),
+        F.col("_e_tx").alias("ens_tx"),
+        F.col("_e_prot").alias("ens_prot"),
     )
     left = xw.fill_missing_ids(left, facts)
     ref_canonical = refseq.groupBy(F.col("transcript_refseq_id").alias("id")).agg(F.max("canonical").alias("other"))

@@ -265,7 +265,7 @@ RECONCILE_SQL = f"""WITH {PAIR_SQL},
        WHERE transcript_refseq_id IS NOT NULL OR transcript_ensembl_id IS NOT NULL""",
 )
 def reconcile_sources(t: Tables) -> DataFrame:
-    return rc.reconcile_transcripts(t.source_a, t.source_b, _crosswalk(t)).drop("seq")
+    return rc.reconcile_transcripts(t.source_a, t.source_b, _crosswalk(t)).drop("seq", "ref_tx", "ens_tx", "ens_prot")
 
 
 @query(
