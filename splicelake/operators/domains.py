@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from splicelake.functions import coords, ids, text
 from splicelake.operators.lists import group_text
 from splicelake.operators.ordered import interval_join, running
+from splicelake.session import staged
 
 CODING_BIN = 2048
 AA_CHUNK = 512
@@ -268,11 +269,17 @@ def overlap_flags(domains: DataFrame) -> DataFrame:
 
 def _islands(domains: DataFrame) -> DataFrame:
     """Distinct intervals with the number of the overlap chain they belong to."""
-    opened = _scanned(_distinct_spans(domains)).withColumn(
-        "_opens", F.when(F.col("_prev_end") >= F.col("aa_start"), 0).otherwise(1).cast("bigint")
+    spans = _distinct_spans(domains).withColumn("_neg_end", -F.col("aa_end"))
+    scanned = running(
+        spans,
+        ["tx_key"],
+        ["aa_start", "_neg_end"],
+        F.floor(F.col("aa_start") / F.lit(AA_CHUNK)),
+        {"_prev_end": ("max", "aa_end", "before")},
     )
+    opens = F.when(F.col("_prev_end") >= F.col("aa_start"), 0).otherwise(1).cast("bigint")
     return running(
-        opened.drop("_prev_end", "_next_start"),
+        staged(scanned.select("*", opens.alias("_opens")).drop("_prev_end")),
         ["tx_key"],
         ["aa_start", "_neg_end"],
         F.floor(F.col("aa_start") / F.lit(AA_CHUNK)),
@@ -286,10 +293,20 @@ def overlap_islands(domains: DataFrame) -> DataFrame:
     return domains.join(spans, ["tx_key", "aa_start", "aa_end"])
 
 
+def overlap_groups(domains: DataFrame) -> DataFrame:
+    """Every domain with its chain, the chain's extent and its number of domains."""
+    spans = staged(_islands(domains))
+    placed = spans.select("tx_key", "aa_start", "aa_end", "island").join(_extents(spans), ["tx_key", "island"])
+    return domains.join(placed, ["tx_key", "aa_start", "aa_end"])
+
+
 def island_extents(domains: DataFrame) -> DataFrame:
+    return _extents(_islands(domains))
+
+
+def _extents(spans: DataFrame) -> DataFrame:
     return (
-        _islands(domains)
-        .groupBy("tx_key", "island")
+        spans.groupBy("tx_key", "island")
         .agg(
             F.min("aa_start").alias("group_start"),
             F.max("aa_end").alias("group_end"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from splicelake.functions import text
 from splicelake.operators.lists import group_text
 from splicelake.operators.search import close_genes
+from splicelake.session import staged
 
 COLUMNS = ["a_ensembl_id", "a_genesymb", "a_species", "b_ensembl_id", "b_genesymb", "b_species"]
 
@@ -84,13 +85,6 @@ def symbol_matches(terms: DataFrame, genes: DataFrame) -> DataFrame:
     )
 
 
-def symbol_match_species(genes: DataFrame) -> DataFrame:
-    """Gene pairs of two species that share a symbol (without case)."""
-    a = genes.select(F.upper("gene_symbol").alias("symbol"), F.col("gene_key").alias("a_key"), F.col("specie").alias("a_species"))
-    b = genes.select(F.upper("gene_symbol").alias("symbol"), F.col("gene_key").alias("b_key"), F.col("specie").alias("b_species"))
-    return a.join(b, "symbol").filter("a_species < b_species")
-
-
 def orthologs(terms: DataFrame, pairs: DataFrame, genes: DataFrame) -> DataFrame:
     """Orthology rows and symbol matches for a batch of (term, species).
 
@@ -111,7 +105,7 @@ def orthologs(terms: DataFrame, pairs: DataFrame, genes: DataFrame) -> DataFrame
         )
 
     direct = rows_for(asked.withColumn("key", F.upper("term")))
-    synonyms = (
+    synonyms = staged(
         close_genes(terms, genes)
         .withColumnRenamed("specie", "species")
         .join(asked, ["term", "species"])
@@ -119,7 +113,7 @@ def orthologs(terms: DataFrame, pairs: DataFrame, genes: DataFrame) -> DataFrame
         .agg(F.max_by("gene_symbol", "gene_key").alias("found"))
     )
     through = rows_for(synonyms.select("term", "species", F.upper("found").alias("key")))
-    found = direct.unionByName(through).distinct()
+    found = staged(direct.unionByName(through).distinct())
 
     stopped = synonyms.select("term", "species").join(found.select("term", "species").distinct(), ["term", "species"], "left_anti")
     matches = (

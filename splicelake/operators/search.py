@@ -10,6 +10,7 @@ from splicelake.operators.exons import coding_transcripts
 from splicelake.operators.joins import or_join
 from splicelake.operators.lists import group_text, with_part
 from splicelake.operators.ordered import running
+from splicelake.session import staged
 
 TRANSCRIPT_ID_COLUMNS = (
     "transcript_refseq_id",
@@ -59,6 +60,7 @@ def _synonym_hits(terms: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def _best_tier(hits: DataFrame) -> DataFrame:
+    hits = staged(hits)
     best = hits.groupBy("term").agg(F.min("tier").alias("_best"))
     return hits.join(best, "term").filter("tier = _best").drop("_best")
 
@@ -116,7 +118,7 @@ def search(
     asked = terms.select("term", "species").distinct()
     wanted = F.col("species").isNull() | (F.col("species") == "all") | (F.col("specie") == F.col("species"))
     if species_first:
-        allowed = hits.join(asked, "term").filter(wanted)
+        allowed = staged(hits.join(asked, "term").filter(wanted))
         best = allowed.groupBy("term", "species").agg(F.min("tier").alias("_best"))
         chosen = allowed.join(
             best.withColumnsRenamed({"term": "_bt", "species": "_bs"}),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from splicelake.operators import exons as ex
 from splicelake.operators.ordered import running
+from splicelake.operators.orthology import orthology_pairs
 from splicelake.session import shared_dir
 
 # Scalar formulas in the SQL both engines share.
@@ -266,6 +267,7 @@ BUILDERS: dict[str, Callable[["Tables"], DataFrame]] = {
     ),
     "transcripts_dup": lambda t: spark_select(t.transcripts, TRANSCRIPT_DUP),
     "ortholog_rows": _orthology,
+    "orthology": lambda t: orthology_pairs(t.ortholog_rows, t.genes),
     "search_terms": _terms,
     "mapping": _mapping,
 }

@@ -11,6 +11,7 @@ from splicelake.operators import types as ty
 from splicelake.operators.ordered import running
 from splicelake.plans.derived import Tables
 from splicelake.plans.registry import query
+from splicelake.session import staged
 from splicelake.sources import interpro
 
 KEYS = ["tx_key", "type_id", "aa_start", "aa_end", "ext_id"]
@@ -181,7 +182,7 @@ def overlap_flag(t: Tables) -> DataFrame:
        count(*) OVER w AS n_domains FROM islands WINDOW w AS (PARTITION BY tx_key, island)""",
 )
 def overlap_islands(t: Tables) -> DataFrame:
-    return dom.overlap_islands(t.domains).select(*KEYS, "island").join(dom.island_extents(t.domains), ["tx_key", "island"])
+    return dom.overlap_groups(t.domains).select(*KEYS, "island", "group_start", "group_end", "n_domains")
 
 
 CLOSE_SQL = """WITH RECURSIVE seq AS (SELECT *, row_number() OVER (PARTITION BY tx_key ORDER BY aa_start, aa_end DESC, type_id, ext_id) AS rn FROM labelled),
@@ -202,7 +203,7 @@ CLOSE_SQL = """WITH RECURSIVE seq AS (SELECT *, row_number() OVER (PARTITION BY
 )
 def close_groups(t: Tables) -> DataFrame:
     keys = ["tx_key", "island", "group_at"]
-    grouped = dom.close_groups(t.domains)
+    grouped = staged(dom.close_groups(t.domains))
     return grouped.select(*KEYS, *keys[1:]).join(dom.group_extents(grouped, keys), keys).drop("island", "group_at")
 
 
@@ -226,7 +227,7 @@ def group_name(t: Tables) -> DataFrame:
     labelled = t.domains.withColumn(
         "label", text.domain_label(F.col("name"), F.lit(None).cast("string"), F.col("ext_id"))
     )
-    grouped = dom.close_groups(labelled)
+    grouped = staged(dom.close_groups(labelled))
     named = dom.group_names(grouped, keys, "label").drop("n_domains")
     return dom.group_extents(grouped, keys).join(named, keys).drop("island", "group_at")
 

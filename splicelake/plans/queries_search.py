@@ -111,13 +111,9 @@ def gene_document(t: Tables) -> DataFrame:
 # --- orthology ----------------------------------------------------------------
 
 
-def _pairs(t: Tables) -> DataFrame:
-    return orth.orthology_pairs(t.ortholog_rows, t.genes)
-
-
 @query("orthology_pairs", "SELECT * FROM orthology")
 def orthology_pairs(t: Tables) -> DataFrame:
-    return _pairs(t)
+    return orth.orthology_pairs(t.ortholog_rows, t.genes)
 
 
 @query(
@@ -129,7 +125,7 @@ def orthology_pairs(t: Tables) -> DataFrame:
 )
 def collapse_orthology(t: Tables) -> DataFrame:
     """Every pair under two spellings of its first symbol."""
-    pairs = _pairs(t)
+    pairs = t.orthology
     respelled = pairs.withColumn("a_genesymb", F.concat("a_genesymb", F.lit("X")))
     return orth.collapse_orthology(pairs.unionByName(respelled))
 
@@ -147,16 +143,18 @@ FLIP_SQL = """flip AS (SELECT a_ensembl_id AS ensembl_id, a_genesymb AS symbol,
     + " FROM flip GROUP BY ensembl_id, species",
 )
 def ortholog_wide(t: Tables) -> DataFrame:
-    return orth.ortholog_wide(_pairs(t), list(SPECIES))
+    return orth.ortholog_wide(t.orthology, list(SPECIES))
 
 
 @query(
     "symbol_match",
-    """SELECT upper(a.gene_symbol) AS symbol, a.gene_key AS a_key, a.specie AS a_species, b.gene_key AS b_key, b.specie AS b_species
-       FROM genes a JOIN genes b ON upper(a.gene_symbol) = upper(b.gene_symbol) AND a.specie < b.specie""",
+    """WITH keys AS (SELECT upper(gene_symbol) AS term FROM genes UNION SELECT upper(gene_ensembl_id) FROM genes WHERE gene_ensembl_id IS NOT NULL)
+       SELECT term, gene_symbol AS match_symbol, specie AS match_species FROM keys JOIN genes ON upper(gene_symbol) = term OR upper(gene_ensembl_id) = term""",
 )
 def symbol_match(t: Tables) -> DataFrame:
-    return orth.symbol_match_species(t.genes)
+    """Every symbol and Ensembl id asked for once, with the genes of all species that carry it."""
+    keys = t.genes.select(F.explode(F.array(F.upper("gene_symbol"), F.upper("gene_ensembl_id"))).alias("term")).filter("term IS NOT NULL")
+    return orth.symbol_matches(keys, t.genes)
 
 
 ORTHOLOG_SQL = f"""{FLIP_SQL}, asked AS (SELECT DISTINCT gene_symbol AS term, specie AS species FROM genes UNION
@@ -186,7 +184,7 @@ def _ortholog_terms(t: Tables) -> DataFrame:
 
 @query("orthologs", f"WITH {ORTHOLOG_SQL} SELECT * FROM answers")
 def orthologs(t: Tables) -> DataFrame:
-    return orth.orthologs(_ortholog_terms(t), _pairs(t), t.genes)
+    return orth.orthologs(_ortholog_terms(t), t.orthology, t.genes)
 
 
 @query(
@@ -199,7 +197,7 @@ def orthologs(t: Tables) -> DataFrame:
        WHERE NOT EXISTS (SELECT 1 FROM o1 WHERE o1.term = h.term AND o1.species = h.species AND o1.target = h.target AND upper(o1.option) = upper(head))""",
 )
 def ortholog_options(t: Tables) -> DataFrame:
-    return orth.ortholog_options(orth.orthologs(_ortholog_terms(t), _pairs(t), t.genes)).select(
+    return orth.ortholog_options(orth.orthologs(_ortholog_terms(t), t.orthology, t.genes)).select(
         "term", "species", "target", "source", "option"
     )
 
@@ -217,7 +215,7 @@ def compare_species(t: Tables) -> DataFrame:
     )
     ids = t.genes.select("gene_key", "gene_ensembl_id")
     keyed = (
-        _pairs(t)
+        t.orthology
         .join(ids.select(F.col("gene_key").alias("a_key"), F.col("gene_ensembl_id").alias("a_ensembl_id")), "a_ensembl_id")
         .join(ids.select(F.col("gene_key").alias("b_key"), F.col("gene_ensembl_id").alias("b_ensembl_id")), "b_ensembl_id")
     )
