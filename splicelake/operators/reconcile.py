@@ -284,3 +284,11 @@ def same_transcript(
         .when(e1.isNotNull() & e2.isNotNull(), e1 == e2)
         .otherwise(structure)
     )
+
+
+def same_gene(geneid: tuple[str, str], ensembl: tuple[str, str]) -> Column:
+    """Genes are equal when both ids are, or when one kind is equal and the other is missing on a side."""
+    g1, g2 = (F.col(c) for c in geneid)
+    e1, e2 = (F.col(c) for c in ensembl)
+    g, e = g1.eqNullSafe(g2), e1.eqNullSafe(e2)
+    return (g & e) | ((g1.isNull() | g2.isNull()) & e) | ((e1.isNull() | e2.isNull()) & g)

@@ -69,9 +69,9 @@ def _exact_hits(terms: DataFrame, genes: DataFrame, transcripts: DataFrame) -> D
     """All hits of the three exact tiers.
 
     The third tier compares ids without version as a literal prefix: a term
-    matches an id that starts with it. Stored ids are cut to every length the
-    terms have, which makes it an equi join; the lengths are the only values that
-    reach the driver, and there are no more of them than characters in an id.
+    matches an id that starts with it. Stored ids are cut to the lengths of the
+    terms that begin with the same character, which makes it an equi join. Only
+    the distinct (first character, length) pairs reach the driver.
     """
     asked = terms.select("term", F.upper("term").alias("key")).distinct()
     tier1 = asked.join(_gene_keys(genes), "key").select("term", F.lit(1).alias("tier"), "gene_key", "specie")
@@ -80,10 +80,14 @@ def _exact_hits(terms: DataFrame, genes: DataFrame, transcripts: DataFrame) -> D
     )
     bare = asked.select("term", F.substring_index("key", VERSION_CUT, 1).alias("key")).filter("key <> ''")
     stored = _transcript_keys(transcripts).withColumnRenamed("key", "full")
-    lengths = sorted(r[0] for r in bare.select(F.length("key")).distinct().collect())
-    sizes = F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")
+    lengths: dict[str, list[int]] = {}
+    for first, n in bare.select(F.substring("key", 1, 1), F.length("key")).distinct().collect():
+        lengths.setdefault(first, []).append(n)
+    by_first = [x for c, ns in sorted(lengths.items()) for x in (F.lit(c), F.array(*[F.lit(n) for n in sorted(ns)]))]
+    sizes = F.try_element_at(F.create_map(*by_first), F.substring("full", 1, 1)) if by_first else F.array().cast("array<int>")
     cuts = F.transform(
-        F.filter(sizes, lambda n: n <= F.length("full")), lambda n: F.substring(F.col("full"), F.lit(1), n)
+        F.filter(sizes, lambda n: n <= F.length(ids.strip_version(F.col("full")))),
+        lambda n: F.substring(F.col("full"), F.lit(1), n),
     )
     prefixes = stored.select(F.explode(cuts).alias("key"), "_t_geneid", "_t_ensembl")
     tier3 = bare.join(prefixes, "key").select("term", F.lit(3).alias("tier"), "_t_geneid", "_t_ensembl")

@@ -388,6 +388,23 @@ def same_transcript(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "same_gene",
+    """SELECT a.gene_key AS a_key, b.gene_key AS b_key, (a.g IS NOT DISTINCT FROM b.g AND a.e IS NOT DISTINCT FROM b.e)
+         OR ((a.g IS NULL OR b.g IS NULL) AND a.e IS NOT DISTINCT FROM b.e) OR ((a.e IS NULL OR b.e IS NULL) AND a.g IS NOT DISTINCT FROM b.g) AS same
+       FROM (SELECT gene_key, gene_geneid_id AS g, gene_ensembl_id AS e FROM genes) a
+       JOIN (SELECT gene_key, CASE WHEN gene_key % 3 = 0 THEN gene_geneid_id END AS g, CASE WHEN gene_key % 4 = 1 THEN 'other' ELSE gene_ensembl_id END AS e FROM genes) b
+         ON a.gene_key = b.gene_key""",
+)
+def same_gene(t: Tables) -> DataFrame:
+    """Each gene against a copy that has lost or changed some of its ids."""
+    other = t.genes.selectExpr(
+        "gene_key AS b_key", "CASE WHEN gene_key % 3 = 0 THEN gene_geneid_id END AS g2", "CASE WHEN gene_key % 4 = 1 THEN 'other' ELSE gene_ensembl_id END AS e2"
+    )
+    pairs = t.genes.selectExpr("gene_key AS a_key", "gene_geneid_id AS g1", "gene_ensembl_id AS e1").join(other, F.col("a_key") == F.col("b_key"))
+    return pairs.select("a_key", "b_key", rc.same_gene(("g1", "g2"), ("e1", "e2")).alias("same"))
+
+
 # --- accession mapping --------------------------------------------------------
 
 HITS_SQL = """hits AS (SELECT p.tx_key AS protein_key, (SELECT arg_max(accession, ord) FROM mapping m WHERE m.refseq_id = p.protein_refseq_id AND m.refseq_id <> '') AS refseq_hit,
