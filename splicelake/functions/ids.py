@@ -28,7 +28,7 @@ PREFIX_SOURCE = {
 SOURCES = ("cdd", "pfam", "smart", "tigrfams", "interpro")
 
 
-def _literal_map(values: dict[str, str], key: Column) -> Column:
+def literal_map(values: dict[str, str], key: Column) -> Column:
     pairs = [F.lit(x) for item in values.items() for x in item]
     return F.try_element_at(F.create_map(*pairs), key)
 
@@ -65,12 +65,12 @@ def normalize_ext_id(df: DataFrame, ext_id: str = "ext_id", cdd_id: str | None =
     """
     raw = F.lower(F.col(ext_id))
     prefix = F.regexp_extract(raw, r"^(.*?)\d*$", 1)
-    stored = _literal_map(STORED_PREFIX, prefix)
+    stored = literal_map(STORED_PREFIX, prefix)
     named = df.withColumn("_stored", stored).withColumn(
         "ext_norm",
         F.when(F.col("_stored").isNotNull(), F.concat("_stored", F.regexp_extract(raw, r"(\d*)$", 1))),
     )
-    named = named.withColumn("ext_source", _literal_map(PREFIX_SOURCE, F.col("_stored"))).drop("_stored")
+    named = named.withColumn("ext_source", literal_map(PREFIX_SOURCE, F.col("_stored"))).drop("_stored")
     missing_ok = F.col(ext_id).isNull()
     if cdd_id is not None:
         missing_ok = missing_ok & F.col(cdd_id).isNotNull()
@@ -98,7 +98,7 @@ def _letters(source: Column) -> Column:
 
 def source_of(source: Column) -> Column:
     """Source label of one accession, compared without case; '' when unknown."""
-    return F.coalesce(_literal_map(SOURCE_LABELS, _letters(source)), F.lit(""))
+    return F.coalesce(literal_map(SOURCE_LABELS, _letters(source)), F.lit(""))
 
 
 def url_for(source: Column) -> Column:

@@ -272,17 +272,37 @@ def merge_canonical(a: Column, b: Column) -> Column:
     return a.bitwiseOR(b)
 
 
+def same_exons(pairs: DataFrame, exons: DataFrame, key: str = "tx_key") -> DataFrame:
+    """Add ``same_exons`` to transcript pairs (a_tx, b_tx): equal exon lists in equal order.
+
+    Exons meet by position, so a list is never collected.
+    """
+    place = ["order_in_transcript", "genomic_start_tx", "genomic_end_tx"]
+    sizes = exons.groupBy(key).agg(F.count("*").alias("_n"))
+    met = (
+        pairs.select("a_tx", "b_tx")
+        .join(exons.select(F.col(key).alias("a_tx"), *place), "a_tx")
+        .join(exons.select(F.col(key).alias("b_tx"), *place), ["b_tx", *place])
+        .groupBy("a_tx", "b_tx")
+        .agg(F.count("*").alias("_met"))
+    )
+    x = pairs.join(met, ["a_tx", "b_tx"], "left")
+    for tag in ("a", "b"):
+        x = x.join(sizes.select(F.col(key).alias(f"{tag}_tx"), F.col("_n").alias(f"_n{tag}")), f"{tag}_tx", "left")
+    n_met, n_a, n_b = (F.coalesce(c, F.lit(0)) for c in ("_met", "_na", "_nb"))
+    return x.withColumn("same_exons", (n_met == n_a) & (n_met == n_b)).drop("_met", "_na", "_nb")
+
+
 def same_transcript(
-    pairs: DataFrame, refseq: tuple[str, str], ensembl: tuple[str, str], strand: tuple[str, str], exons: tuple[str, str]
+    refseq: tuple[str, str], ensembl: tuple[str, str], strand: tuple[str, str], exons_equal: str = "same_exons"
 ) -> Column:
     """Equality by the first id kind both have, else by strand and exon list."""
     r1, r2 = (F.col(c) for c in refseq)
     e1, e2 = (F.col(c) for c in ensembl)
-    structure = (F.col(strand[0]) == F.col(strand[1])) & (F.col(exons[0]) == F.col(exons[1]))
     return (
         F.when(r1.isNotNull() & r2.isNotNull(), r1 == r2)
         .when(e1.isNotNull() & e2.isNotNull(), e1 == e2)
-        .otherwise(structure)
+        .otherwise((F.col(strand[0]) == F.col(strand[1])) & F.col(exons_equal))
     )
 
 

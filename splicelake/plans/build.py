@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from splicelake.functions import ids, text
 from splicelake.operators import domains as dom
 from splicelake.operators import exons as ex
+from splicelake.operators import idmapping, orthology
 from splicelake.operators import reconcile as rc
 from splicelake.operators import types as ty
 from splicelake.operators.crosswalk import clean_crosswalk
@@ -249,8 +250,6 @@ def build_species(
 
 def build_orthology(spark: SparkSession, pair_folder: str, genes: DataFrame, out: str) -> DataFrame:
     """Orthology table over the genes of all species."""
-    from splicelake.operators import orthology
-
     pairs = orthology.orthology_pairs(tables.read_orthology_pairs(spark, pair_folder), genes)
     table = orthology.collapse_orthology(pairs)
     write_table(conform(table, "orthology"), out, "orthology", by_species=False)
@@ -261,8 +260,6 @@ def build_representative_domains(
     spark: SparkSession, mapping: str, matches: str, entries: str, proteins: DataFrame, out: str, strategy: str = "ensembl"
 ) -> tuple[DataFrame, DataFrame]:
     """(proteins with their accession, representative domains of those proteins)."""
-    from splicelake.operators import idmapping
-
     keyed = proteins.withColumn("protein_key", F.struct("protein_refseq_id", "protein_ensembl_id"))
     named = staged(
         idmapping.set_interpro_ids(

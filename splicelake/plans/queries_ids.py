@@ -361,16 +361,9 @@ def merge_canonical(t: Tables) -> DataFrame:
          ELSE a.strand = b.strand AND a.ex = b.ex END AS same FROM f a JOIN f b ON b.tx_key = a.tx_key + 1""",
 )
 def same_transcript(t: Tables) -> DataFrame:
-    """Each transcript against the one with the next key; exon lists are compared as digests of sorted sets."""
-    from splicelake.operators.lists import group_text
-
-    exon_text = group_text(
-        t.exons, ["tx_key"], F.concat_ws("-", "genomic_start_tx", "genomic_end_tx"), ",", "ex", sort_by=[F.col("order_in_transcript")]
-    ).filter("part = 0")
-    f = (
-        t.transcripts_dup.join(t.transcripts.select("tx_key", "gene_key"), "tx_key")
-        .join(t.genes.select("gene_key", "strand"), "gene_key")
-        .join(exon_text.select("tx_key", "ex"), "tx_key")
+    """Each transcript against the one with the next key."""
+    f = t.transcripts_dup.join(t.transcripts.select("tx_key", "gene_key"), "tx_key").join(
+        t.genes.select("gene_key", "strand"), "gene_key"
     )
 
     def side(tag: str) -> DataFrame:
@@ -379,13 +372,10 @@ def same_transcript(t: Tables) -> DataFrame:
             F.col("transcript_refseq_id").alias(f"{tag}_r"),
             F.col("transcript_ensembl_id").alias(f"{tag}_e"),
             F.col("strand").alias(f"{tag}_s"),
-            F.col("ex").alias(f"{tag}_x"),
         )
 
-    pairs = side("a").withColumn("b_tx", F.col("a_tx") + 1).join(side("b"), "b_tx")
-    return pairs.select(
-        "a_tx", "b_tx", rc.same_transcript(pairs, ("a_r", "b_r"), ("a_e", "b_e"), ("a_s", "b_s"), ("a_x", "b_x")).alias("same")
-    )
+    pairs = rc.same_exons(side("a").withColumn("b_tx", F.col("a_tx") + 1).join(side("b"), "b_tx"), t.exons)
+    return pairs.select("a_tx", "b_tx", rc.same_transcript(("a_r", "b_r"), ("a_e", "b_e"), ("a_s", "b_s")).alias("same"))
 
 
 @query(

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from splicelake.operators.crosswalk import ID_COLUMNS, clean_crosswalk
 from splicelake.plans import text_inputs as files
 from splicelake.plans.derived import Tables
 from splicelake.plans.registry import query
 from splicelake.sources import checks, ensembl, flatfile, interpro, refseq, tables
 from splicelake.sources.gff3 import read_gff3
+from splicelake.streaming import idmap
 
 SEGMENTS = """seg AS (SELECT c.tx_key, min(greatest(genomic_start_tx, coalesce(cds_start, tx_start))) AS cs, max(least(genomic_end_tx, coalesce(cds_end, tx_end))) AS ce
          FROM cds c JOIN transcripts t ON c.tx_key = t.tx_key WHERE abs_start_cds > 0 GROUP BY 1)"""
@@ -136,8 +140,6 @@ def ensembl_proteins(t: Tables) -> DataFrame:
 @query("crosswalk_file", "SELECT gene_id, ens_gene, refseq_tx, ens_tx, refseq_prot, ens_prot FROM crosswalk JOIN transcripts t ON t.tx_key = ord JOIN genes g ON g.gene_key = t.gene_key WHERE specie = 'M_musculus'")
 def crosswalk_file(t: Tables) -> DataFrame:
     """The rows of one species."""
-    from splicelake.operators.crosswalk import ID_COLUMNS, clean_crosswalk
-
     return clean_crosswalk(tables.read_id_crosswalk(t.spark, files.crosswalk_file(t)), 10090).select(*ID_COLUMNS)
 
 
@@ -258,10 +260,6 @@ def sniff_headers(t: Tables) -> DataFrame:
 )
 def incremental_id_mapping(t: Tables) -> DataFrame:
     """The mapping arrives file by file; the stream runs until nothing is left."""
-    import uuid
-
-    from splicelake.streaming import idmap
-
     run = uuid.uuid4().hex
     hits, state = t.folder("stream", run, "hits"), t.folder("stream", run, "state")
     proteins = t.proteins.select(F.col("tx_key").alias("protein_key"), "protein_refseq_id", "transcript_ensembl_id")

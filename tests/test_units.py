@@ -281,3 +281,14 @@ def test_quality_checks_hold_on_the_data(spark):
     pieces = dom.splice_in_domains(t.domains, t.cds)
     broken = pieces.groupBy("tx_key", "type_id", "aa_start", "aa_end", "ext_id", "total_length").agg(F.sum("included_abs").alias("n"))
     assert broken.filter("n <> total_length").count() == 0
+
+
+def test_same_exons(spark):
+    from splicelake.operators.reconcile import same_exons
+
+    exons = spark.createDataFrame(
+        [(1, 1, 0, 9), (1, 2, 20, 29), (2, 1, 0, 9), (2, 2, 20, 29), (3, 1, 20, 29), (3, 2, 0, 9), (4, 1, 0, 9)],
+        "tx_key long, order_in_transcript int, genomic_start_tx long, genomic_end_tx long",
+    )
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (4, 1)], "a_tx long, b_tx long")
+    assert rows(same_exons(pairs, exons), "a_tx", "b_tx", "same_exons") == [(1, 2, True), (1, 3, False), (1, 4, False), (4, 1, False)]
