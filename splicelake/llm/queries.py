@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from splicelake.llm.common import table
 from splicelake.llm.exact_dedup import exact_dedup
 from splicelake.llm.fingerprint import fingerprint_with_edits
+from splicelake.llm.jaccard import near_groups
 from splicelake.llm.mixing import mix
 from splicelake.llm.packing import pack, token_pieces
 from splicelake.llm.repeats import remove_repeats
@@ -28,7 +29,7 @@ def _register(name: str, sql: str | None = None):
     return add
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path("word_bpe_49k.json"))
@@ -50,7 +51,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("op6_pack_sequences")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces packed into sequences of 4096 tokens."""
-    packed = pack(token_pieces(table(spark, sf_dir, "documents"), _tokenizer(), with_ids=False))
+    packed = pack(token_pieces(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
@@ -103,3 +104,31 @@ FROM d LEFT JOIN per USING (doc_id)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 200-byte strings that occur elsewhere too."""
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@_register(
+    "op8_ngram_jaccard",
+    r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM d
+), n AS (SELECT doc_id, len(s) AS n FROM g
+), t AS (SELECT doc_id, unnest(s) AS x FROM g
+), o AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 85 * (na.n + nb.n - i)
+), r AS (
+  SELECT doc_id AS a, doc_id AS root FROM d
+  UNION
+  SELECT l.b, r.root FROM r JOIN l ON l.a = r.a
+)
+SELECT n.doc_id, n.n AS n_shingles, min(r.root) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY ALL
+""",
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles overlap by 85 percent."""
+    return near_groups(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
