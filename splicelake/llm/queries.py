@@ -13,6 +13,7 @@ from splicelake.llm.fingerprint import fingerprint_with_edits
 from splicelake.llm.jaccard import near_groups
 from splicelake.llm.mixing import mix
 from splicelake.llm.packing import pack, token_pieces
+from splicelake.llm.quality import apply_quality, fit_quality
 from splicelake.llm.repeats import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +133,10 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.root) AS component_id FROM n JOIN r ON
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles overlap by 85 percent."""
     return near_groups(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+@_register("op10_quality_classifier")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak-label posterior, score and decision for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return apply_quality(docs, fit_quality(docs)).drop("text")
