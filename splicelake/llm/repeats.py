@@ -124,10 +124,10 @@ def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
 def _settle(rows: DataFrame, blob: bool) -> tuple[DataFrame, DataFrame, list[str]]:
     """Blocks whose windows all repeat, and blocks to look at closer (one per distinct hull)."""
     weight = F.sum(F.when(F.col("multi"), 2).otherwise(1))
-    # One exchange serves the counts and the rows; both stream, so a frequent core is never held.
-    dealt = rows.repartition("core")
-    cores = dealt.groupBy("core").agg(weight.alias("n"), F.min("hull").alias("low"), F.max("hull").alias("high"))
-    kept, kept_at = stage(dealt.join(cores, "core").filter("n >= 2").withColumn("alike", F.col("low") == F.col("high")).drop("n", "low", "high"))
+    # Counts are combined before they are dealt, and the stored counts let a frequent core's rows be split in the join.
+    cores = rows.groupBy("core").agg(weight.alias("n"), F.min("hull").alias("low"), F.max("hull").alias("high"))
+    cores, cores_at = stage(cores.filter("n >= 2").select("core", (F.col("low") == F.col("high")).alias("alike")))
+    kept, kept_at = stage(rows.join(cores, "core"))
     mixed = kept.filter("NOT alike")
     place = ["_id", "_h", "first", "last", "anchor", *(["blob"] if blob else [])]
     hulls, hulls_at = stage(
@@ -136,7 +136,7 @@ def _settle(rows: DataFrame, blob: bool) -> tuple[DataFrame, DataFrame, list[str
     span = ["_id", "_h", "first", "last"]
     known = mixed.filter("NOT multi").join(hulls.filter("again").select("core", "hull"), ["core", "hull"], "left_semi")
     spans = kept.filter("alike AND NOT multi").select(*span).unionByName(known.select(*span))
-    return spans, hulls.select("one.*", F.col("again").alias("multi")), [kept_at, hulls_at]
+    return spans, hulls.select("one.*", F.col("again").alias("multi")), [kept_at, hulls_at, cores_at]
 
 
 def _finer(block: int, length: int):
