@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from splicelake.session import shared_dir
 #: ASCII white space and its complement; the same pattern text serves Spark, DuckDB and Python.
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +26,35 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def tables_of(owner: list[str]) -> Iterator[None]:
+    """Note the paths of the tables staged inside in ``owner``, who deletes them when their readers are done."""
+    _owners.append(owner)
+    try:
+        yield
+    finally:
+        _owners.pop()
+
+
 def stage(df: DataFrame) -> tuple[DataFrame, str]:
     """Write ``df`` once to the shared folder; the frame that reads it back, and its path.
 
-    The written table survives lost executors and fixes what later steps see.
+    The written table survives lost executors and fixes what later steps see. The shuffle files
+    behind it have served their purpose then, and Spark removes them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/llm/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    for owner in _owners:
+        owner.append(path)
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -29,19 +29,42 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text_of(text), WHITE, " ")
 
 
-def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()
-) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when their normalised forms are. The row with the smallest id of each
     group stays; a null id counts as the largest. Rows that tie on the id too are
     interchangeable: exactly one of them has ``kept``. A null text equals the empty text.
-    ``carry`` names columns that are handed through for kept rows (null in the others).
     An empty table gives an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    short_batches(spark)
+    marked, merged = _runs(docs, id_col, text_col, ())
+    rooted = marked.join(merged, ["pid", "run"], "left").select(
+        "*", F.coalesce("root_pid", "pid").alias("_rp"), F.coalesce("root_run", "run").alias("_rr")
+    )
+    groups = rooted.groupBy("_rp", "_rr").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
+    return rooted.join(groups, ["_rp", "_rr"]).select(
+        F.col("_id").alias(id_col),
+        "keep_id",
+        "group_size",
+        (F.col("lead") & F.col("root_pid").isNull()).alias("kept"),
+        F.lower(F.hex("_sha")).alias("text_sha256"),
+    )
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that ``exact_dedup`` keeps, with all their columns, from the one sort alone."""
+    columns = docs.columns
+    marked, merged = _runs(docs, id_col, text_col, columns)
+    first = marked.filter("lead").join(merged.select("pid", "run"), ["pid", "run"], "left_anti")
+    return first.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def _runs(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The sorted rows with their runs (stored), and for runs that continue one of an earlier part, that one.
+
+    ``carry`` names columns that are handed through for the first row of each run.
+    """
+    short_batches(docs.sparkSession)
     clean = normalised(F.col(text_col))
     keyed = docs.select(
         F.col(id_col).alias("_id"),
@@ -80,19 +103,7 @@ def exact_dedup(
         .filter("same")
         .select("pid", F.lit(0).cast("long").alias("run"), F.col("root.pid").alias("root_pid"), F.col("root.run").alias("root_run"))
     )
-    rooted = marked.join(merged, ["pid", "run"], "left").select(
-        "*", F.coalesce("root_pid", "pid").alias("_rp"), F.coalesce("root_run", "run").alias("_rr")
-    )
-    groups = rooted.groupBy("_rp", "_rr").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    kept = F.col("lead") & F.col("root_pid").isNull()
-    return rooted.join(groups, ["_rp", "_rr"]).select(
-        F.col("_id").alias(id_col),
-        "keep_id",
-        "group_size",
-        kept.alias("kept"),
-        F.lower(F.hex("_sha")).alias("text_sha256"),
-        *[F.when(kept, F.col(f"_c{i}")).alias(c) for i, c, _ in kept_cols if c != id_col],
-    )
+    return marked, merged
 
 
 def _same(a: Column, b: Column) -> Column:

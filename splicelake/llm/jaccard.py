@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splicelake.llm.common import short_batches, stage, text_of
@@ -311,28 +311,49 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame
         return _oriented(both.filter("a_comp <> b_comp").filter(_may_link(percent)))
 
     members = met.join(groups.select("token", "band"), ["token", "band"]).withColumn("comp", F.col("node"))
-    first = _alike(star(members, None), nodes, percent)
     crowd = met.join(groups.filter("n > 2").select("token", "band"), ["token", "band"])
-    wanted = first.select(F.col("a").alias("node")).union(first.select(F.col("b").alias("node"))).union(crowd.select("node")).distinct()
-    chosen = nodes.join(wanted, "node").select("node", F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("_h"))
-    texts = named.join(chosen, named["doc_id"].eqNullSafe(chosen["doc_id"]) & (named["_h"] == chosen["_h"])).select("node", "_text")
-    sets, _ = stage(texts.mapInArrow(_setter(classes, words), "node long, tokens array<long>").dropDuplicates(["node"]))
-    links = _verified(first, sets, percent)
-    roots = components(links)
-    for turn in range(STAR_ROUNDS + 1):
-        known = roots.select("node", F.col("root").alias("comp"))
-        open_rows = crowd.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = open_rows.groupBy("token", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-        open_rows, _ = stage(open_rows.join(mixed.select("token", "band"), ["token", "band"]))
-        if turn < STAR_ROUNDS:
-            pairs = star(open_rows, turn)
+    sets: DataFrame | None = None
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the pairs' nodes; only nodes not met before have their texts read."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets, "node", "left_anti")
+        chosen = nodes.join(wanted, "node").select("node", F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("_h1"))
+        met_texts = named.join(chosen.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_h1")))
+        # Repeated rows share id and text; one of them is enough.
+        nth = F.row_number().over(Window.partitionBy("node").orderBy("doc_id"))
+        texts = met_texts.withColumn("_n", nth).filter("_n = 1").select("node", "_text")
+        found, _ = stage(texts.mapInArrow(_setter(classes, words), "node long, tokens array<long>"))
+        return found if sets is None else sets.unionByName(found)
+
+    links = roots = None
+    for turn in range(-1, STAR_ROUNDS + 1):
+        if turn < 0:
+            pairs = star(members, None)
         else:
-            both = side(open_rows, "a", "comp").join(side(open_rows, "b", "comp"), ["token", "band"])
-            pairs = _oriented(both.filter("a < b AND a_comp <> b_comp").filter(_may_link(percent)))
-        more = _verified(_alike(pairs, nodes, percent), sets, percent)
+            if roots is None:
+                open_rows = crowd.withColumn("comp", F.col("node"))
+            else:
+                known = roots.select("node", F.col("root").alias("comp"))
+                open_rows = crowd.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            mixed = open_rows.groupBy("token", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+            open_rows, _ = stage(open_rows.join(mixed.select("token", "band"), ["token", "band"]))
+            if turn < STAR_ROUNDS:
+                pairs = star(open_rows, turn)
+            else:
+                both = side(open_rows, "a", "comp").join(side(open_rows, "b", "comp"), ["token", "band"])
+                pairs = _oriented(both.filter("a < b AND a_comp <> b_comp").filter(_may_link(percent)))
+        likely = _alike(pairs, nodes, percent)
+        if not likely.limit(1).count():
+            continue
+        sets = sets_of(likely)
+        more = _verified(likely, sets, percent)
         if more.limit(1).count():
-            links = links.unionByName(more)
+            links = more if links is None else links.unionByName(more)
             roots = components(links)
+    if roots is None:
+        roots = nodes.select("node", F.col("node").alias("root")).limit(0)
     classes.unpersist()
 
     rooted = made.join(roots.withColumnRenamed("root", "_root"), "node", "left").withColumn("_root", F.coalesce("_root", "node"))
