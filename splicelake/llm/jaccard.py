@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from splicelake.llm.common import short_batches, stage, text_of
 from splicelake.llm.components import components
 
-#: Counters of the n-gram frequency table: a fixed number, 4 MB to the driver and 1 MB broadcast.
-COUNTERS_LOG2 = 20
+#: Counters of the n-gram frequency table: a fixed number, 32 MB to the driver and 4 MB broadcast.
+COUNTERS_LOG2 = 22
 #: Sets in one tree; a probe with more partners gets several trees.
 TREE_SETS = 256
-STAR_ROUNDS = 2
+STAR_ROUNDS = 4
 _U = np.uint64
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)
@@ -109,22 +109,22 @@ def frequency_classes(docs: DataFrame, words: int) -> np.ndarray:
     blocks, width = 64, (1 << COUNTERS_LOG2) // 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << COUNTERS_LOG2, np.int64)
+        table = np.zeros(1 << COUNTERS_LOG2, np.uint32)
         for b in batches:
             for h in ngram_hashes(b.column(0).to_pylist(), words):
                 np.add.at(table, (h >> _U(64 - COUNTERS_LOG2)).astype(np.int64), 1)
         rows = table.reshape(blocks, width)
         used = [k for k in range(blocks) if rows[k].any()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), pa.array([rows[k].astype("<i8").tobytes() for k in used], pa.binary())], names=["block", "counts"]
+            [pa.array(used, pa.int32()), pa.array([rows[k].astype("<u4").tobytes() for k in used], pa.binary())], names=["block", "counts"]
         )
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, "<i8") for c in pdf["counts"])
+        total = sum(np.frombuffer(c, "<u4").astype("<i8") for c in pdf["counts"])
         return pd.DataFrame({"block": pdf["block"][:1], "counts": [total.tobytes()]})
 
     per_task = docs.select("_text").mapInArrow(count, "block int, counts binary")
-    summed = per_task.groupBy("block").applyInPandas(add, "block int, counts binary").collect()  # 64 rows of 128 KB
+    summed = per_task.groupBy("block").applyInPandas(add, "block int, counts binary").collect()  # 64 rows of 512 KB
     table = np.zeros((blocks, width), np.int64)
     for r in summed:
         table[r["block"]] = np.frombuffer(r["counts"], "<i8")
@@ -195,21 +195,22 @@ def tree_overlaps(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> di
     return found
 
 
-_NODE = "doc_id long, text_hash long, size int, node long, parity binary, prefix array<long>"
+_NODE = "doc_id long, text_hash long, size int, node long, parity binary, sign array<long>, prefix array<long>"
 
 
 def _noder(classes, words: int, percent: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = classes.value
         for b in batches:
-            sizes, nodes, parity, prefix = [], [], [], []
+            sizes, nodes, parity, signs, prefix = [], [], [], [], []
             for h in ngram_hashes(b.column("_text").to_pylist(), words):
                 s = ordered_set(h, table)
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh3_64_intdigest(np.sort(h).tobytes()) - (1 << 63) if len(s) else None)
                 parity.append(parity_bits(s))
+                signs.append(np.frombuffer(np.packbits((np.bincount(s & 511, minlength=512) & 1).astype(np.uint8)).tobytes(), "<i8"))
                 prefix.append(s[: len(s) + (percent * len(s)) // -100 + 1] if len(s) else [])
-            arrays = [b.column("doc_id"), b.column("_h"), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(parity, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+            arrays = [b.column("doc_id"), b.column("_h"), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(parity, pa.binary()), pa.array(signs, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in _NODE.split(", ")])
 
     return make
@@ -237,6 +238,13 @@ def _may_link(percent: int) -> Column:
     return sizes & (F.least("a_pos", "b_pos") + left >= _required(F.col("a_size"), F.col("b_size"), percent))
 
 
+def _signs_agree(percent: int) -> Column:
+    """The 512 parity bits of both sides differ no more than linked sets can: a bound for the join itself."""
+    apart = sum((F.bit_count(F.get("a_sign", F.lit(i)).bitwiseXOR(F.get("b_sign", F.lit(i)))) for i in range(8)), F.lit(0))
+    sizes = F.col("a_size") + F.col("b_size")
+    return apart <= sizes - 2 * _required(F.col("a_size"), F.col("b_size"), percent)
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose parity maps do not rule a link out."""
 
@@ -286,7 +294,7 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame
     made, _ = stage(named.mapInArrow(_noder(classes, words, percent), _NODE))
     nodes, _ = stage(
         made.filter("size > 0").groupBy("node").agg(
-            F.max("size").alias("size"), F.max("parity").alias("parity"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one")
+            F.max("size").alias("size"), F.max("parity").alias("parity"), F.max("sign").alias("sign"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("one")
         )
     )
 
@@ -304,7 +312,8 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame
 
     def star(members: DataFrame, salt: int | None) -> DataFrame:
         """Each member with its group's pivot, where they are not connected yet."""
-        rank = F.col("node") if salt is None else F.xxhash64(F.lit(salt), "node")
+        # Later pivots differ from token to token, so a node meets many of them in one round.
+        rank = F.col("node") if salt is None else F.xxhash64(F.lit(salt), "token", "node")
         pivots = members.groupBy("token", "band").agg(F.min_by(F.struct("node", "size", "pos", "comp"), rank).alias("p"))
         pivots = pivots.select("token", "band", "p.*")
         both = side(members, "a", "comp").join(side(pivots, "b", "comp"), ["token", "band"])
@@ -342,8 +351,9 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame
             if turn < STAR_ROUNDS:
                 pairs = star(open_rows, turn)
             else:
-                both = side(open_rows, "a", "comp").join(side(open_rows, "b", "comp"), ["token", "band"])
-                pairs = _oriented(both.filter("a < b AND a_comp <> b_comp").filter(_may_link(percent)))
+                signed, _ = stage(open_rows.join(nodes.select("node", "sign"), "node"))
+                both = side(signed, "a", "comp", "sign").join(side(signed, "b", "comp", "sign"), ["token", "band"])
+                pairs = _oriented(both.filter("a < b AND a_comp <> b_comp").filter(_may_link(percent) & _signs_agree(percent)))
         likely = _alike(pairs, nodes, percent)
         if not likely.limit(1).count():
             continue
