@@ -116,7 +116,8 @@ def url_for(source: Column) -> Column:
 
 
 def looks_like_id(name: Column) -> Column:
-    return name.rlike("(?i)^(smart|pfam|cd|tigr|ipr)")
+    """A source's prefix and digits alone; CD36 and the like are names."""
+    return name.rlike(r"^(?i:smart|pfam|tigr|ipr)[0-9]+$|^cd[0-9]+$")
 
 
 def ensembl_gene_link(ensembl_name: Column, gene_id: Column) -> Column:

@@ -26,9 +26,11 @@ def mapping_hits(proteins: DataFrame, mapping: DataFrame, *, split_refseq: bool
     by_ref = (
         lines.filter("refseq_id IS NOT NULL AND refseq_id <> ''")
         .groupBy("refseq_id")
-        .agg(F.max_by("accession", "ord").alias("refseq_hit"))
+        .agg(F.max_by("accession", "ord").alias("refseq_hit"), F.max("ord").alias("last"))
     )
-    refseq = keyed.join(by_ref, F.col("protein_refseq_id") == F.col("refseq_id")).select("protein_key", "refseq_hit")
+    # Several transcripts may share a protein: one row per protein key.
+    refseq = keyed.join(by_ref, F.col("protein_refseq_id") == F.col("refseq_id"))
+    refseq = refseq.groupBy("protein_key").agg(F.max_by("refseq_hit", "last").alias("refseq_hit"))
 
     exact = keyed.filter("transcript_ensembl_id IS NOT NULL").select(
         F.col("transcript_ensembl_id").alias("enst_key"), "protein_key"

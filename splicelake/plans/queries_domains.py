@@ -82,7 +82,7 @@ def collapse_events(t: Tables) -> DataFrame:
 )
 def merge_domains(t: Tables) -> DataFrame:
     other = t.rep_domains.select(
-        F.substring("protein_interpro_id", 2, 20).cast("bigint").alias("tx_key"),
+        F.substr("protein_interpro_id", F.lit(2)).cast("bigint").alias("tx_key"),
         F.col("domain_id").alias("ext_id"),
         F.col("start").alias("aa_start"),
         F.col("end").alias("aa_end"),
@@ -215,7 +215,7 @@ def close_groups(t: Tables) -> DataFrame:
        firsts AS (SELECT tx_key, grp, arg_min(label, row(aa_start, -aa_end, label)) AS label, arg_min(aa_end - aa_start, row(aa_start, -aa_end, label)) AS len
          FROM grouped GROUP BY tx_key, grp),
        best AS (SELECT tx_key, grp, max(aa_end - aa_start) AS len, arg_min(label, row(-(aa_end - aa_start), length(label), label)) AS label
-         FROM grouped WHERE NOT regexp_matches(lower(label), '^(smart|pfam|cd|tigr|ipr)') GROUP BY tx_key, grp),
+         FROM grouped WHERE NOT regexp_matches(label, '^(?i:smart|pfam|tigr|ipr)[0-9]+$|^cd[0-9]+$') GROUP BY tx_key, grp),
        sizes AS (SELECT tx_key, grp, min(aa_start) AS group_start, max(aa_end) AS group_end, count(*) AS n_domains FROM grouped GROUP BY tx_key, grp)
        SELECT s.tx_key, group_start, group_end, n_domains, CASE WHEN m.label IS NOT NULL THEN m.label WHEN b.len > f.len THEN b.label
          WHEN b.len = f.len AND length(b.label) < length(f.label) THEN b.label ELSE f.label END AS group_name

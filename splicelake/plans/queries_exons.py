@@ -248,7 +248,7 @@ def display_name(t: Tables) -> DataFrame:
     "domain_label",
     """SELECT tx_key, type_id, aa_start, aa_end, ext_id, coalesce(CASE WHEN trim(domain_name) <> '' THEN domain_name END,
        CASE WHEN type_id % 2 = 0 THEN concat('other_', CAST(type_id AS STRING)) END, ext_id) AS label,
-       regexp_matches(lower(ext_id), '^(smart|pfam|cd|tigr|ipr)') AS is_id
+       regexp_matches(ext_id, '^(?i:smart|pfam|tigr|ipr)[0-9]+$|^cd[0-9]+$') AS is_id
        FROM (SELECT *, CASE WHEN type_id % 11 = 0 THEN ' ' ELSE name END AS domain_name FROM domains)""",
 )
 def domain_label(t: Tables) -> DataFrame:

@@ -234,7 +234,7 @@ def json_flatten(t: Tables) -> DataFrame:
         F.lit('":"y"}},"go_terms":[{"identifier":"GO:'), F.col("user_id").cast("string"), F.lit('"},{"identifier":"GO:'), k, F.lit('"}]}}'),
     )
     flat = interpro.flatten_entry_json(t.source("events").select("event_id", doc.alias("value")))
-    return flat.select(F.substring("accession", 3, 20).cast("bigint").alias("event_id"), "*")
+    return flat.select(F.substr("accession", F.lit(3)).cast("bigint").alias("event_id"), "*")
 
 
 @query(

@@ -52,4 +52,5 @@ def cluster_counts(results: DataFrame, cluster: str = "cluster") -> DataFrame:
 
 
 def preview(results: DataFrame, rows: int = 500) -> DataFrame:
-    return results.limit(rows)
+    """The first rows by all columns, the same on every run."""
+    return results.orderBy(*results.columns).limit(rows)

@@ -37,7 +37,7 @@ def ensembl_genes(features: DataFrame, *, strict: bool = False) -> DataFrame:
 
 def _parent(kind: str) -> Column:
     first = F.get(attr_list("Parent"), F.lit(0))
-    return F.when(first.startswith(f"{kind}:"), F.substring(first, len(kind) + 2, 1_000_000))
+    return F.when(first.startswith(f"{kind}:"), F.substr(first, F.lit(len(kind) + 2)))
 
 
 def ensembl_transcripts(features: DataFrame, genes: DataFrame, *, strict: bool = False) -> DataFrame:

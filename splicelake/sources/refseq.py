@@ -44,7 +44,7 @@ def _is_copy(feature_id: Column) -> Column:
 def _tagged(prefix: str) -> Column:
     """Value of the first Dbxref entry with this prefix."""
     hit = F.get(F.filter(attr_list("Dbxref"), lambda x: x.startswith(prefix)), F.lit(0))
-    return F.substring(hit, len(prefix) + 1, 1_000_000)
+    return F.substr(hit, F.lit(len(prefix) + 1))
 
 
 def refseq_genes(features: DataFrame, chromosomes: DataFrame) -> DataFrame:
