@@ -1,4 +1,4 @@
-"""Delimited text and nested lists per group, with very large groups split in parts."""
+"""Delimited text per group."""
 
 from __future__ import annotations
 
@@ -7,26 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GROUP_LIMIT = 200_000
-
-
-def with_part(df: DataFrame, keys: Sequence[str], spread: Sequence[str], limit: int = GROUP_LIMIT) -> DataFrame:
-    """Tag rows with a ``part`` so that no (group, part) holds much more than ``limit`` rows.
-
-    Groups up to ``limit`` stay whole with part 0. ``spread`` are the columns that
-    decide the part; equal values always share one.
-    """
-    keys = list(keys)
-    big = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > limit)
-        .select(*keys, F.ceil(F.col("_n") / F.lit(limit)).alias("_parts"))
-    )
-    tagged = df.join(big, keys, "left")
-    part = F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_parts")))
-    return tagged.withColumn("part", part.cast("int")).drop("_parts")
-
 
 def group_text(
     df: DataFrame,
@@ -37,21 +17,16 @@ def group_text(
     *,
     sort_by: Sequence[Column] = (),
     unique: bool = False,
-    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Join the items of each group to one text, sorted by ``sort_by`` and the item.
 
-    The result has the columns ``keys``, ``part`` and ``out``; ``part`` is above 0
-    only for groups beyond ``limit`` rows.
+    One row per group whatever its size, with the columns ``keys`` and ``out``; equal items meet
+    only when they are to be told apart (``unique``), before any list is made.
     """
-    keys = list(keys)
     ranks = [c.alias(f"_s{i}") for i, c in enumerate(sort_by)]
     rows = df.select(*keys, *ranks, item.alias("_item"))
     if unique:
         rows = rows.distinct()
     fields = [*[f"_s{i}" for i in range(len(ranks))], "_item"]
-    parts = with_part(rows, keys, fields, limit)
     sorted_items = F.array_sort(F.collect_list(F.struct(*fields)))
-    return parts.groupBy(*keys, "part").agg(
-        F.array_join(F.transform(sorted_items, lambda s: s["_item"]), sep).alias(out)
-    )
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(sorted_items, lambda s: s["_item"]), sep).alias(out))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from splicelake.functions import ids, text
 from splicelake.operators.exons import coding_transcripts
 from splicelake.operators.joins import or_join
-from splicelake.operators.lists import group_text, with_part
+from splicelake.operators.lists import group_text
 from splicelake.operators.ordered import running
 from splicelake.session import staged
 
@@ -70,8 +70,8 @@ def _exact_hits(terms: DataFrame, genes: DataFrame, transcripts: DataFrame) -> D
 
     The third tier compares ids without version as a literal prefix: a term
     matches an id that starts with it. Stored ids are cut to the lengths of the
-    terms that begin with the same character, which makes it an equi join. Only
-    the distinct (first character, length) pairs reach the driver.
+    terms that begin with the same character, which makes it an equi join; these
+    lengths are a scalar subquery, bounded by characters times id lengths.
     """
     asked = terms.select("term", F.upper("term").alias("key")).distinct()
     tier1 = asked.join(_gene_keys(genes), "key").select("term", F.lit(1).alias("tier"), "gene_key", "specie")
@@ -80,16 +80,12 @@ def _exact_hits(terms: DataFrame, genes: DataFrame, transcripts: DataFrame) -> D
     )
     bare = asked.select("term", F.substring_index("key", VERSION_CUT, 1).alias("key")).filter("key <> ''")
     stored = _transcript_keys(transcripts).withColumnRenamed("key", "full")
-    lengths: dict[str, list[int]] = {}
-    for first, n in bare.select(F.substring("key", 1, 1), F.length("key")).distinct().collect():
-        lengths.setdefault(first, []).append(n)
-    by_first = [x for c, ns in sorted(lengths.items()) for x in (F.lit(c), F.array(*[F.lit(n) for n in sorted(ns)]))]
-    sizes = F.try_element_at(F.create_map(*by_first), F.substring("full", 1, 1)) if by_first else F.array().cast("array<int>")
-    cuts = F.transform(
-        F.filter(sizes, lambda n: n <= F.length(ids.strip_version(F.col("full")))),
-        lambda n: F.substring(F.col("full"), F.lit(1), n),
-    )
-    prefixes = stored.select(F.explode(cuts).alias("key"), "_t_geneid", "_t_ensembl")
+    first = bare.select(F.substring("key", 1, 1).alias("c"), F.length("key").alias("n"))
+    per_first = first.groupBy("c").agg(F.collect_set("n").alias("ns"))
+    by_first = per_first.agg(F.map_from_entries(F.collect_list(F.struct("c", "ns")))).scalar()
+    sizes = F.try_element_at(by_first, F.substring("full", 1, 1))
+    sized = stored.withColumn("n", F.explode(sizes)).filter(F.col("n") <= F.length(ids.strip_version(F.col("full"))))
+    prefixes = sized.select(F.substring("full", F.lit(1), F.col("n")).alias("key"), "_t_geneid", "_t_ensembl")
     tier3 = bare.join(prefixes, "key").select("term", F.lit(3).alias("tier"), "_t_geneid", "_t_ensembl")
     by_transcript = _genes_of(tier2.unionByName(tier3).distinct(), genes)
     return tier1.unionByName(by_transcript)
@@ -167,53 +163,44 @@ def document_counts(
     return out.na.fill(0, [c for c in out.columns if c.startswith("n_")])
 
 
-def gene_document(
-    genes: DataFrame, transcripts: DataFrame, cds: DataFrame, proteins: DataFrame, domains: DataFrame, limit: int = 5_000
-) -> DataFrame:
-    """Nested gene documents, built bottom-up.
+def gene_exons(cds: DataFrame) -> DataFrame:
+    """The distinct exons of every gene, one row each."""
+    return cds.select("gene_key", "genomic_start_tx", "genomic_end_tx").distinct()
+
+
+def transcript_documents(transcripts: DataFrame, cds: DataFrame, proteins: DataFrame, domains: DataFrame) -> DataFrame:
+    """One row per transcript with its protein, exons in order and domains by position.
 
-    A gene with more than ``limit`` transcripts, and a transcript with more than
-    ``limit`` exons or domains, is split in ``part`` rows or elements; nothing is
-    left out. ``gene_exons`` belongs to the gene as a whole and stands in part 0.
+    A transcript without exons or domains has empty lists, one without protein a null.
     """
-    exon_parts = with_part(cds, ["tx_key"], ["order_in_transcript"], limit)
-    exon_lists = exon_parts.groupBy("tx_key", "part").agg(
+    exons = cds.groupBy("tx_key").agg(
         F.array_sort(
             F.collect_list(
                 F.struct("order_in_transcript", "genomic_start_tx", "genomic_end_tx", "abs_start_cds", "abs_end_cds")
             )
         ).alias("exons")
     )
-    domain_parts = with_part(domains, ["tx_key"], ["type_id", "aa_start", "aa_end", "ext_id"], limit)
-    domain_lists = domain_parts.groupBy("tx_key", "part").agg(
+    placed = domains.groupBy("tx_key").agg(
         F.array_sort(F.collect_list(F.struct("aa_start", "aa_end", "type_id", "ext_id", "name"))).alias("domains")
     )
     protein = proteins.select(
-        "tx_key", F.struct("protein_refseq_id", "protein_ensembl_id", "description", "length").alias("protein"),
-        F.lit(0).alias("part"),
-    )
-    children = exon_lists.join(domain_lists, ["tx_key", "part"], "full_outer").join(protein, ["tx_key", "part"], "left")
-    nested = transcripts.select("gene_key", "tx_key", *TRANSCRIPT_ID_COLUMNS, "tx_start", "tx_end", "canonical").join(
-        children.withColumnRenamed("part", "child_part"), "tx_key"
-    )
-    split = with_part(nested, ["gene_key"], ["tx_key", "child_part"], limit)
-    bodies = split.groupBy("gene_key", "part").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    "tx_key", "child_part", *TRANSCRIPT_ID_COLUMNS, "tx_start", "tx_end", "canonical", "exons", "protein", "domains"
-                )
-            )
-        ).alias("transcripts")
-    )
-    exons = cds.select("gene_key", "genomic_start_tx", "genomic_end_tx").distinct()
-    gene_exons = (
-        with_part(exons, ["gene_key"], ["genomic_start_tx", "genomic_end_tx"], limit)
-        .groupBy("gene_key", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("genomic_start_tx", "genomic_end_tx"))).alias("gene_exons"))
+        "tx_key", F.struct("protein_refseq_id", "protein_ensembl_id", "description", "length").alias("protein")
     )
+    body = transcripts.select("gene_key", "tx_key", *TRANSCRIPT_ID_COLUMNS, "tx_start", "tx_end", "canonical")
+    for children in (protein, exons, placed):
+        body = body.join(children, "tx_key", "left")
+    return body.withColumns({c: F.coalesce(F.col(c), F.array()) for c in ("exons", "domains")})
+
+
+def gene_document(genes: DataFrame, transcripts: DataFrame, cds: DataFrame, proteins: DataFrame, domains: DataFrame) -> DataFrame:
+    """Gene documents, one row per transcript with its gene's columns beside it.
+
+    The layout is the same for every size, so a gene of very many transcripts is never one row. A
+    gene without transcripts has one row with a null ``tx_key``. ``gene_exons`` lists the exons of
+    the gene as a whole.
+    """
     head = ["gene_key", "gene_geneid_id", "gene_ensembl_id", "gene_symbol", "synonyms", "chromosome", "strand", "specie"]
-    return genes.select(*head).join(bodies.join(gene_exons, ["gene_key", "part"], "full_outer"), "gene_key")
+    return genes.select(*head).join(transcript_documents(transcripts, cds, proteins, domains), "gene_key", "left")
 
 
 def transcript_view(transcripts: DataFrame, proteins: DataFrame, *, reviewed_only: bool = False) -> DataFrame:

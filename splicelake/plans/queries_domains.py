@@ -124,7 +124,7 @@ def event_type_join(t: Tables) -> DataFrame:
 
 @query(
     "domains_text",
-    """SELECT protein_refseq_id, protein_ensembl_id, 0 AS part,
+    """SELECT protein_refseq_id, protein_ensembl_id,
        string_agg(concat(coalesce(name, ''), ';', ext_id, ';', aa_start, '-', aa_end, ';', nuc_start, '-', nuc_end), '||'
          ORDER BY aa_start, aa_end, type_id) AS domains_info
        FROM (SELECT tx_key, type_id, aa_start, aa_end, nuc_start, nuc_end, name, replace(string_agg(ext_id, '; ' ORDER BY ext_id), '; ', '/') AS ext_id
@@ -153,8 +153,7 @@ def _domains_text(t: Tables) -> DataFrame:
                FROM spans GROUP BY ALL) e JOIN proteins p ON e.tx_key = p.tx_key GROUP BY 1, 2)
        SELECT coalesce(g.gene_geneid_id, '') AS gene_geneid_id, coalesce(g.gene_ensembl_id, '') AS gene_ensembl_id, gene_symbol, specie AS species,
          coalesce(transcript_refseq_id, '') AS transcript_refseq_id, coalesce(transcript_ensembl_id, '') AS transcript_ensembl_id,
-         coalesce(protein_refseq_id, '') AS protein_refseq_id, coalesce(protein_ensembl_id, '') AS protein_ensembl_id, domains_info,
-         CAST(CASE WHEN domains_info IS NOT NULL THEN 0 END AS INTEGER) AS part
+         coalesce(protein_refseq_id, '') AS protein_refseq_id, coalesce(protein_ensembl_id, '') AS protein_ensembl_id, domains_info
        FROM transcripts t JOIN genes g ON t.gene_key = g.gene_key
        FULL JOIN texts ON coalesce(protein_refseq_id, '') = r AND coalesce(protein_ensembl_id, '') = e""",
 )

@@ -78,7 +78,7 @@ def coding_limits(t: Tables) -> DataFrame:
 @query(
     "exon_usage",
     """SELECT gene_key, lim_start, lim_end, string_agg(tid, ', ' ORDER BY tid) AS transcripts, count(*) AS n_transcripts,
-       dense_rank() OVER (PARTITION BY gene_key ORDER BY lim_start, lim_end) AS group_no, 0 AS part
+       dense_rank() OVER (PARTITION BY gene_key ORDER BY lim_start, lim_end) AS group_no
        FROM (SELECT c.gene_key, coalesce(transcript_refseq_id, transcript_ensembl_id) AS tid,
          CASE WHEN abs_start_cds <> 0 AND cds_start BETWEEN genomic_start_tx AND genomic_end_tx THEN cds_start ELSE genomic_start_tx END AS lim_start,
          CASE WHEN abs_start_cds <> 0 AND cds_end BETWEEN genomic_start_tx AND genomic_end_tx THEN cds_end ELSE genomic_end_tx END AS lim_end

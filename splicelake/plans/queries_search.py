@@ -61,7 +61,7 @@ def search_species_first(t: Tables) -> DataFrame:
 
 @query(
     "did_you_mean",
-    f"""WITH {TIERS_SQL} SELECT term, count(*) AS n_genes, string_agg(DISTINCT gene_symbol, ', ' ORDER BY gene_symbol) AS symbols, 0 AS part
+    f"""WITH {TIERS_SQL} SELECT term, count(*) AS n_genes, string_agg(DISTINCT gene_symbol, ', ' ORDER BY gene_symbol) AS symbols
        FROM close_hits GROUP BY term HAVING count(*) > 1""",
 )
 def did_you_mean(t: Tables) -> DataFrame:
@@ -83,29 +83,41 @@ def gene_document_counts(t: Tables) -> DataFrame:
 
 @query("gene_document", COUNTS_SQL)
 def gene_document(t: Tables) -> DataFrame:
-    """Nested documents, read back as the number of children on each level."""
+    """Gene documents, read back as the number of children on each level."""
     docs = se.gene_document(t.genes, t.transcripts, t.cds, t.proteins, t.domains)
-    total = lambda f: F.coalesce(F.aggregate("transcripts", F.lit(0), f), F.lit(0))
-    size = lambda c: F.when(c.isNull(), 0).otherwise(F.size(c))
-    counted = docs.select(
-        "gene_key",
-        "gene_symbol",
-        "specie",
-        size(F.array_distinct(F.transform("transcripts", lambda x: x["tx_key"]))).alias("_t"),
-        total(lambda a, x: a + size(x["exons"])).alias("_e"),
-        size(F.col("gene_exons")).alias("_g"),
-        total(lambda a, x: a + F.when(x["protein"].isNotNull(), 1).otherwise(0)).alias("_p"),
-        total(lambda a, x: a + size(x["domains"])).alias("_d"),
+    counted = docs.groupBy("gene_key", "gene_symbol", "specie").agg(
+        F.count("tx_key").alias("n_transcripts"),
+        F.sum(F.coalesce(F.size("exons"), F.lit(0))).alias("n_transcript_exons"),
+        F.count("protein").alias("n_proteins"),
+        F.sum(F.coalesce(F.size("domains"), F.lit(0))).alias("n_domains"),
     )
-    summed = counted.groupBy("gene_key").agg(
-        *[
-            F.sum(c).cast("bigint").alias(n)
-            for c, n in (
-                ("_t", "n_transcripts"), ("_e", "n_transcript_exons"), ("_g", "n_gene_exons"), ("_p", "n_proteins"), ("_d", "n_domains")
-            )
-        ]
+    exons = se.gene_exons(t.cds).groupBy("gene_key").agg(F.count("*").alias("n_gene_exons"))
+    return counted.join(exons, "gene_key", "left").na.fill(0, ["n_gene_exons"])
+
+
+@query(
+    "gene_document_items",
+    """WITH x AS (SELECT t.* FROM transcripts t JOIN genes USING (gene_key))
+       SELECT gene_key, tx_key, 'transcript' AS kind, tx_start AS low, tx_end AS high, transcript_refseq_id AS name FROM x
+       UNION ALL SELECT x.gene_key, tx_key, 'exon', genomic_start_tx, genomic_end_tx, CAST(order_in_transcript AS VARCHAR) FROM x JOIN cds USING (tx_key)
+       UNION ALL SELECT x.gene_key, tx_key, 'protein', 1, length, p.protein_refseq_id FROM x JOIN proteins p USING (tx_key)
+       UNION ALL SELECT gene_key, tx_key, 'domain', aa_start, aa_end, ext_id FROM x JOIN domains USING (tx_key)""",
+)
+def gene_document_items(t: Tables) -> DataFrame:
+    """Every transcript, exon, protein and domain that the gene documents hold."""
+    docs = se.gene_document(t.genes, t.transcripts, t.cds, t.proteins, t.domains).filter("tx_key IS NOT NULL")
+
+    def items(rows: DataFrame, kind: str, low: str, high: str, name: str) -> DataFrame:
+        return rows.selectExpr("gene_key", "tx_key", f"'{kind}' AS kind", f"CAST({low} AS BIGINT) AS low", f"CAST({high} AS BIGINT) AS high", f"CAST({name} AS STRING) AS name")
+
+    exons = docs.select("gene_key", "tx_key", F.explode("exons").alias("e"))
+    domains = docs.select("gene_key", "tx_key", F.explode("domains").alias("d"))
+    return (
+        items(docs, "transcript", "tx_start", "tx_end", "transcript_refseq_id")
+        .unionByName(items(exons, "exon", "e.genomic_start_tx", "e.genomic_end_tx", "e.order_in_transcript"))
+        .unionByName(items(docs.filter("protein IS NOT NULL"), "protein", "1", "protein.length", "protein.protein_refseq_id"))
+        .unionByName(items(domains, "domain", "d.aa_start", "d.aa_end", "d.ext_id"))
     )
-    return t.genes.select("gene_key", "gene_symbol", "specie").join(summed, "gene_key", "left").na.fill(0)
 
 
 # --- orthology ----------------------------------------------------------------

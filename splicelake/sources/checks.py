@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from splicelake.schemas import stored_schema
 from splicelake.sources.lines import line_order
 
+#: Stored tables whose rows belong to no single species.
+ALL_SPECIES = ("domain_type", "orthology", "representative_domains")
+
 
 def sniff_headers(spark: SparkSession, path: str, prefixes: Sequence[str]) -> DataFrame:
     """(file, first_line, is_valid) of every file under ``path``.
@@ -36,8 +39,13 @@ def with_validity(df: DataFrame, line: str, prefixes: Sequence[str]) -> DataFram
 
 
 def load_table(spark: SparkSession, folder: str, name: str, species: str | None = None) -> DataFrame:
-    """A stored table, or one species of it."""
-    df = spark.read.schema(stored_schema(name)).parquet(f"{folder}/{name}")
+    """A stored table, or one species of it; ``specie`` is a column of every table but those of all species."""
+    schema = stored_schema(name)
+    if name not in ALL_SPECIES and "specie" not in schema.names:
+        schema = schema.add("specie", "string")
+    df = spark.read.schema(schema).parquet(f"{folder}/{name}")
+    if species is not None and "specie" not in df.columns:
+        raise ValueError(f"{name} is one table for all species")
     return df if species is None else df.filter(F.col("specie") == species)
 
 

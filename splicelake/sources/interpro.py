@@ -109,19 +109,22 @@ XML_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;":
 def _xml_records(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """One row (``xml``) per element of this name.
 
-    Files are cut at the closing tags, so a plain file is read by many tasks. A
-    gzip file is one split; its records are spread before they are parsed.
+    Files are cut at the closing tags, so a plain file is read by many tasks; an element without
+    content may stand before the one that is closed. A gzip file is one split; its records
+    are spread before they are parsed.
     """
     raw = spark.read.option("lineSep", f"</{tag}>").text(path)
-    if path.endswith(".gz"):
+    if any(f.endswith(".gz") for f in raw.inputFiles()):
         raw = raw.repartition(F.xxhash64("value"))
-    body = F.regexp_extract("value", rf"(?s)(<{tag}[\s>].*)$", 1)
-    return raw.select(body.alias("body")).filter("body <> ''").select(F.concat("body", F.lit(f"</{tag}>")).alias("xml"))
+    inside = r"""(?:[^>"'/]++|"[^"]*+"|'[^']*+'|/(?!>))*+"""
+    element = rf"(?s)<{tag}(?=[\s/>]){inside}/>|<{tag}[\s>].*?</{tag}>"
+    closed = F.concat("value", F.lit(f"</{tag}>"))
+    return raw.select(F.explode(F.regexp_extract_all(closed, F.lit(element), F.lit(0))).alias("xml"))
 
 
 def read_interpro_matches(spark: SparkSession, path: str) -> DataFrame:
-    """Representative locations of all proteins: id, domain, span and score."""
-    proteins = _xml_records(spark, path, "protein").select(F.from_xml("xml", MATCH_XML).alias("p")).select("p.*")
+    """Representative locations of all proteins: id, domain, span and score; a malformed record is an error."""
+    proteins = _xml_records(spark, path, "protein").select(F.from_xml("xml", MATCH_XML, {"mode": "FAILFAST"}).alias("p")).select("p.*")
     matches = proteins.select(F.col("_id").alias("protein_interpro_id"), F.explode("match").alias("m"))
     located = matches.select(
         "protein_interpro_id",

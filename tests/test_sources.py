@@ -296,3 +296,21 @@ def test_sinks(spark, tmp_path):
     sinks.export_transcript_domains_csv(export, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv" / "all_species")).count() == 2
     assert spark.read.option("header", True).csv(str(tmp_path / "csv" / "by_species")).filter("species = 'H_sapiens'").count() == 1
+
+
+def test_xml_elements_without_content_hide_no_neighbour(spark, tmp_path):
+    lcn = '<lcn start="1" end="9" score="2.5" representative="true"/>'
+    full = lambda k: f'<protein id="{k}"><match id="M{k}" name="a/b"><ipr id="I{k}" name="n"/>{lcn}</match></protein>\n'
+    (tmp_path / "m.xml").write_text(f'<interpromatch>\n{full("A")}<protein id="B" name="x > y / z"/>\n<protein id="D" />{full("C")}</interpromatch>\n')
+    got = interpro.read_interpro_matches(spark, str(tmp_path / "m.xml")).select("protein_interpro_id", "domain_id", "start", "end").collect()
+    assert sorted(map(tuple, got)) == [("A", "IA", 1, 9), ("C", "IC", 1, 9)]
+    (tmp_path / "d.xml").write_text('<db><interpro id="I1" type="Family"/><interpro id="I2" type="Domain"><abstract>a <b>b</b></abstract></interpro></db>')
+    got = interpro.read_interpro_descriptions(spark, str(tmp_path / "d.xml")).collect()
+    assert sorted(map(tuple, got), key=str) == [("I1", "Family", None), ("I2", "Domain", "a b")]
+
+
+def test_load_table_filters_every_table_of_a_species(spark, tmp_path):
+    df = spark.sql("SELECT 'NM_1' AS transcript_refseq_id, 'H_sapiens' AS specie UNION ALL SELECT 'NM_2', 'M_musculus'")
+    sinks.write_table(sinks.conform(df, "transcripts"), str(tmp_path), "transcripts", by_species=False)
+    got = checks.load_table(spark, str(tmp_path), "transcripts", "M_musculus").collect()
+    assert [r.transcript_refseq_id for r in got] == ["NM_2"]

@@ -9,6 +9,7 @@ from splicelake.functions import coords, ids, text
 from splicelake.operators import domains as dom
 from splicelake.operators import exons as ex
 from splicelake.operators import joins
+from splicelake.operators import search as se
 from splicelake.operators import similarity as sim
 from splicelake.operators import stats
 from splicelake.operators import types as ty
@@ -144,13 +145,30 @@ def test_interval_join_equals_brute_force(spark):
     assert got == want
 
 
-def test_group_text_splits_only_big_groups(spark):
-    df = spark.createDataFrame([("a", str(i)) for i in range(50)] + [("b", "x"), ("b", "y")], "k string, v string")
-    got = group_text(df, ["k"], F.col("v"), ",", "txt", limit=10).collect()
-    assert [r.txt for r in got if r.k == "b"] == ["x,y"]
-    parts = [r for r in got if r.k == "a"]
-    assert len(parts) > 1
-    assert sorted(v for r in parts for v in r.txt.split(",")) == sorted(str(i) for i in range(50))
+def test_group_text_keeps_order_in_groups_of_any_size(spark):
+    df = spark.range(30_000).selectExpr("'a' AS k", "CAST(id AS STRING) AS v", "-id AS s").union(spark.sql("SELECT 'b', 'x', 1L"))
+    got = {r.k: r.txt for r in group_text(df, ["k"], F.col("v"), ",", "txt", sort_by=[F.col("s")]).collect()}
+    assert got == {"a": ",".join(str(i) for i in reversed(range(30_000))), "b": "x"}
+
+
+def test_gene_document_loses_no_transcript(spark):
+    genes = spark.createDataFrame(
+        [(k, f"g{k}", None, f"S{k}", None, "1", "+", "H_sapiens") for k in (1, 2)],
+        "gene_key long, gene_geneid_id string, gene_ensembl_id string, gene_symbol string, synonyms string, chromosome string, strand string, specie string",
+    )
+    tx = spark.createDataFrame(
+        [(1, 10), (1, 11), (1, 12)], "gene_key long, tx_key long"
+    ).selectExpr("*", *[f"CAST(NULL AS STRING) AS {c}" for c in se.TRANSCRIPT_ID_COLUMNS], "1L AS tx_start", "9L AS tx_end", "0 AS canonical")
+    cds = spark.range(1, 6001).selectExpr(
+        "1L AS gene_key", "10L AS tx_key", "CAST(id AS INT) AS order_in_transcript", "id * 10 AS genomic_start_tx", "id * 10 + 5 AS genomic_end_tx", "1 AS abs_start_cds", "2 AS abs_end_cds"
+    )
+    proteins = spark.sql("SELECT t AS tx_key, 'p' AS protein_refseq_id, 'e' AS protein_ensembl_id, 'd' AS description, 5 AS length FROM VALUES (10L), (11L) v(t)")
+    domains = spark.sql("SELECT 11L AS tx_key, 1 AS aa_start, 2 AS aa_end, 3 AS type_id, 'x' AS ext_id, 'n' AS name")
+    docs = {(r.gene_key, r.tx_key): r for r in se.gene_document(genes, tx, cds, proteins, domains).collect()}
+    assert set(docs) == {(1, 10), (1, 11), (1, 12), (2, None)}
+    assert [e.order_in_transcript for e in docs[1, 10].exons] == list(range(1, 6001))
+    assert docs[1, 11].exons == [] and docs[1, 11].protein.length == 5 and len(docs[1, 11].domains) == 1
+    assert docs[1, 12].protein is None and docs[1, 12].exons == [] == docs[1, 12].domains
 
 
 def test_components_over_a_long_chain_and_a_hub(spark):
