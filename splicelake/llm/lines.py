@@ -4,7 +4,7 @@ Two lines within ``tau`` edits share one of ``tau + 1`` segments of the shorter
 can't touch all of them, and the segment lies in the longer line at most a few characters off.
 Every distinct line is indexed by its segments (with its length and the segment's number), and
 probes the indexes of its own length and of up to ``tau`` less with the substrings that can be
-such segments. Pairs that meet and whose character counts are close are verified by a
+such segments. Pairs that meet and whose bigram parities are close are verified by a
 banded bit-parallel edit distance.
 """
 
@@ -115,11 +115,18 @@ def _keys(tau: int, least: int):
     return make
 
 
-_LINES = "doc_id long, row long, line_no int, line long, chars int, counts long"
+def bigram_parity(line: str) -> tuple[int, ...]:
+    """Two numbers of 64 bits each: is the count of bigrams in a class odd?"""
+    codes = np.frombuffer(line.encode("utf-32-le"), "<u4")
+    classes = ((codes[:-1] * np.uint32(2654435761)) ^ (codes[1:] * np.uint32(2246822519))) >> np.uint32(25)
+    return tuple(np.packbits((np.bincount(classes, minlength=128) & 1).astype(np.uint8)).view("<i8").tolist())
+
+
+_LINES = "doc_id long, row long, line_no int, line long, chars int, sign0 long, sign1 long"
 
 
 def _lines(least: int):
-    """Every line of every text: its hash, length and character counts in 8 bytes."""
+    """Every line of every text: its hash, length and the parity of its bigram counts in 128 classes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -127,25 +134,19 @@ def _lines(least: int):
             rows = []
             for doc, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "_text"))):
                 for k, line in enumerate(text.split("\n")):
-                    long = len(line) >= least
-                    counts = np.bincount(np.frombuffer(line.encode("utf-32-le"), "<u4") % 7, minlength=8) if long else ()
-                    packed = int.from_bytes(bytes((np.asarray(counts) & 127).tolist()), "little") if long else 0
-                    rows.append((doc, row, k, digest(line) - (1 << 63), len(line), packed))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-            cols = zip(*rows) if rows else [[]] * 6
+                    signs = bigram_parity(line) if len(line) >= least else (0, 0)
+                    rows.append((doc, row, k, digest(line) - (1 << 63), len(line), *signs))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            cols = zip(*rows) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in _LINES.split(", ")])
 
     return read
 
 
-def _close_counts(tau: int):
-    """Safe bound: an edit changes one or two character counts by one (counts are kept modulo 128)."""
-    total = F.lit(0)
-    for k in range(7):
-        x, y = (F.shiftright(c, 8 * k).bitwiseAND(F.lit(127)) for c in ("a_counts", "b_counts"))
-        gap = F.abs(x - y)
-        total = total + F.least(gap, 128 - gap)
-    return total <= 2 * tau
+def _close_signs(tau: int):
+    """Safe bound: an edit takes at most two bigrams away and adds at most two."""
+    apart = sum(F.bit_count(F.col(f"a_sign{i}").bitwiseXOR(F.col(f"b_sign{i}"))) for i in (0, 1))
+    return apart <= 4 * tau
 
 
 def near_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
@@ -163,10 +164,10 @@ def near_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataF
     )
     met = met.filter("any_probe AND NOT all_probe AND low < high").select("key")
     shared, _ = stage(rows.join(met, "key").distinct())
-    counts, _ = stage(lines.filter(F.col("chars") >= least).groupBy("line").agg(F.max("counts").alias("counts")))
-    named = shared.join(counts, "line")
-    side = lambda s, probe: named.filter(F.col("probe") == probe).select("key", F.col("line").alias(s), F.col("counts").alias(f"{s}_counts"))
-    pairs = side("a", True).join(side("b", False), "key").filter(F.col("a") != F.col("b")).filter(_close_counts(tau))
+    signs, _ = stage(lines.filter(F.col("chars") >= least).groupBy("line").agg(F.max("sign0").alias("sign0"), F.max("sign1").alias("sign1")))
+    named = shared.join(signs, "line")
+    side = lambda s, probe: named.filter(F.col("probe") == probe).select("key", F.col("line").alias(s), *[F.col(f"sign{i}").alias(f"{s}_sign{i}") for i in (0, 1)])
+    pairs = side("a", True).join(side("b", False), "key").filter(F.col("a") != F.col("b")).filter(_close_signs(tau))
     pairs, _ = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # The texts of the lines in question, from the first document that has each.
     asked = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
