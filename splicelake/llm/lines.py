@@ -4,7 +4,8 @@ Two lines within ``tau`` edits share one of ``tau + 1`` segments of the shorter
 can't touch all of them, and the segment lies in the longer line at most a few characters off.
 Every distinct line is indexed by its segments (with its length and the segment's number), and
 probes the indexes of its own length and of up to ``tau`` less with the substrings that can be
-such segments. Pairs that meet and whose bigram parities are close are verified by a
+such segments. First the probes under a key meet one pivot, twice, and classes are formed; then all meet
+that are still in different classes, so a large class never makes all its pairs. Pairs that meet and whose parities of bigrams and characters are close are verified by a
 banded bit-parallel edit distance.
 """
 
@@ -23,6 +24,8 @@ from splicelake.llm.components import components
 
 #: Edits allowed between two lines, and the characters from which a line takes part.
 TAU, MIN_CHARS = 2, 24
+#: Rounds in which the lines under a key meet one pivot only, before all that are not connected yet meet.
+STAR_ROUNDS = 2
 
 
 def segments(length: int, parts: int) -> list[tuple[int, int]]:
@@ -115,18 +118,20 @@ def _keys(tau: int, least: int):
     return make
 
 
-def bigram_parity(line: str) -> tuple[int, ...]:
-    """Two numbers of 64 bits each: is the count of bigrams in a class odd?"""
+def parities(line: str) -> tuple[int, ...]:
+    """Three numbers of 64 bits: is the count of bigrams (128 classes), and of characters (64), odd in each class?"""
     codes = np.frombuffer(line.encode("utf-32-le"), "<u4")
     classes = ((codes[:-1] * np.uint32(2654435761)) ^ (codes[1:] * np.uint32(2246822519))) >> np.uint32(25)
-    return tuple(np.packbits((np.bincount(classes, minlength=128) & 1).astype(np.uint8)).view("<i8").tolist())
+    counts = np.concatenate([np.bincount(classes, minlength=128), np.bincount(codes & np.uint32(63), minlength=64)])
+    return tuple(np.packbits((counts & 1).astype(np.uint8)).view("<i8").tolist())
 
 
-_LINES = "doc_id long, row long, line_no int, line long, chars int, sign0 long, sign1 long"
+SIGNS = ("sign0", "sign1", "sign2")
+_LINES = "doc_id long, row long, line_no int, line long, chars int, sign0 long, sign1 long, sign2 long"
 
 
 def _lines(least: int):
-    """Every line of every text: its hash, length and the parity of its bigram counts in 128 classes."""
+    """Every line of every text: its hash, length and parities."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -134,19 +139,19 @@ def _lines(least: int):
             rows = []
             for doc, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "_text"))):
                 for k, line in enumerate(text.split("\n")):
-                    signs = bigram_parity(line) if len(line) >= least else (0, 0)
+                    signs = parities(line) if len(line) >= least else (0, 0, 0)
                     rows.append((doc, row, k, digest(line) - (1 << 63), len(line), *signs))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            cols = zip(*rows) if rows else [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 3)
+            cols = zip(*rows) if rows else [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in _LINES.split(", ")])
 
     return read
 
 
 def _close_signs(tau: int):
-    """Safe bound: an edit takes at most two bigrams away and adds at most two."""
-    apart = sum(F.bit_count(F.col(f"a_sign{i}").bitwiseXOR(F.col(f"b_sign{i}"))) for i in (0, 1))
-    return apart <= 4 * tau
+    """Safe bound: an edit takes at most two bigrams and one character away and adds as many."""
+    apart = [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SIGNS]
+    return (apart[0] + apart[1] <= 4 * tau) & (apart[2] <= 2 * tau)
 
 
 def near_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
@@ -164,28 +169,44 @@ def near_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataF
     )
     met = met.filter("any_probe AND NOT all_probe AND low < high").select("key")
     shared, _ = stage(rows.join(met, "key").distinct())
-    signs, _ = stage(lines.filter(F.col("chars") >= least).groupBy("line").agg(F.max("sign0").alias("sign0"), F.max("sign1").alias("sign1")))
-    named = shared.join(signs, "line")
-    side = lambda s, probe: named.filter(F.col("probe") == probe).select("key", F.col("line").alias(s), *[F.col(f"sign{i}").alias(f"{s}_sign{i}") for i in (0, 1)])
-    pairs = side("a", True).join(side("b", False), "key").filter(F.col("a") != F.col("b")).filter(_close_signs(tau))
-    pairs, _ = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    signs, _ = stage(lines.filter(F.col("chars") >= least).groupBy("line").agg(*[F.max(c).alias(c) for c in SIGNS]))
+    named, _ = stage(shared.join(signs, "line"))
     # The texts of the lines in question, from the first document that has each.
-    asked = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
+    asked = shared.select("line").distinct()
     where = lines.join(asked, "line").groupBy("line").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("at")).select("line", "at.*")
     spots = where.groupBy("doc_id", "row").agg(F.collect_list(F.struct("line", "line_no")).alias("spots"))
     there = docs["doc_id"].eqNullSafe(spots["doc_id"]) & (docs["row"] == spots["row"])
     picked = docs.join(spots, there).select("spots", F.split("_text", "\n").alias("all"))
     texts = picked.select("all", F.explode("spots").alias("s")).select(F.col("s.line").alias("line"), F.get("all", "s.line_no").alias("said"))
-    texts, _ = stage(texts)
+    texts, _ = stage(texts.dropDuplicates(["line"]))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             said = zip(b.column("x").to_pylist(), b.column("y").to_pylist())
             yield b.select(["a", "b"]).filter(pa.array([edit_distance_within(x, y, tau) for x, y in said], pa.bool_()))
 
-    compared = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    links, _ = stage(compared.mapInArrow(verify, "a long, b long"))
-    roots = components(links).withColumnRenamed("node", "line")
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select("key", F.col("line").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("comp", *SIGNS)])
+
+    links = roots = None
+    for turn in range(STAR_ROUNDS + 1):
+        known = named.withColumn("comp", F.col("line"))
+        if roots is not None:
+            known = named.join(roots, "line", "left").withColumn("comp", F.coalesce("root", "line")).drop("root")
+        mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+        known = known.join(mixed.select("key"), "key")
+        indexed = known.filter("NOT probe")
+        if turn < STAR_ROUNDS:
+            # Pivots differ from key to key, so a line meets several of them in one round.
+            pivot = F.min_by(F.struct("line", "comp", *SIGNS), F.xxhash64(F.lit(turn), "key", "line"))
+            indexed = indexed.groupBy("key").agg(pivot.alias("p")).select("key", "p.*")
+        met = side(known.filter("probe"), "a").join(side(indexed, "b"), "key").filter("a_comp <> b_comp").filter(_close_signs(tau))
+        pairs, _ = stage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        compared = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        more, _ = stage(compared.mapInArrow(verify, "a long, b long"))
+        if roots is None or more.limit(1).count():
+            links = more if links is None else links.unionByName(more)
+            roots = components(links).withColumnRenamed("node", "line")
     rooted = lines.join(roots, "line", "left").withColumn(
         "_class", F.when(F.col("chars") >= least, F.coalesce("root", "line"))
     )
