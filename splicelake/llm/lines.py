@@ -127,25 +127,28 @@ def parities(line: str) -> tuple[int, ...]:
 
 
 SIGNS = ("sign0", "sign1", "sign2")
-_LINES = "doc_id long, row long, line_no int, line long, chars int, sign0 long, sign1 long, sign2 long"
+_LINES = "doc_id long, row long, line_no int, line long, chars int"
+_TEXTS = "line long, said string, sign0 long, sign1 long, sign2 long"
 
 
-def _lines(least: int):
-    """Every line of every text: its hash, length and parities."""
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every line of every text: its hash and length."""
+    digest = xxhash.xxh3_64_intdigest
+    for b in batches:
+        rows = []
+        for doc, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "_text"))):
+            rows += [(doc, row, k, digest(line) - (1 << 63), len(line)) for k, line in enumerate(text.split("\n"))]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+        cols = zip(*rows) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in _LINES.split(", ")])
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
-        for b in batches:
-            rows = []
-            for doc, row, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "_text"))):
-                for k, line in enumerate(text.split("\n")):
-                    signs = parities(line) if len(line) >= least else (0, 0, 0)
-                    rows.append((doc, row, k, digest(line) - (1 << 63), len(line), *signs))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 3)
-            cols = zip(*rows) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in _LINES.split(", ")])
 
-    return read
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parities beside each line in question."""
+    for b in batches:
+        signs = [parities(x) for x in b.column("said").to_pylist()]
+        cols = [pa.array([x[k] for x in signs], pa.int64()) for k in range(len(SIGNS))]
+        yield pa.RecordBatch.from_arrays([b.column("line"), b.column("said"), *cols], names=["line", "said", *SIGNS])
 
 
 def _close_signs(tau: int):
@@ -162,15 +165,13 @@ def near_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataF
     line is the first line, by (doc_id, row, line_no), that links reach, and only that one is
     kept. Shorter lines are all kept and their own class.
     """
-    lines, _ = stage(docs.mapInArrow(_lines(least), _LINES))
+    lines, _ = stage(docs.mapInArrow(_lines, _LINES))
     rows = docs.select("_text").mapInArrow(_keys(tau, least), _KEYS).repartition("key")
     met = rows.groupBy("key").agg(
         F.max("probe").alias("any_probe"), F.min("probe").alias("all_probe"), F.min("line").alias("low"), F.max("line").alias("high")
     )
     met = met.filter("any_probe AND NOT all_probe AND low < high").select("key")
     shared, _ = stage(rows.join(met, "key").distinct())
-    signs, _ = stage(lines.filter(F.col("chars") >= least).groupBy("line").agg(*[F.max(c).alias(c) for c in SIGNS]))
-    named, _ = stage(shared.join(signs, "line"))
     # The texts of the lines in question, from the first document that has each.
     asked = shared.select("line").distinct()
     where = lines.join(asked, "line").groupBy("line").agg(F.min(F.struct("doc_id", "row", "line_no")).alias("at")).select("line", "at.*")
@@ -178,7 +179,9 @@ def near_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataF
     there = docs["doc_id"].eqNullSafe(spots["doc_id"]) & (docs["row"] == spots["row"])
     picked = docs.join(spots, there).select("spots", F.split("_text", "\n").alias("all"))
     texts = picked.select("all", F.explode("spots").alias("s")).select(F.col("s.line").alias("line"), F.get("all", "s.line_no").alias("said"))
-    texts, _ = stage(texts.dropDuplicates(["line"]))
+    signed, _ = stage(texts.dropDuplicates(["line"]).mapInArrow(_signed, _TEXTS))
+    named, _ = stage(shared.join(signed.drop("said"), "line"))
+    texts = signed.select("line", "said")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
