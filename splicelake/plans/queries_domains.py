@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +15,9 @@ from splicelake.operators.ordered import running
 from splicelake.plans.derived import Tables
 from splicelake.plans.registry import query
 from splicelake.session import staged
-from splicelake.sinks.tables import transcript_domains
+from splicelake.sinks.tables import export_transcript_domains_csv, transcript_domains
 from splicelake.sources import interpro
+from splicelake.sources.checks import read_result_csv
 
 KEYS = ["tx_key", "type_id", "aa_start", "aa_end", "ext_id"]
 
@@ -144,9 +148,7 @@ def _domains_text(t: Tables) -> DataFrame:
     return dom.domains_text(events, types, ["protein_refseq_id", "protein_ensembl_id"])
 
 
-@query(
-    "outer_join_domains",
-    """WITH texts AS (SELECT coalesce(protein_refseq_id, '') AS r, coalesce(protein_ensembl_id, '') AS e,
+EXPORT_SQL = """WITH texts AS (SELECT coalesce(protein_refseq_id, '') AS r, coalesce(protein_ensembl_id, '') AS e,
          string_agg(concat(coalesce(name, ''), ';', ext_id, ';', aa_start, '-', aa_end, ';', nuc_start, '-', nuc_end), '||'
            ORDER BY aa_start, aa_end, type_id) AS domains_info
          FROM (SELECT tx_key, type_id, aa_start, aa_end, nuc_start, nuc_end, name, replace(string_agg(ext_id, '; ' ORDER BY ext_id), '; ', '/') AS ext_id
@@ -155,12 +157,23 @@ def _domains_text(t: Tables) -> DataFrame:
          coalesce(transcript_refseq_id, '') AS transcript_refseq_id, coalesce(transcript_ensembl_id, '') AS transcript_ensembl_id,
          coalesce(protein_refseq_id, '') AS protein_refseq_id, coalesce(protein_ensembl_id, '') AS protein_ensembl_id, domains_info
        FROM transcripts t JOIN genes g ON t.gene_key = g.gene_key
-       FULL JOIN texts ON coalesce(protein_refseq_id, '') = r AND coalesce(protein_ensembl_id, '') = e""",
-)
+       FULL JOIN texts ON coalesce(protein_refseq_id, '') = r AND coalesce(protein_ensembl_id, '') = e"""
+
+
+@query("outer_join_domains", EXPORT_SQL)
 def outer_join_domains(t: Tables) -> DataFrame:
     return transcript_domains(t.genes, t.transcripts, _domains_text(t))
 
 
+@query("export_transcript_domains", EXPORT_SQL)
+def export_transcript_domains(t: Tables) -> DataFrame:
+    """The same rows written as the CSV export and read back from it, where an empty id is an empty cell."""
+    folder = t.folder("export", uuid.uuid4().hex)
+    export_transcript_domains_csv(transcript_domains(t.genes, t.transcripts, _domains_text(t)), folder)
+    ids = [f"{kind}_{source}_id" for kind, source in itertools.product(("transcript", "protein"), ("refseq", "ensembl"))]
+    return read_result_csv(t.spark, f"{folder}/all_species").na.fill("", ["gene_geneid_id", "gene_ensembl_id", *ids])
+
+
 # --- intervals ----------------------------------------------------------------
 
 
@@ -232,10 +245,10 @@ def group_name(t: Tables) -> DataFrame:
 
 @query(
     "max_overlap_depth",
-    """SELECT tx_key, max(n) AS max_depth FROM (SELECT tx_key, island, count(*) AS n FROM islands GROUP BY ALL) GROUP BY tx_key""",
+    CLOSE_SQL + " SELECT tx_key, max(n) AS max_depth FROM (SELECT tx_key, grp, count(*) AS n FROM grouped GROUP BY ALL) GROUP BY tx_key",
 )
 def max_overlap_depth(t: Tables) -> DataFrame:
-    return dom.max_overlap_depth(dom.overlap_islands(t.domains), ["island"])
+    return dom.max_overlap_depth(dom.close_groups(t.domains), ["island", "group_at"])
 
 
 @query(

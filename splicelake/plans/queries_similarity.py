@@ -99,7 +99,19 @@ def exon_length_match(t: Tables) -> DataFrame:
     return sim.exon_length_match(t.genes, unique)
 
 
-@query("exon_length_match_within")
+@query(
+    "exon_length_match_within",
+    """WITH RECURSIVE k AS (SELECT upper(gene_symbol) AS symbol, gene_key, row_number() OVER (PARTITION BY upper(gene_symbol) ORDER BY gene_key) AS rn FROM genes),
+       two AS (SELECT a.symbol, a.gene_key AS g1, b.gene_key AS g2 FROM k a JOIN k b ON a.symbol = b.symbol AND a.rn = 1 AND b.rn = 2),
+       l AS (SELECT gene_key, list(len ORDER BY pos, len) AS lens FROM (SELECT DISTINCT gene_key, genomic_start_tx AS pos, genomic_end_tx - genomic_start_tx AS len FROM exons) GROUP BY 1),
+       scan AS (SELECT symbol, 1 AS i, x.lens AS mine, y.lens AS free, CAST(0 AS BIGINT) AS hits FROM two JOIN l x ON x.gene_key = g1 JOIN l y ON y.gene_key = g2
+         UNION ALL SELECT symbol, i + 1, mine, CASE WHEN p > 0 THEN list_slice(free, 1, p - 1) || list_slice(free, p + 1, len(free)) ELSE free END, hits + CASE WHEN p > 0 THEN 1 ELSE 0 END
+         FROM (SELECT *, coalesce(list_position(list_transform(free, lambda m: abs(m - mine[i]) <= 30), true), 0) AS p FROM scan WHERE i <= len(mine))),
+       m AS (SELECT symbol, max(hits) AS matched FROM scan GROUP BY 1)
+       SELECT two.symbol, coalesce(matched, 0) AS matched, CAST(coalesce(len(x.lens), 0) + coalesce(len(y.lens), 0) AS BIGINT) AS n_exons,
+         coalesce(matched, 0) * 2 / CAST(coalesce(len(x.lens), 0) + coalesce(len(y.lens), 0) AS DOUBLE) AS score
+       FROM two LEFT JOIN l x ON x.gene_key = g1 LEFT JOIN l y ON y.gene_key = g2 LEFT JOIN m ON m.symbol = two.symbol WHERE x.lens IS NOT NULL OR y.lens IS NOT NULL""",
+)
 def exon_length_match_within(t: Tables) -> DataFrame:
     """Lengths may differ by 30 bases; greedy in genomic order."""
     unique = t.exons.select("gene_key", "genomic_start_tx", "genomic_end_tx").distinct()

@@ -237,19 +237,38 @@ def json_flatten(t: Tables) -> DataFrame:
     return flat.select(F.substr("accession", F.lit(3)).cast("bigint").alias("event_id"), "*")
 
 
-@query(
-    "page_headers",
-    """SELECT page_id, starts_with(ltrim(html), '<') AS is_error_page, starts_with(ltrim(html), 'Gene stable ID') AND NOT starts_with(ltrim(html), '<') AS is_valid FROM pages""",
-)
+HEADER_SQL = """SELECT page_id, starts_with(ltrim(html), '<') AS is_error_page,
+       starts_with(ltrim(html), 'Gene stable ID') AND NOT starts_with(ltrim(html), '<') AS is_valid FROM pages"""
+
+
+@query("page_headers", HEADER_SQL)
 def page_headers(t: Tables) -> DataFrame:
     """First-line test of every page as if it were a saved table."""
     lines = t.source("pages").select("page_id", F.ltrim(F.split_part("html", F.lit("\n"), F.lit(1))).alias("first_line"))
     return checks.with_validity(lines, "first_line", ["Gene stable ID"]).drop("first_line")
 
 
-@query("sniff_headers")
+@query("sniff_headers", HEADER_SQL)
 def sniff_headers(t: Tables) -> DataFrame:
-    return checks.sniff_headers(t.spark, files.header_files(t), ["Gene stable ID"]).select("is_error_page", "is_valid")
+    """The same test on every page saved as a file."""
+    found = checks.sniff_headers(t.spark, files.header_files(t), ["Gene stable ID"])
+    page = F.regexp_extract("file", "/page_id=([0-9]+)/", 1).cast("bigint")
+    return found.select(page.alias("page_id"), "is_error_page", "is_valid")
+
+
+@query("uniprot_idmap", "SELECT accession, coalesce(refseq_id, '') AS refseq_id, coalesce(enst_id, '') AS enst_id FROM mapping")
+def uniprot_idmap(t: Tables) -> DataFrame:
+    """The mapping file read back, empty cells as empty strings."""
+    return interpro.read_uniprot_idmap(t.spark, files.uniprot_idmap_file(t)).drop("ord")
+
+
+@query(
+    "interpro_descriptions",
+    """SELECT DISTINCT accession, entry_type AS type, concat('about ', accession, ' & its kin') AS description FROM entry_index
+       WHERE accession IS NOT NULL AND entry_type IS NOT NULL""",
+)
+def interpro_descriptions(t: Tables) -> DataFrame:
+    return interpro.read_interpro_descriptions(t.spark, files.description_xml(t))
 
 
 @query(

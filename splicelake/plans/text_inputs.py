@@ -255,14 +255,37 @@ def result_csv(t: Tables) -> str:
 
 
 def header_files(t: Tables) -> str:
-    """Pages as text files; each begins as the page does, so all are error pages unless empty."""
+    """Every page as a saved file of its own, with its whole text."""
 
     def write(path: str) -> None:
-        first = t.source("pages").select("page_id", F.split_part("html", F.lit("\n"), F.lit(1)).alias("value"))
-        first.select("value").write.mode("overwrite").text(path)
+        pages = t.source("pages").select("page_id", F.col("html").alias("value"))
+        pages.repartition("page_id").write.mode("overwrite").partitionBy("page_id").text(path)
 
     return _once(t, "header_files", write)
 
 
+def uniprot_idmap_file(t: Tables) -> str:
+    """The headerless mapping file: 22 columns, of which three are filled."""
+
+    def write(path: str) -> None:
+        filled = {0: "accession", 3: "refseq_id", 19: "enst_id"}
+        cells = [F.coalesce(filled[i], F.lit("")) if i in filled else F.lit(f"x{i}") for i in range(22)]
+        t.mapping.select(F.concat_ws("\t", *cells).alias("value")).write.mode("overwrite").text(path)
+
+    return _once(t, "uniprot_idmap", write)
+
+
+def description_xml(t: Tables) -> str:
+    """Entries with marked-up abstracts that run over several lines."""
+
+    def write(path: str) -> None:
+        record = """concat('<interpro id="', accession, '" type="', entry_type, '"><name>n</name>\n  <abstract><p>about <b>', accession,
+            '</b>\n  &amp; its <cite idref="x"/> kin</p></abstract>\n</interpro>') AS value"""
+        entries = t.entries.filter("accession IS NOT NULL AND entry_type IS NOT NULL").select("accession", "entry_type").distinct()
+        entries.selectExpr(record).write.mode("overwrite").text(path)
+
+    return _once(t, "description_xml", write)
+
+
 def mapping_files(t: Tables) -> str:
     return _once(t, "mapping_files", lambda path: t.mapping.repartition(4).write.mode("overwrite").parquet(path))
