@@ -1,10 +1,13 @@
 """Line de-duplication by a segment-partition edit join.
 
+Equal lines belong together whatever their length, by their hash. Lines may also differ by an edit for every
+``PER_EDIT`` characters of the shorter one, up to ``tau``: none below 12 characters, one from 12, two from 24.
+
 Two lines within ``tau`` edits share one of ``tau + 1`` segments of the shorter one, as ``tau`` edits
 can't touch all of them, and the segment lies in the longer line at most a few characters off.
-Every distinct line is indexed by its segments (with its length and the segment's number), and
+Every distinct line that may differ is indexed by its segments (with its length and the segment's number), and
 probes the indexes of its own length and of up to ``tau`` less with the substrings that can be
-such segments. First the probes under a key meet one pivot, twice, and classes are formed; then all meet
+such segments; the edits are those of the shorter length. First the probes under a key meet one pivot, twice, and classes are formed; then all meet
 that are still in different classes, so a large class never makes all its pairs. Pairs that meet and whose parities of bigrams and characters are close are verified by a
 banded bit-parallel edit distance.
 """
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 from splicelake.llm.common import short_batches, stage, text_of
 from splicelake.llm.components import components
 
-#: Edits allowed between two lines, and the characters from which a line takes part.
+#: Most edits allowed between two lines, and the default of the characters from which a line takes part.
 TAU, MIN_CHARS = 2, 24
+#: Characters of the shorter line for each edit.
+PER_EDIT = 12
 #: Rounds in which the lines under a key meet one pivot only, before all that are not connected yet meet.
 STAR_ROUNDS = 2
 
@@ -39,6 +44,11 @@ def segments(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
+def edits_of(length: int, tau: int) -> int:
+    """Edits by which a line of ``length`` characters may differ from a longer one."""
+    return min(tau, length // PER_EDIT)
+
+
 def probe_places(own: int, other: int, tau: int) -> list[tuple[int, int, int]]:
     """(segment, start, size) of the substrings of a line of ``own`` characters to look up for lines of ``other``.
 
@@ -96,15 +106,16 @@ def _keys(tau: int, least: int):
             for text in b.column(0).to_pylist():
                 for line in text.split("\n"):
                     n = len(line)
-                    if n < least or line in seen:
+                    if n < least or not edits_of(n, tau) or line in seen:
                         continue
                     seen.add(line)
                     if n not in plans:
-                        index = [(n * 8 + k, s, s + size) for k, (s, size) in enumerate(segments(n, tau + 1))]
+                        index = [(n * 8 + k, s, s + size) for k, (s, size) in enumerate(segments(n, edits_of(n, tau) + 1))]
                         look = [
                             (other * 8 + k, s, s + size)
                             for other in range(max(least, n - tau), n + 1)
-                            for k, s, size in probe_places(n, other, tau)
+                            if n - other <= edits_of(other, tau) > 0
+                            for k, s, size in probe_places(n, other, edits_of(other, tau))
                         ]
                         plans[n] = index, look
                     index, look = plans[n]
@@ -128,7 +139,7 @@ def parities(line: str) -> tuple[int, ...]:
 
 SIGNS = ("sign0", "sign1", "sign2")
 _LINES = "doc_id long, row long, line_no int, line long, chars int"
-_TEXTS = "line long, said string, sign0 long, sign1 long, sign2 long"
+_TEXTS = "line long, said string, sign0 long, sign1 long, sign2 long, edits int"
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,27 +154,34 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in _LINES.split(", ")])
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The parities beside each line in question."""
-    for b in batches:
-        signs = [parities(x) for x in b.column("said").to_pylist()]
-        cols = [pa.array([x[k] for x in signs], pa.int64()) for k in range(len(SIGNS))]
-        yield pa.RecordBatch.from_arrays([b.column("line"), b.column("said"), *cols], names=["line", "said", *SIGNS])
+def _signed(tau: int):
+    """The parities, and the edits allowed, beside each line in question."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = b.column("said").to_pylist()
+            signs = [parities(x) for x in said]
+            cols = [pa.array([x[k] for x in signs], pa.int64()) for k in range(len(SIGNS))]
+            edits = pa.array([edits_of(len(x), tau) for x in said], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("line"), b.column("said"), *cols, edits], names=["line", "said", *SIGNS, "edits"])
+
+    return make
 
 
-def _close_signs(tau: int):
+def _close_signs():
     """Safe bound: an edit takes at most two bigrams and one character away and adds as many."""
     apart = [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SIGNS]
-    return (apart[0] + apart[1] <= 4 * tau) & (apart[2] <= 2 * tau)
+    edits = F.least("a_edits", "b_edits")
+    return (apart[0] + apart[1] <= 4 * edits) & (apart[2] <= 2 * edits)
 
 
 def near_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
     """One row per line: ``doc_id, row, line_no, line, class_doc, class_line, kept``.
 
     ``docs`` has ``doc_id, row, _text``; ``doc_id`` and ``row`` together name a text. Lines of at least
-    ``least`` characters are linked when they are equal or within ``tau`` edits; the class of a
-    line is the first line, by (doc_id, row, line_no), that links reach, and only that one is
-    kept. Shorter lines are all kept and their own class.
+    ``least`` characters are linked when they are equal or within the edits of the shorter one (``edits_of``);
+    the class of a line is the first line, by (doc_id, row, line_no), that links reach, and only that one is
+    kept. Shorter lines are all kept and their own class; with ``least`` 1 these are the empty lines only.
     """
     lines, _ = stage(docs.mapInArrow(_lines, _LINES))
     rows = docs.select("_text").mapInArrow(_keys(tau, least), _KEYS).repartition("key")
@@ -179,17 +197,18 @@ def near_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataF
     there = docs["doc_id"].eqNullSafe(spots["doc_id"]) & (docs["row"] == spots["row"])
     picked = docs.join(spots, there).select("spots", F.split("_text", "\n").alias("all"))
     texts = picked.select("all", F.explode("spots").alias("s")).select(F.col("s.line").alias("line"), F.get("all", "s.line_no").alias("said"))
-    signed, _ = stage(texts.dropDuplicates(["line"]).mapInArrow(_signed, _TEXTS))
+    signed, _ = stage(texts.dropDuplicates(["line"]).mapInArrow(_signed(tau), _TEXTS))
     named, _ = stage(shared.join(signed.drop("said"), "line"))
     texts = signed.select("line", "said")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             said = zip(b.column("x").to_pylist(), b.column("y").to_pylist())
-            yield b.select(["a", "b"]).filter(pa.array([edit_distance_within(x, y, tau) for x, y in said], pa.bool_()))
+            near = [edit_distance_within(x, y, edits_of(min(len(x), len(y)), tau)) for x, y in said]
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     def side(rows: DataFrame, s: str) -> DataFrame:
-        return rows.select("key", F.col("line").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("comp", *SIGNS)])
+        return rows.select("key", F.col("line").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("comp", *SIGNS, "edits")])
 
     links = roots = None
     for turn in range(STAR_ROUNDS + 1):
@@ -201,9 +220,9 @@ def near_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataF
         indexed = known.filter("NOT probe")
         if turn < STAR_ROUNDS:
             # Pivots differ from key to key, so a line meets several of them in one round.
-            pivot = F.min_by(F.struct("line", "comp", *SIGNS), F.xxhash64(F.lit(turn), "key", "line"))
+            pivot = F.min_by(F.struct("line", "comp", *SIGNS, "edits"), F.xxhash64(F.lit(turn), "key", "line"))
             indexed = indexed.groupBy("key").agg(pivot.alias("p")).select("key", "p.*")
-        met = side(known.filter("probe"), "a").join(side(indexed, "b"), "key").filter("a_comp <> b_comp").filter(_close_signs(tau))
+        met = side(known.filter("probe"), "a").join(side(indexed, "b"), "key").filter("a_comp <> b_comp").filter(_close_signs())
         pairs, _ = stage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         compared = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
         more, _ = stage(compared.mapInArrow(verify, "a long, b long"))

@@ -183,5 +183,5 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("op2_line_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document that repeat an earlier line, give or take two edits."""
-    return line_dedup(table(spark, sf_dir, "documents"))
+    """Non-empty lines of every document that repeat an earlier line, give or take an edit for 12 characters, two at most."""
+    return line_dedup(table(spark, sf_dir, "documents"), least=1)

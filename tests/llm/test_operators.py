@@ -16,7 +16,7 @@ from splicelake.llm.jaccard import near_groups, tree_overlaps
 from splicelake.llm.lines import edit_distance_within, line_dedup
 from splicelake.llm.mixing import mix
 from splicelake.llm.quality import apply_quality, fit_quality
-from splicelake.llm.queries import tokenizer_path
+from splicelake.llm.queries import QUERIES, tokenizer_path
 from splicelake.llm.repeats import remove_repeats
 
 LONG = " ".join(f"word{k % 97}x{k % 31}" for k in range(4000))
@@ -89,6 +89,48 @@ def test_line_dedup_matches_brute_force(docs_of):
     assert got == {i: ",".join(want[i]) for i, _ in rows}
 
 
+def test_line_dedup_query_takes_short_lines_too(docs_of, spark, tmp_path):
+    rng = np.random.default_rng(8)
+    base = ["All rights reserved.", "Menu", "contact us", "a line of about thirty letters", "exactly 12 ch", "x", ""]
+    rows = []
+    for i in range(60):
+        said = list(base[i % 7])
+        for _ in range(int(rng.integers(0, 3))):
+            at = int(rng.integers(len(said) + 1))
+            said[at : at + int(rng.integers(0, 2))] = "#" * int(rng.integers(0, 2))
+        rows.append((i, "".join(said) + "\n" + base[(i + 1) % 7] + "\n" + base[(i + 3) % 7]))
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["dropped"] for r in QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
+    said = [(i, k, x) for i, t in rows for k, x in enumerate(t.split("\n"))]
+    root = list(range(len(said)))
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    for p in range(len(said)):
+        for q in range(p):
+            x, y = said[p][2], said[q][2]
+            n = min(len(x), len(y))
+            if n and (x == y or n >= 12 and distance(x, y) <= (1 if n < 24 else 2)):
+                a, b = sorted((find(p), find(q)))
+                root[b] = a
+    want = defaultdict(list)
+    for p, (i, k, _) in enumerate(said):
+        if find(p) != p:
+            want[i].append(str(k))
+    assert got == {i: ",".join(want[i]) for i, _ in rows}
+
+
 @pytest.mark.parametrize("text", ["<|im_end|>", "<\\|x", "a<\\\\|b<|", "plain"])
 def test_escape_round_trip(text):
     assert unescaped(escaped(text)) == text and "<|" not in escaped(text)
