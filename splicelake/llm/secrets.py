@@ -1,7 +1,9 @@
 """Secret scan: fixed patterns and a character convolutional network over every candidate.
 
-Candidates are tokens of at least ``MIN_TOKEN`` characters with a letter and a digit. The
-network sees a candidate with the characters around it. It is trained on labelled findings: candidates
+Candidates are tokens of at least ``MIN_TOKEN`` characters with a letter and a digit, and after a word that
+speaks for a secret (``CONTEXT``) all tokens of at least ``MIN_KEYED``. The network sees a candidate with the
+characters around it, a long one in overlapping views over its whole length and its parts between / . = - once
+more; the largest score counts, and the span is the whole candidate's. It is trained on labelled findings: candidates
 of a bounded sample of documents, labelled by the fixed patterns, and made-up keys and
 harmless tokens of many shapes. Scores are calibrated on held-out findings, and the threshold is
 the largest that keeps ``RECALL`` of the held-out secrets.
@@ -29,20 +31,31 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]*")
 
-MIN_TOKEN = 16
+#: Before a token, these speak for a secret whatever its length and characters.
+CONTEXT = re.compile(
+    r"""(?:(?:pwd|pass(?:word|wd|phrase|code)?|secret|token|credentials?|auth(?:orization)?|key|login)["']?\x20*[:=]\x20*["']?(?:(?:bearer|basic)\x20+)?|bearer\x20+)([A-Za-z0-9+/_.=-]+)""",
+    re.I | re.A,
+)
+PARTS = re.compile(r"[^/.=-]+")
+
+#: Least characters of a token, and of one after ``CONTEXT`` (as for the fixed pattern).
+MIN_TOKEN, MIN_KEYED = 16, 6
 #: The network's view: characters before the candidate, of it, and after it.
 BEFORE, INSIDE, AFTER = 16, 40, 4
+#: From one view of a long candidate to the next.
+STEP = 20
 VIEW = BEFORE + INSIDE + AFTER
 FILTERS, WIDTH = 16, 5
 #: Bounds of the training set: documents sampled, findings of either label kept, made-up ones added.
-TRAIN_DOCUMENTS, TRAIN_FINDINGS, MADE_UP = 20_000, 1_500, 1_500
+TRAIN_DOCUMENTS, TRAIN_FINDINGS, MADE_UP = 20_000, 1_500, 6_000
 RECALL = 0.98
 
 # Character classes of the network: digits, hex letters, other letters by case, each sign, space, beyond ASCII, padding.
 _CLASS = {**{c: 1 for c in "0123456789"}, **{c: 2 for c in "abcdef"}, **{c: 3 for c in "ABCDEF"}}
 _CLASS |= {c: 4 for c in "ghijklmnopqrstuvwxyz"} | {c: 5 for c in "GHIJKLMNOPQRSTUVWXYZ"} | {c: 6 for c in " \t\n"}
 _CLASS |= {c: 7 + k for k, c in enumerate("+/_=.-:\"'")}
-SYMBOLS = 18  # 0 padding, 16 other ASCII, 17 beyond ASCII
+KEYED = 18  # in place of the three characters before a token after CONTEXT
+SYMBOLS = 19  # 0 padding, 16 other ASCII, 17 beyond ASCII
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -57,23 +70,49 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Tokens with a digit and a letter and at least ``MIN_TOKEN`` characters."""
-    at = 0
+def keyed_spans(text: str) -> dict[int, int]:
+    """Start and end of the tokens after a word that speaks for a secret."""
+    return {m.start(1): m.end(1) for m in CONTEXT.finditer(text) if m.end(1) - m.start(1) >= MIN_KEYED}
+
+
+def candidates(text: str, keyed: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Tokens with a digit and a letter and at least ``MIN_TOKEN`` characters, and the keyed ones outside these."""
+    at, taken = 0, []
     while m := DIGIT.search(text, at):
         start = m.start()
         while start > at and TOKEN.fullmatch(text[start - 1]) and text[start - 1]:
             start -= 1
         end = at = TOKEN.match(text, m.start()).end()
         if end - start >= MIN_TOKEN and not text[start:end].isdigit():
+            taken.append((start, end))
             yield start, end
+    inside = 0
+    for start, end in sorted(keyed.items()):
+        while inside < len(taken) and taken[inside][1] <= start:
+            inside += 1
+        if inside == len(taken) or end <= taken[inside][0]:
+            yield start, end
+
+
+def places(text: str, start: int, end: int, keyed: dict[int, int]) -> list[tuple[int, int]]:
+    """What the network judges of a candidate: views over its whole length, its long parts, and keyed tokens in it."""
+    whole = [(start, end)] + [(p.start(), p.end()) for p in PARTS.finditer(text, start, end) if p.end() - p.start() >= MIN_TOKEN]
+    whole += [(at, keyed[at]) for at in range(start + 1, end) if at in keyed] if keyed else []
+    out = []
+    for s, e in whole:
+        last = max(s, e - INSIDE)
+        out += [(at, min(at + INSIDE, e)) for at in (*range(s, last, STEP), last)]
+    return list(dict.fromkeys(out))
 
 
-def view(text: str, start: int, end: int) -> np.ndarray:
-    """The classes of the characters that the network sees."""
+def view(text: str, start: int, end: int, keyed: bool = False) -> np.ndarray:
+    """The classes of the characters that the network sees of at most ``INSIDE`` characters and around them."""
     shown = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + text[start : min(end, start + INSIDE)].ljust(INSIDE, "\0")
     shown += text[end : end + AFTER].ljust(AFTER, "\0")
-    return np.array([0 if c == "\0" else _CLASS.get(c, 16 if c < "\x80" else 17) for c in shown], np.int64)
+    out = np.array([0 if c == "\0" else _CLASS.get(c, 16 if c < "\x80" else 17) for c in shown], np.int64)
+    if keyed:
+        out[BEFORE - 3 : BEFORE] = KEYED
+    return out
 
 
 @dataclass
@@ -102,14 +141,17 @@ class SecretModel:
 
 
 def _made_up(n: int, seed: int) -> tuple[list[np.ndarray], list[int]]:
-    """Keys of many shapes in contexts of many kinds, and harmless tokens."""
+    """Views of keys of many shapes in contexts of many kinds, some behind long names and paths or short, and of harmless tokens."""
     rng = np.random.default_rng(seed)
     pick = lambda alphabet, k: "".join(rng.choice(list(alphabet), k))
     lower, upper, digits, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
     word = lambda: pick("aeiou", 1) + pick(lower, int(rng.integers(2, 7)))
-    views, labels = [], []
+    views, labels, turn = [], [], 0
+    names = lambda sign: sign.join(word() for _ in range(int(rng.integers(3, 16))))
+    contexts = ("pwd", "pass", "password", "passphrase", "secret", "token", "auth", "key", "login")
     while len(views) < n:
-        size, secret = int(rng.integers(20, 64)), len(views) % 2
+        size, secret, kind = int(rng.integers(20, 64)), turn % 2, int(rng.integers(6))
+        turn += 1
         if secret:
             shapes = (
                 pick(hexa, size), pick(hexa, size).upper(), pick(lower + upper + digits, size), pick(lower + upper + digits + "+/", size) + "=" * int(rng.integers(0, 3)),
@@ -124,10 +166,25 @@ def _made_up(n: int, seed: int) -> tuple[list[np.ndarray], list[int]]:
             )
             lead = ("", word() + " ", word() + ", ", "see ", "https:", "(", word() + "@", word() + ".")
         token = shapes[int(rng.integers(len(shapes)))]
-        before = f"{word()} {word()} " + lead[int(rng.integers(len(lead)))]
-        text = before + token + str(rng.choice(["", " ", ".", '"', "\n"])) + word()
-        views.append(view(text, len(before), len(before) + len(token)))
-        labels.append(secret)
+        before, prefix = f"{word()} {word()} " + lead[int(rng.integers(len(lead)))], ""
+        if kind == 0:  # after a word that speaks for a secret, and short
+            k = int(rng.integers(6, 16))
+            short = (pick(lower + upper + digits, k), word() + pick(digits, int(rng.integers(1, 5))), pick(lower + upper, k), pick(digits, k))
+            token = short[int(rng.integers(4))] if secret else (word(), word() + word(), word() + "-" + word(), word() + "." + word())[int(rng.integers(4))]
+            before = f"{word()} {contexts[int(rng.integers(len(contexts)))]}" + str(rng.choice([": ", "=", " = ", ":", ' = "']))
+            if len(token) < MIN_KEYED:
+                token += pick(digits, MIN_KEYED) if secret else word() + "able"
+        elif kind == 1:  # behind a long name or path
+            prefix = (f"{names('.')}/{word()}/T{pick(digits, 8)}/B{pick(digits, 8)}/", names("_") + "_", names("/") + "/", names(".") + ".", names("-") + "=")[int(rng.integers(5))]
+        start, key = len(before), len(before) + len(prefix)
+        end = key + len(token)
+        text = before + prefix + token + str(rng.choice(["", " ", ".", '"', "\n"])) + word()
+        keyed = keyed_spans(text)
+        for s, e in places(text, start, end, keyed):
+            shared = e - max(s, key)
+            if not secret or shared <= 0 or shared >= min(MIN_TOKEN, end - key):  # neither one nor the other: left out
+                views.append(view(text, s, e, s in keyed))
+                labels.append(int(secret and shared > 0))
     return views, labels
 
 
@@ -181,10 +238,15 @@ def fit_secrets(docs: DataFrame) -> SecretModel:
         for b in batches:
             views, labels = [], []
             for text in b.column(0).to_pylist():
-                base = base_spans(text)
-                for s, e in candidates(text):
-                    views.append(view(text, s, e).astype(np.int8).tobytes())
-                    labels.append(any(a < e and s < z for a, _, z in base))
+                base, keyed = base_spans(text), keyed_spans(text)
+                for start, end in candidates(text, keyed):
+                    near = [(a, z) for a, _, z in base if a < end and start < z]
+                    for s, e in places(text, start, end, keyed):
+                        shared = max((min(e, z) - max(s, a) for a, z in near), default=0)
+                        # The patterns say nothing about a view with less of a finding, nor about other keyed tokens.
+                        if shared >= min(MIN_TOKEN, e - s) or shared <= 0 and s not in keyed:
+                            views.append(view(text, s, e, s in keyed).astype(np.int8).tobytes())
+                            labels.append(shared > 0)
             yield pa.RecordBatch.from_arrays([pa.array(views, pa.binary()), pa.array(labels, pa.bool_())], names=["view", "secret"])
 
     found = sampled.select(text_of()).mapInArrow(look, "view binary, secret boolean").distinct()
@@ -213,9 +275,16 @@ def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
         for b in batches:
             texts = b.column("_text").to_pylist()
             per_text = [base_spans(t) for t in texts]
-            open_ones = [(k, s, e) for k, t in enumerate(texts) for s, e in candidates(t) if not any(a < e and s < z for a, _, z in per_text[k])]
+            open_ones, views, firsts = [], [], []
+            for k, t in enumerate(texts):
+                keyed = keyed_spans(t)
+                for s, e in candidates(t, keyed):
+                    if not any(a < e and s < z for a, _, z in per_text[k]):
+                        open_ones.append((k, s, e))
+                        firsts.append(len(views))
+                        views += [view(t, x, y, x in keyed).astype(np.int8) for x, y in places(t, s, e, keyed)]
             if open_ones:
-                chance = m.chances(np.stack([view(texts[k], s, e) for k, s, e in open_ones]))
+                chance = np.maximum.reduceat(m.chances(np.stack(views)), firsts)
             all_spans = [list(x) for x in per_text]
             for (k, s, e), p in zip(open_ones, chance if open_ones else ()):
                 if p >= m.threshold:

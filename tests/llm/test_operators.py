@@ -172,6 +172,23 @@ def test_secrets(docs_of):
     assert (chance[labels == 1] >= model.threshold).mean() > 0.93 and (chance[labels == 0] >= model.threshold).mean() < 0.1
 
 
+def test_secrets_behind_long_beginnings_and_short_ones_after_a_word(docs_of):
+    key, mixed = "Zk4vQ8xT2mB7nR1wY6cJ9pLd", "qT7xKp2ZrW9v"
+    keys = [
+        f"hooks.host.example/services/T00000000/B00000000/{key}", "service_of_the_northern_branch_office_and_more_" + key,
+        "alpha.beta.gamma.delta.epsilon.zeta.eta.theta.iota2=" + key, "a/long/way/to/the/place/where/nothing/else/is/kept/v2/" + key,
+    ]
+    rows = [(k, f"see {t} there") for k, t in enumerate(keys)]
+    rows += [(10, f"the pwd: {mixed} was set"), (11, "pwd: kTqZwPxRvBnM today"), (12, "Authorization: Bearer " + mixed)]
+    rows += [(20, "the key: remember this"), (21, "a/long/way/to/the/place/where/nothing/else/is/kept/page2.html")]
+    views, labels = secrets._made_up(6000, 40)
+    model = secrets.train(np.stack(views), np.array(labels))
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs_of(rows), model).collect()}
+    assert [got[k] for k in range(4)] == [f"model:4:{4 + len(t)}" for t in keys]
+    assert got[10] == "model:9:21" and got[11] == "model:5:17" and got[12] == "model:22:34"
+    assert got[20] == got[21] == ""
+
+
 def test_mixing(docs_of):
     rng = np.random.default_rng(3)
     rows = [(i, "w " * int(rng.integers(1, 60)), ("a", "b", "c", None)[0 if i % 3 else i % 4]) for i in range(600)] + [(600, None, "z")]
