@@ -169,15 +169,18 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pack(pieces: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFrame:
     """Add ``sequence_id, offset`` to pieces with a ``length`` of 1 to ``capacity``.
 
-    Pieces are dealt at random (by a hash of their row number) into groups of about
+    Pieces shorter than ``capacity`` are dealt at random (by a hash of their row number) into groups of about
     ``group``, and every group is packed by its own task; take a smaller group if the
-    pieces carry their ids. A full piece is a sequence of its own. A group leaves one or two sequences with more room
+    pieces carry their ids. A full piece is a sequence of its own and meets no group: its id is
+    -1 minus its row number, where those of the groups are 0 and more. A group leaves one or two sequences with more room
     than the rest, so the loss is about one sequence in several thousand.
     """
     kept, _ = stage(pieces)
     groups = max(1, -(-kept.filter(F.col("length") < capacity).count() // group))
     # The staged files fix every row's number, so a repeated task deals as the first one did.
-    dealt = kept.withColumn("_g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    numbered = kept.withColumn("_n", F.monotonically_increasing_id())
+    full = numbered.filter(F.col("length") >= capacity).select(*kept.columns, F.lit(0).cast("long").alias("offset"), (-1 - F.col("_n")).alias("sequence_id"))
+    dealt = numbered.filter(F.col("length") < capacity).withColumn("_g", F.pmod(F.xxhash64("_n"), F.lit(groups))).drop("_n")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema) + ", _g long, _bin long, offset long"
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -186,4 +189,4 @@ def pack(pieces: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFra
         return pdf.assign(_bin=bins, offset=offsets)
 
     packed = dealt.groupBy("_g").applyInPandas(fill, schema)
-    return packed.withColumn("sequence_id", F.col("_bin") * F.lit(groups) + F.col("_g")).drop("_g", "_bin")
+    return packed.withColumn("sequence_id", F.col("_bin") * F.lit(groups) + F.col("_g")).drop("_g", "_bin").unionByName(full)

@@ -239,6 +239,16 @@ def test_packing(docs_of):
         assert at <= 512
 
 
+def test_full_pieces_meet_no_packing_group(spark):
+    pieces = spark.range(3000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "IF(id % 100 = 0, 3L, 8L) AS length")
+    packed = packing.pack(pieces.repartition(5), capacity=8, group=10)
+    rows = packed.collect()
+    full = [r for r in rows if r["length"] == 8]
+    assert len(rows) == 3000 and len(full) == 2970 and {r["offset"] for r in full} == {0}
+    assert len({r["sequence_id"] for r in full}) == 2970 and not {r["sequence_id"] for r in full} & {r["sequence_id"] for r in rows if r["length"] < 8}
+    assert {r["doc_id"] for r in rows if r["sequence_id"] < 0} == {r["doc_id"] for r in full}
+
+
 def test_best_fit_takes_the_tightest_bin():
     lengths = np.array([6, 5, 4, 3, 2, 2])
     bins, offsets = packing.best_fit_decreasing(lengths, 10)
