@@ -202,6 +202,18 @@ def _tables(docs: DataFrame, make) -> dict[int, np.ndarray]:
     return {r["k"]: np.frombuffer(r["v"], "<f8") for r in rows.collect()}  # a few vectors of fixed size
 
 
+def threshold_step(good: np.ndarray, bad: np.ndarray, loss: float) -> int:
+    """The score bin below which documents go, from the good and bad mass of every bin.
+
+    At most ``loss`` of the good mass lies below. Within that the bin is the last at which the bad mass
+    below exceeds the good mass below by most, so a few good documents among many bad ones move nothing.
+    """
+    below = np.cumsum(good) - good
+    most = int(np.flatnonzero(below <= loss * max(good.sum(), 1e-9)).max())
+    gain = np.concatenate([[0.0], np.cumsum(bad - good)])[: most + 1]
+    return most - int(gain[::-1].argmax())
+
+
 def fit_quality(docs: DataFrame, loss: float = LOSS) -> QualityModel:
     """Fit labellers, scorer and threshold on all documents; three passes, none gathers texts."""
     short_batches(docs.sparkSession)
@@ -240,11 +252,7 @@ def fit_quality(docs: DataFrame, loss: float = LOSS) -> QualityModel:
     held = _tables(docs, spread)
     if not held:
         return model
-    below = np.cumsum(held[1]) - held[1]
-    step = int(np.flatnonzero(below <= loss * max(held[1].sum(), 1e-9)).max())
-    # Not above the point where what is cut stops being mostly bad.
-    worst = np.flatnonzero(held[1] > held[0])
-    step = min(step, int(worst.min())) if len(worst) else step
+    step = threshold_step(held[1], held[0], loss)
     return QualityModel(share, table, posterior, weights, step * STEP - SPAN)
 
 

@@ -15,7 +15,7 @@ from splicelake.llm.fingerprint import fingerprint_with_edits
 from splicelake.llm.jaccard import near_groups, tree_overlaps
 from splicelake.llm.lines import edit_distance_within, line_dedup
 from splicelake.llm.mixing import mix
-from splicelake.llm.quality import apply_quality, fit_quality
+from splicelake.llm.quality import apply_quality, fit_quality, threshold_step
 from splicelake.llm.queries import QUERIES, tokenizer_path
 from splicelake.llm.repeats import remove_repeats
 
@@ -315,6 +315,17 @@ def test_quality_keeps_clean_documents(spark):
     assert keep[0, False] >= 0.9 * (keep[0, True] + keep[0, False])
 
 
+def test_quality_threshold_is_not_set_by_one_odd_document():
+    good, bad = np.zeros(200), np.zeros(200)
+    bad[20:80], good[120:180] = 50.0, 100.0
+    assert threshold_step(good, bad, 0.001) == 120
+    good[5] = 1.0  # alone in its bin, below all poor documents
+    assert threshold_step(good, bad, 0.001) == 120
+    good[5], good[60:80] = 0.0, 60.0  # mostly good from here: poor ones among them stay
+    assert threshold_step(good, bad, 0.5) == 60
+    assert threshold_step(good, bad, 0.0) == 60 and threshold_step(good, np.zeros(200), 0.001) == 60
+
+
 def test_quality_on_nothing_and_nulls(docs_of):
     model = fit_quality(docs_of([]))
     assert apply_quality(docs_of([]), model).count() == 0
