@@ -1,7 +1,9 @@
 """Conversations as a prefix tree: shared first turns are emitted once, depth-first.
 
 A node is a distinct beginning of a conversation. Conversations are sorted by the nodes on their
-way, which is depth-first order: a node is emitted with the first conversation that reaches it. Each
+way, which is depth-first order: a node is emitted with the first conversation that reaches it. Parts are
+cut by the first ``SPLITTER_DEPTH`` nodes and then by a hash of the last, so where conversations share more and fill
+several parts the order below is not depth-first; ancestors still come first, and intervals are right but more. Each
 node has its tokens, its place in the output, the position of its first token (the tokens
 of its ancestors), and the intervals of the output that its tokens may attend to besides their
 own node: its ancestors, neighbouring ones joined.
