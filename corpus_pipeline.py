@@ -88,7 +88,8 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: Mixing is random by hash and packing needs a tokenizer: no SQL; tests compare with plain Python.
+#: Mixing is random by hash and packing needs a tokenizer: no SQL. A test compares every stage with
+#: plain Python, but quality's decisions and the mix's copies with what these operators return themselves.
 ORACLE_SQL = None
 
 

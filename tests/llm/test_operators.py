@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from splicelake.llm import lines, packing, secrets
 from splicelake.llm.chat import escaped, format_tree, parse, parts_of, read_back, unescaped
 from splicelake.llm.exact_dedup import distinct_documents, exact_dedup
@@ -332,6 +333,59 @@ def test_quality_on_nothing_and_nulls(docs_of):
     assert all(r["quality_keep"] for r in apply_quality(docs_of([(1, None), (2, ""), (3, " ")]), model).collect())
 
 
+def test_pipeline_matches_plain_python(docs_of, spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(11)
+    prose = [" ".join("the of and river house walks slowly under green old tree because people there".split()[k] for k in rng.integers(0, 14, 60)) for _ in range(12)]
+    rows = [(i, t, ("a", "b", None)[i % 3]) for i, t in enumerate(prose)]
+    rows += [(20, prose[0], "a"), (21, prose[1].replace(" ", "  "), "b"), (2, prose[2], None), (22, prose[3] + " again", "a"), (23, None, "a"), (24, "", "b"), (None, prose[4] + " more", "b")]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    docs, tables = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name.replace(" ", "_")))
+        docs = spark.read.parquet(str(tmp_path / name.replace(" ", "_")))
+        tables[name] = docs.collect()
+    key = lambda r: (r["doc_id"], r["text"], r["source"])
+    clean = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    kept = [key(r) for r in tables["quality classifier"]]
+    given = docs_of(rows)
+    want = [key(r) for r in apply_quality(given, fit_quality(given)).filter("quality_keep").collect()]
+    assert Counter(kept) == Counter(want) and len(kept) >= 10
+    ids = lambda r: (r[0] is None, r[0] or 0)
+    firsts = {}
+    for r in kept:
+        firsts[clean(r[1])] = min(firsts.get(clean(r[1]), r), r, key=ids)
+    exact = [key(r) for r in tables["exact dedup"]]
+    assert Counter(r[0] for r in exact) == Counter(r[0] for r in firsts.values()) and {clean(r[1]) for r in exact} == set(firsts)
+    sets = []
+    for r in exact:
+        w = (r[1] or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(exact)))
+    for _ in exact:
+        for p, a in enumerate(sets):
+            for q, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    group[p] = group[q] = min(group[p], group[q])
+    near = [min((r for r, g in zip(exact, group) if g == h), key=ids) for h in set(group)]
+    assert Counter(key(r) for r in tables["n-gram Jaccard join"]) == Counter(near) and len(near) < len(exact)
+    takes = mix(spark.read.parquet(str(tmp_path / "n-gram_Jaccard_join"))).collect()
+    copies = Counter()
+    for r in takes:
+        copies[r["doc_id"]] += r["copies"]
+    mixed = [key(r) for r in tables["mixing sources"]]
+    assert Counter(mixed) == Counter({r: copies[r[0]] for r in near if copies[r[0]]})
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    want = Counter()
+    for i, t, _ in mixed:
+        ids_of = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        want.update((i, k, 4096 * k, len(ids_of[4096 * k : 4096 * (k + 1)])) for k in range(-(-len(ids_of) // 4096)))
+    place = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"])
+    assert Counter(map(place, tables["best-fit packing"])) == want
+    assert Counter(map(place, corpus_pipeline.run(spark, str(tmp_path)).collect())) == want
+
+
 @pytest.mark.parametrize("run", [exact_dedup, fingerprint_with_edits, line_dedup, mix, near_groups, remove_repeats])
 def test_empty_tables(docs_of, run):
     assert run(docs_of([])).count() == 0
