@@ -68,3 +68,17 @@ def discard(spark: SparkSession, *paths: str) -> None:
 def short_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand texts to Python workers in batches of few rows, as one text may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> Iterator[None]:
+    """Batches to Python workers of at most ``rows`` rows and about ``size`` bytes while an action runs inside; the session's own settings come back."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splicelake.llm.centroids import centroid_clusters
 from splicelake.llm.chat import format_tree, read_back
 from splicelake.llm.common import table
 from splicelake.llm.exact_dedup import exact_dedup
@@ -17,7 +19,10 @@ from splicelake.llm.mixing import mix
 from splicelake.llm.packing import pack, token_pieces
 from splicelake.llm.quality import apply_quality, fit_quality
 from splicelake.llm.repeats import remove_repeats
+from splicelake.llm.resampling import resample
 from splicelake.llm.secrets import fit_secrets, scan
+from splicelake.llm.token_counts import count_tokens
+from splicelake.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -185,3 +190,102 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-empty lines of every document that repeat an earlier line, give or take an edit for 12 characters, two at most."""
     return line_dedup(table(spark, sf_dir, "documents"), least=1)
+
+
+@_register(
+    "op11_resample",
+    r"""
+WITH tbl AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+         lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x FROM benchmark
+), e AS (SELECT doc_id, unnest(w) AS x FROM d
+), hashed AS (
+  SELECT x, list_reduce(list_concat([4294967295], list_transform(range(octet_length(encode(x))),
+         lambda i: CAST('0x' || substr(hex(encode(x)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+         lambda c, y: xor(c >> 8, t[CAST(xor(c, y) & 255 AS BIGINT) + 1])) AS c
+  FROM (SELECT x FROM e UNION SELECT x FROM b), tbl
+), k AS (SELECT x, xor(c, 4294967295) % 10000 AS bucket FROM hashed
+), s AS (SELECT bucket, count(*) AS n FROM e JOIN k USING (x) GROUP BY bucket
+), t AS (SELECT bucket, count(*) AS n FROM b JOIN k USING (x) GROUP BY bucket
+), a AS (SELECT (SELECT count(*) FROM e) AS s_all, (SELECT count(*) FROM b) AS t_all
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (s_all + 10000) / ((coalesce(s.n, 0) + 1)::DOUBLE * (t_all + 10000)))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (bucket), a
+), sums AS (SELECT doc_id, sum(gain) AS total FROM e JOIN k USING (x) JOIN gains USING (bucket) GROUP BY doc_id
+), weighed AS (
+  SELECT doc_id, len(w) AS n_features, CASE WHEN len(w) = 0 THEN 0 ELSE (total - ((total % len(w)) + len(w)) % len(w)) // len(w) END AS weight,
+         CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h
+  FROM d LEFT JOIN sums USING (doc_id)
+), scored AS (
+  SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight,
+         CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM weighed
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN r <= (SELECT count(*) FROM ranked) * 10 // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark texts, with every document's weight and score."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+
+
+@_register("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document through a digest cache of its own, empty at the start."""
+    cache = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/llm/token_cache_{uuid.uuid4().hex}"
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), cache)
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5, dims: int = 64, scale: int = 256, seed: int = 2) -> str:
+    """Every round spelled out."""
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS cluster, v AS c FROM v ORDER BY cluster LIMIT {k}
+)"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""a{n} AS MATERIALIZED (
+  SELECT r, min(struct_pack(distance := d, cluster := cluster)) AS best FROM (
+    SELECT r, cluster, CAST(list_sum(list_transform(range(1, {dims} + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT) AS d FROM v, c{n}
+  ) GROUP BY r
+)"""
+        )
+        if n < rounds:
+            steps.append(
+                f"""m{n} AS (
+  SELECT best.cluster AS cluster, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n
+  FROM a{n} JOIN v USING (r), (SELECT unnest(range(1, {dims} + 1)) AS i) GROUP BY ALL
+), c{n + 1} AS MATERIALIZED (
+  SELECT c{n}.cluster, coalesce(any_value(moved), any_value(c)) AS c FROM c{n} LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS moved FROM m{n} GROUP BY cluster
+  ) USING (cluster) GROUP BY c{n}.cluster
+)"""
+            )
+    return (
+        "WITH "
+        + ", ".join(steps)
+        + f"""
+SELECT vec_id, CAST(best.cluster AS INTEGER) AS cluster, best.distance AS distance,
+       CAST(sum(best.distance) OVER (PARTITION BY best.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(best.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON best.cluster = c{rounds}.cluster"""
+    )
+
+
+@_register("op13_centroid_clusters", _clusters_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after five rounds from 40 drawn centroids."""
+    return centroid_clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, seed=2)
