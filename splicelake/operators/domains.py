@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splicelake.functions import coords, ids, text
+from splicelake.operators.grouping import group_opens
 from splicelake.operators.lists import group_text
-from splicelake.operators.ordered import interval_join, running
+from splicelake.operators.ordered import Layout, in_parts, interval_join, scan
 from splicelake.session import staged
 
 CODING_BIN = 2048
-AA_CHUNK = 512
 EVENT_KEYS = ["type_id", "aa_start", "aa_end"]
 
 
@@ -242,19 +242,21 @@ def _distinct_spans(domains: DataFrame) -> DataFrame:
     return domains.groupBy("tx_key", "aa_start", "aa_end").agg(F.count("*").alias("n_domains"))
 
 
-def _scanned(spans: DataFrame) -> DataFrame:
-    return running(
-        spans.withColumn("_neg_end", -F.col("aa_end")),
-        ["tx_key"],
-        ["aa_start", "_neg_end"],
-        F.floor(F.col("aa_start") / F.lit(AA_CHUNK)),
-        {"_prev_end": ("max", "aa_end", "before"), "_next_start": ("min", "aa_start", "after")},
-    )
+SPAN_ORDER = ["aa_start", "_neg_end"]
+
+
+def _spans_in_parts(domains: DataFrame) -> Layout:
+    """The distinct intervals in ranges of transcript and position, longest first at equal starts."""
+    return in_parts(_distinct_spans(domains).withColumn("_neg_end", -F.col("aa_end")), ["tx_key"], SPAN_ORDER)
+
+
+def _scanned(domains: DataFrame) -> DataFrame:
+    return scan(_spans_in_parts(domains), {"_prev_end": ("max", "aa_end", "before"), "_next_start": ("min", "aa_start", "after")})
 
 
 def overlap_flags(domains: DataFrame) -> DataFrame:
     """Mark each domain that shares a position with another domain of its transcript."""
-    flags = _scanned(_distinct_spans(domains)).select(
+    flags = _scanned(domains).select(
         "tx_key",
         "aa_start",
         "aa_end",
@@ -268,23 +270,15 @@ def overlap_flags(domains: DataFrame) -> DataFrame:
 
 
 def _islands(domains: DataFrame) -> DataFrame:
-    """Distinct intervals with the number of the overlap chain they belong to."""
-    spans = _distinct_spans(domains).withColumn("_neg_end", -F.col("aa_end"))
-    scanned = running(
-        spans,
-        ["tx_key"],
-        ["aa_start", "_neg_end"],
-        F.floor(F.col("aa_start") / F.lit(AA_CHUNK)),
-        {"_prev_end": ("max", "aa_end", "before")},
-    )
+    """Distinct intervals, still in their parts, with the number of the overlap chain they belong to.
+
+    Two scans over one layout: where a chain opens, and how many have opened so far.
+    """
+    spans = _spans_in_parts(domains)
+    ahead = scan(spans, {"_prev_end": ("max", "aa_end", "before")})
     opens = F.when(F.col("_prev_end") >= F.col("aa_start"), 0).otherwise(1).cast("bigint")
-    return running(
-        staged(scanned.select("*", opens.alias("_opens")).drop("_prev_end")),
-        ["tx_key"],
-        ["aa_start", "_neg_end"],
-        F.floor(F.col("aa_start") / F.lit(AA_CHUNK)),
-        {"island": ("sum", "_opens", "through")},
-    ).drop("_opens", "_neg_end")
+    opened = spans.rewritten(ahead.select("*", opens.alias("_opens")).drop("_prev_end"))
+    return scan(opened, {"island": ("sum", "_opens", "through")}).drop("_opens")
 
 
 def overlap_islands(domains: DataFrame) -> DataFrame:
@@ -300,10 +294,6 @@ def overlap_groups(domains: DataFrame) -> DataFrame:
     return domains.join(placed, ["tx_key", "aa_start", "aa_end"])
 
 
-def island_extents(domains: DataFrame) -> DataFrame:
-    return _extents(_islands(domains))
-
-
 def _extents(spans: DataFrame) -> DataFrame:
     return (
         spans.groupBy("tx_key", "island")
@@ -319,48 +309,17 @@ def close_groups(domains: DataFrame) -> DataFrame:
     """Sequential grouping with a growing extent.
 
     In order of (start, longest first) a domain joins the open group when one of
-    the two holds the other or they share at least half of their joint extent. A
-    group never leaves its overlap chain and equal intervals never part, so the
-    fold runs over the distinct intervals of one chain only.
+    the two holds the other or they share at least half of their joint extent. Equal
+    intervals never part. Adds ``island``, the overlap chain, and ``group_at``, the group, both
+    numbered from 1 within the transcript; a group never leaves its chain.
     """
-    chains = (
-        _islands(domains)
-        .groupBy("tx_key", "island")
-        .agg(F.array_sort(F.collect_list(F.struct("aa_start", (-F.col("aa_end")).alias("neg_end")))).alias("spans"))
-    )
-    opened = F.struct(
-        F.lit(None).cast("bigint").alias("lo"),
-        F.lit(None).cast("bigint").alias("hi"),
-        F.array().cast("array<bigint>").alias("starts"),
-    )
-
-    def step(acc: Column, s: Column) -> Column:
-        lo, hi = s["aa_start"], -s["neg_end"]
-        joint = (F.greatest(acc["hi"], hi) - F.least(acc["lo"], lo)).cast("double")
-        shared = (F.least(acc["hi"], hi) - F.greatest(acc["lo"], lo)).cast("double")
-        # least and greatest skip nulls, so the empty start state needs its own test.
-        joins = acc["lo"].isNotNull() & (
-            ((lo >= acc["lo"]) & (hi <= acc["hi"]))
-            | ((lo <= acc["lo"]) & (hi >= acc["hi"]))
-            | ((joint > 0) & (shared >= joint * F.lit(0.5)))
-        )
-        head = F.when(joins, F.try_element_at(acc["starts"], F.lit(-1))).otherwise(F.size(acc["starts"]).cast("bigint"))
-        return F.struct(
-            F.when(joins, F.least(acc["lo"], lo)).otherwise(lo).alias("lo"),
-            F.when(joins, F.greatest(acc["hi"], hi)).otherwise(hi).alias("hi"),
-            F.concat(acc["starts"], F.array(head)).alias("starts"),
-        )
-
-    folded = chains.select(
-        "tx_key", "island", F.arrays_zip("spans", F.aggregate("spans", opened, step)["starts"].alias("group_at")).alias("z")
-    )
-    members = folded.select("tx_key", "island", F.explode("z").alias("m")).select(
-        "tx_key",
-        "island",
-        F.col("m.spans.aa_start").alias("aa_start"),
-        (-F.col("m.spans.neg_end")).alias("aa_end"),
-        F.col("m.group_at").alias("group_at"),
-    )
+    spans = _spans_in_parts(domains)
+    seen = scan(spans, {"_prev_end": ("max", "aa_end", "before"), "_prev_start": ("max", "aa_start", "before")}).drop("n_domains")
+    opens_chain = F.when(F.col("_prev_end") >= F.col("aa_start"), 0).otherwise(1).cast("bigint")
+    chained = spans.rewritten(seen.withColumn("_chain", opens_chain))
+    opened = chained.rewritten(group_opens(chained).drop("_prev_end", "_prev_start"))
+    numbers = {"island": ("sum", "_chain", "through"), "group_at": ("sum", "_opens", "through")}
+    members = scan(opened, numbers).select("tx_key", "aa_start", "aa_end", "island", "group_at")
     return domains.join(members, ["tx_key", "aa_start", "aa_end"])
 
 

@@ -9,9 +9,6 @@ from splicelake.functions import coords, ids
 from splicelake.operators.lists import group_text
 from splicelake.operators.ordered import running
 
-RANK_CHUNK = 4096
-GENOMIC_CHUNK = 1 << 20
-
 
 def exons_to_cds(exons: DataFrame, transcripts: DataFrame, key: str = "tx_key") -> DataFrame:
     """Coding coordinates of every exon.
@@ -35,7 +32,6 @@ def exons_to_cds(exons: DataFrame, transcripts: DataFrame, key: str = "tx_key")
         clipped,
         [key],
         ["order_in_transcript"],
-        F.floor(F.col("order_in_transcript") / F.lit(RANK_CHUNK)),
         {"_cum": ("sum", "_len", "through"), "coding_rank": ("sum", "_coding", "through")},
     )
     coding = F.col("_len") > 0
@@ -51,13 +47,12 @@ def exon_counts(exons: DataFrame, key: str = "tx_key") -> DataFrame:
     return exons.groupBy(key).agg(F.count("*").alias("exon_count"))
 
 
-def order_exons(exons: DataFrame, key: str, order: list[str], chunk: Column) -> DataFrame:
+def order_exons(exons: DataFrame, key: str, order: list[str]) -> DataFrame:
     """1-based order of exons in their transcript plus the number of them."""
     numbered = running(
         exons.withColumn("_one", F.lit(1).cast("bigint")),
         [key],
         order,
-        chunk,
         {"order_in_transcript": ("sum", "_one", "through")},
     ).drop("_one")
     return numbered.join(exon_counts(exons, key), key)
@@ -103,7 +98,6 @@ def exon_usage(cds: DataFrame, transcripts: DataFrame) -> DataFrame:
         groups,
         ["gene_key"],
         ["lim_start", "lim_end"],
-        F.floor(F.col("lim_start") / F.lit(GENOMIC_CHUNK)),
         {"group_no": ("sum", "_one", "through")},
     ).drop("_one")
     names = group_text(used, group_keys, F.col("transcript_id"), ", ", "transcripts")
@@ -136,7 +130,6 @@ def first_long_gap(exons: DataFrame, threshold: int = 1_000_000, key: str = "gen
         spans,
         [key],
         ["genomic_start_tx", "genomic_end_tx"],
-        F.floor(F.col("genomic_start_tx") / F.lit(GENOMIC_CHUNK)),
         {"prev_end": ("max", "genomic_end_tx", "before")},
     )
     gaps = scanned.filter(F.col("genomic_start_tx") > F.col("prev_end") + threshold)

@@ -1,78 +1,134 @@
 """Ordered scans and interval joins that stay parallel inside one hot key.
 
-A plain ``Window.partitionBy(key)`` puts a whole key in one task. Here a key is
-cut into chunks along its order, every chunk is scanned on its own, and one row
-per chunk carries the earlier (or later) chunks' result across the cut.
+A plain ``Window.partitionBy(key)`` puts a whole key in one task. Here rows are laid out by
+ranges of key and order, which cuts a key wherever it has too many rows, however close these lie. Every
+part is scanned on its own, and one row per cut carries the earlier (or later) parts' result across.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from splicelake.session import staged
+
+PART = "_part"
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def _combine(kind: str, local: Column, carry: Column) -> Column:
+def _combine(kind: str, local: Column, carry: Column | None) -> Column:
+    """``carry`` is None where no key is cut."""
     if kind == "sum":
-        return F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
+        own = F.coalesce(local, F.lit(0))
+        return own if carry is None else own + F.coalesce(carry, F.lit(0))
+    if carry is None:
+        return local
     return F.greatest(local, carry) if kind == "max" else F.least(local, carry)
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
-    measures: Mapping[str, tuple[str, str, str]],
-) -> DataFrame:
-    """Add running aggregates per ``keys`` along ``order``.
+@dataclass(frozen=True)
+class Layout:
+    """A written table in ranges of ``keys`` and ``order``; ``_part`` numbers the ranges.
 
-    ``measures`` maps an output name to ``(kind, column, frame)`` with kind sum,
-    max or min and frame ``before`` (earlier rows), ``through`` (earlier rows and
-    this one) or ``after`` (later rows). ``chunk`` must never decrease along
-    ``order``; it sets how a key is split over tasks.
+    ``cuts`` are the keys that more than one part holds: at most one per border between parts.
     """
-    keys = list(keys)
-    cut = df.withColumn("_chunk", chunk)
-    inner = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+
+    rows: DataFrame
+    keys: tuple[str, ...]
+    order: tuple[str, ...]
+    cuts: DataFrame | None
+
+    def rewritten(self, rows: DataFrame) -> "Layout":
+        """The same ranges with other columns, written once."""
+        return replace(self, rows=staged(rows))
+
+    def cut_rows(self, rows: DataFrame) -> DataFrame:
+        """Those of ``rows`` that belong to a cut key."""
+        return rows.limit(0) if self.cuts is None else rows.join(F.broadcast(self.cuts), _same(rows, self.cuts, self.keys), "left_semi")
+
+
+def in_parts(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Layout:
+    """``df`` written once in ranges of ``keys`` and ``order``.
+
+    Part numbers never decrease along the order, and rows equal in keys and order share a part.
+    Only a part's first and last key can go on in another part, so two keys per part, which the driver looks at,
+    tell which keys are cut.
+    """
+    ranged = df.repartitionByRange(*keys, *order)
+    rows = staged(ranged.withColumn(PART, F.spark_partition_id()))
+    if len(keys) == 1:  # plain minima are summed up without a sort; they pass over null, which comes first
+        k = F.col(keys[0])
+        ends = rows.groupBy(PART).agg(F.min(k).alias("a"), F.max(k).alias("z"), F.max(k.isNull()).alias("_no")).collect()
+        held = [set([(r["a"],), (r["z"],)] if r["a"] is not None else []) | ({(None,)} if r["_no"] else set()) for r in ends]
+    else:
+        row = F.struct(*keys)
+        ends = rows.groupBy(PART).agg(F.min(row).alias("a"), F.max(row).alias("z")).collect()
+        held = [{tuple(r["a"]), tuple(r["z"])} for r in ends]
+    cut = [k for k, n in Counter(k for part in held for k in part).items() if n > 1]
+    schema = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in keys])
+    return Layout(rows, tuple(keys), tuple(order), _local(rows.sparkSession.createDataFrame(cut, schema)) if cut else None)
+
+
+def _local(small: DataFrame) -> DataFrame:
+    """A small table as part of the plan, so that broadcasting it takes no job."""
+    return small.sparkSession.createDataFrame(small.toArrow())
+
+
+def _same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for c in columns:
+        on = on & left[c].eqNullSafe(right[c])
+    return on
+
+
+def scan(layout: Layout, measures: Mapping[str, tuple[str, str, str]], rows: DataFrame | None = None) -> DataFrame:
+    """The layout's rows (or ``rows`` made of them) with running aggregates; ``_part`` stays.
+
+    Rows meet only those of their key and part. What crosses a cut is one row per cut key and part, at most
+    two per part: it is computed first, from the cut keys alone, and is broadcast.
+    """
+    keys, order = list(layout.keys), list(layout.order)
+    rows = layout.rows if rows is None else rows
+    inner = Window.partitionBy(*keys, PART).orderBy(*order)
     frames = {
         "before": inner.rowsBetween(Window.unboundedPreceding, -1),
         "through": inner.rowsBetween(Window.unboundedPreceding, 0),
         "after": inner.rowsBetween(1, Window.unboundedFollowing),
     }
-    outer = Window.partitionBy(*keys).orderBy("_chunk")
-    carry_frames = {
-        "before": outer.rowsBetween(Window.unboundedPreceding, -1),
-        "through": outer.rowsBetween(Window.unboundedPreceding, -1),
-        "after": outer.rowsBetween(1, Window.unboundedFollowing),
-    }
-    local = cut.select(
-        "*", *[_AGG[k](c).over(frames[f]).alias(f"_l_{n}") for n, (k, c, f) in measures.items()]
-    )
-    totals = cut.groupBy(*keys, "_chunk").agg(
-        *[_AGG[k](c).alias(f"_t_{n}") for n, (k, c, _) in measures.items()]
-    )
-    # A key with a single chunk carries nothing, so on ordinary data this side is empty.
-    carried = totals.select(
-        *keys,
-        "_chunk",
-        *[
-            _AGG[k](f"_t_{n}").over(carry_frames[f]).alias(f"_c_{n}")
-            for n, (k, _, f) in measures.items()
-        ],
-    ).filter(" OR ".join(f"_c_{n} IS NOT NULL" for n in measures))
-    joined = local.join(carried, [*keys, "_chunk"], "left")
-    out = joined.select(
-        *df.columns,
-        *[
-            _combine(k, F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n)
-            for n, (k, _, _) in measures.items()
-        ],
-    )
-    return out
+    local = rows.select("*", *[_AGG[k](c).over(frames[f]).alias(f"_l_{n}") for n, (k, c, f) in measures.items()])
+    carry: dict[str, Column] = {}
+    if layout.cuts is not None:
+        outer = Window.partitionBy(*keys).orderBy(PART)
+        earlier, later = outer.rowsBetween(Window.unboundedPreceding, -1), outer.rowsBetween(1, Window.unboundedFollowing)
+        read = rows.select(*dict.fromkeys([*keys, PART, *[c for _, c, _ in measures.values()]]))
+        totals = layout.cut_rows(read).groupBy(*keys, PART).agg(*[_AGG[k](c).alias(f"_t_{n}") for n, (k, c, _) in measures.items()])
+        carried = totals.select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+            F.col(PART).alias("_at"),
+            *[_AGG[k](f"_t_{n}").over(later if f == "after" else earlier).alias(f"_c_{n}") for n, (k, _, f) in measures.items()],
+        )
+        on = F.col(PART) == F.col("_at")
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        local = local.join(F.broadcast(_local(carried)), on, "left")
+        carry = {n: F.col(f"_c_{n}") for n in measures}
+    out = [_combine(k, F.col(f"_l_{n}"), carry.get(n)).alias(n) for n, (k, _, _) in measures.items()]
+    return local.select(*rows.columns, *out)
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], measures: Mapping[str, tuple[str, str, str]]) -> DataFrame:
+    """Add running aggregates per ``keys`` along ``order``.
+
+    ``measures`` maps an output name to ``(kind, column, frame)`` with kind sum,
+    max or min and frame ``before`` (earlier rows), ``through`` (earlier rows and
+    this one) or ``after`` (later rows). A null key is a key of its own.
+    """
+    return scan(in_parts(df, keys, order), measures).drop(PART)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, last: bool = False) -> DataFrame:

@@ -227,6 +227,5 @@ def rank_transcripts(rows: DataFrame, length: str = "protein_nt") -> DataFrame:
         keyed,
         ["gene_key"],
         ["_plain", "_neg", "tx_key"],
-        F.struct("_plain", F.floor(F.col("_neg") / 4096).alias("b")),
         {"display_rank": ("sum", "_one", "through")},
     ).drop("_plain", "_neg", "_one")

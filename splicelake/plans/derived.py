@@ -179,9 +179,8 @@ def _exons(t: "Tables") -> DataFrame:
     measured = _lines(t).select("tx_key", "gene_key", *order, F.expr(EXON_LEN).alias("len")).withColumns(
         {"_one": F.lit(1).cast("bigint"), "_step": F.col("len") + 200}
     )
-    chunk = F.struct("l_linenumber", F.floor(F.col("l_partkey") / F.lit(65_536)).alias("p"))
     scanned = running(
-        measured, ["tx_key"], order, chunk, {"ord": ("sum", "_one", "through"), "run": ("sum", "_step", "through")}
+        measured, ["tx_key"], order, {"ord": ("sum", "_one", "through"), "run": ("sum", "_step", "through")}
     )
     return spark_select(scanned, EXON)
 

@@ -263,7 +263,6 @@ def rank_domains(t: Tables) -> DataFrame:
         keyed,
         ["tx_key"],
         ["_neg", "aa_start", "type_id", "ext_id"],
-        F.floor(F.col("_neg") / F.lit(64)),
         {"draw_rank": ("sum", "_one", "through")},
     ).drop("_neg", "_one")
 

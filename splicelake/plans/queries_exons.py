@@ -36,8 +36,7 @@ def exon_order(t: Tables) -> DataFrame:
         "genomic_end_tx",
         F.when(F.col("strand") == "-", -F.col("genomic_start_tx")).otherwise(F.col("genomic_start_tx")).alias("sort_key"),
     )
-    chunk = F.floor(F.col("sort_key") / F.lit(ex.GENOMIC_CHUNK))
-    return ex.order_exons(keyed, "tx_key", ["sort_key"], chunk).drop("sort_key")
+    return ex.order_exons(keyed, "tx_key", ["sort_key"]).drop("sort_key")
 
 
 @query("unique_exons", "SELECT DISTINCT gene_key, genomic_start_tx, genomic_end_tx FROM exons")
