@@ -7,7 +7,10 @@ folder and read back, as the real tables are built once and queried many times.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -272,6 +275,7 @@ BUILDERS: dict[str, Callable[["Tables"], DataFrame]] = {
 }
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
+_BUILDING: defaultdict[tuple[str, str, str], Lock] = defaultdict(Lock)
 
 
 class Tables:
@@ -292,8 +296,15 @@ class Tables:
         if name not in BUILDERS:
             raise AttributeError(name)
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _WRITTEN:
-            path = self.folder(name)
-            BUILDERS[name](self).write.mode("overwrite").parquet(path)
-            _WRITTEN[key] = path
+        with _BUILDING[key]:
+            if key not in _WRITTEN:
+                path = self.folder(name)
+                BUILDERS[name](self).write.mode("overwrite").parquet(path)
+                _WRITTEN[key] = path
         return self.spark.read.parquet(_WRITTEN[key])
+
+    def prepare(self, at_once: int = 6) -> None:
+        """Build all tables; those that do not depend on each other side by side, so small jobs fill the cluster together."""
+        with ThreadPoolExecutor(at_once) as pool:
+            for done in [pool.submit(getattr, self, name) for name in BUILDERS]:
+                done.result()
