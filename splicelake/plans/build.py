@@ -17,6 +17,7 @@ from splicelake.operators.crosswalk import clean_crosswalk
 from splicelake.operators.joins import insert_or_ignore
 from splicelake.schemas import SPECIES
 from splicelake.session import staged
+from splicelake.sinks.store import Store
 from splicelake.sinks.tables import conform, write_table
 from splicelake.sources import ensembl, flatfile, interpro, refseq, tables
 from splicelake.sources.gff3 import read_gff3
@@ -121,12 +122,18 @@ def merge_sources(r: dict[str, DataFrame], e: dict[str, DataFrame], rows: DataFr
     )
 
 
-def species_tables(
-    spark: SparkSession, paths: SpeciesInputs, entry_index: DataFrame, previous_types: DataFrame | None = None, events: str = "all"
+def keyed_tables(
+    spark: SparkSession,
+    paths: SpeciesInputs,
+    entry_index: DataFrame,
+    previous_types: DataFrame | None = None,
+    events: str = "all",
+    earlier_facts: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """All stored tables of one species, keyed by table name.
+    """All tables of one species with the build's own keys, and the facts its domain types rest on.
 
-    ``previous_types`` is (ext_id, type_id) of an earlier build; its type ids are kept.
+    ``previous_types`` is (ext_id, type_id) of an earlier build; its type ids are kept. With ``earlier_facts``, those
+    of other species, a domain also belongs to an earlier type when only those facts link the two.
     """
     r, e = read_refseq(spark, paths), read_ensembl(spark, paths)
     rows = clean_crosswalk(tables.read_id_crosswalk(spark, paths.crosswalk), SPECIES[paths.species][3])
@@ -182,7 +189,8 @@ def species_tables(
     facts = usable.select("ext_id", "accession", "cdd", "name", F.concat_ws("; ", "own_note", "note").alias("note")).distinct().withColumn(
         "note", F.nullif(F.col("note"), F.lit(""))
     )
-    numbered = staged(ty.number_types(ty.resolve_domain_types(ty.type_edges(facts)), previous_types))
+    linked = facts if earlier_facts is None else facts.unionByName(earlier_facts.select(*facts.columns)).distinct()
+    numbered = staged(ty.number_types(ty.resolve_domain_types(ty.type_edges(linked)), previous_types))
     types = ty.type_attributes(facts.join(numbered, "ext_id"))
 
     used = staged(
@@ -204,7 +212,7 @@ def species_tables(
     species = F.lit(paths.species)
     counts = ex.exon_counts(exons).withColumn("exon_count", F.col("exon_count").cast("int"))
     out = {
-        "genes": genes.withColumn("specie", species),
+        "genes": genes.withColumns({"specie": species, "gene_key": F.coalesce("gene_geneid_id", "gene_ensembl_id")}),
         "transcripts": tx.join(counts, "tx_key", "left"),
         "exons": exons.join(gene_ids, "tx_key").select("gene_geneid_id", "gene_ensembl_id", "genomic_start_tx", "genomic_end_tx").distinct(),
         "transcript_exon": cds.join(tx_ids, "tx_key"),
@@ -215,7 +223,18 @@ def species_tables(
             {"exon_order": "exon_order_in_transcript", "nuc_start": "domain_nuc_start"}
         ),
         "unresolved_genes": unresolved,
+        "type_facts": facts.join(numbered, "ext_id"),
     }
+    return out
+
+
+def species_tables(
+    spark: SparkSession, paths: SpeciesInputs, entry_index: DataFrame, previous_types: DataFrame | None = None, events: str = "all"
+) -> dict[str, DataFrame]:
+    """All stored tables of one species, keyed by table name."""
+    out = keyed_tables(spark, paths, entry_index, previous_types, events)
+    del out["type_facts"]
+    species = F.lit(paths.species)
     return {
         name: df if name == "unresolved_genes" else _tagged(conform(df, name), name, species) for name, df in out.items()
     }
@@ -248,6 +267,30 @@ def build_species(
     return built
 
 
+def build_merged(
+    spark: SparkSession, inputs: list[SpeciesInputs], entries: str, out: str, *, apart: tuple[str, ...] = (), orthology_pairs: str | None = None
+) -> Store:
+    """The store of all species in ``out/merged``, and one store for each species in ``apart``.
+
+    Species are added one after the other: the types of those before give their ids to the same domains of the
+    next. Orthology is added at the end, over the genes of all.
+    """
+    index = staged(interpro.entry_index(interpro.read_entry_list(spark, entries)))
+    store = Store(spark, f"{out}/merged")
+    for paths in inputs:
+        built = keyed_tables(spark, paths, index, store.type_ids(), earlier_facts=store.load("type_facts"))
+        if built.pop("unresolved_genes").limit(1).count():
+            raise ValueError(f"{paths.species}: some transcripts refer to a gene that no source has")
+        facts = staged(built.pop("type_facts"))
+        store.add(paths.species, built, facts)
+        if paths.species in apart:
+            Store(spark, f"{out}/{paths.species}").add(paths.species, built, facts)
+    if orthology_pairs is not None:
+        pairs = orthology.orthology_pairs(tables.read_orthology_pairs(spark, orthology_pairs), store.load("genes"))
+        store.put("orthology", orthology.collapse_orthology(pairs))
+    return store
+
+
 def build_orthology(spark: SparkSession, pair_folder: str, genes: DataFrame, out: str) -> DataFrame:
     """Orthology table over the genes of all species."""
     pairs = orthology.orthology_pairs(tables.read_orthology_pairs(spark, pair_folder), genes)

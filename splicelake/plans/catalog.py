@@ -8,5 +8,6 @@ from splicelake.plans import (  # noqa: F401
     queries_similarity,
     queries_sources,
     queries_stats,
+    queries_store,
 )
 from splicelake.plans.registry import ORACLE, QUERIES  # noqa: F401
