@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splicelake.functions import text
-from splicelake.operators.lists import group_text
 from splicelake.operators.search import close_genes
 from splicelake.session import staged
 
@@ -157,13 +156,20 @@ def ortholog_options(found: DataFrame) -> DataFrame:
     return first.withColumn("source", F.lit("orthology")).unionByName(shown.withColumn("source", F.lit("symbol")))
 
 
-def options_text(options: DataFrame) -> DataFrame:
-    return group_text(options, ["term", "species", "target", "source"], F.col("option"), ", ", "options")
-
-
 def compare_species(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """Two gene documents side by side for every ortholog pair of gene keys (a_key, b_key)."""
     def side(tag: str) -> DataFrame:
         return documents.select(*[F.col(c).alias(f"{tag}_key" if c == "gene_key" else f"{tag}_{c}") for c in documents.columns])
 
     return pairs.join(side("a"), "a_key").join(side("b"), "b_key")
+
+
+def compare_documents(pairs: DataFrame, documents: DataFrame) -> DataFrame:
+    """The whole documents of both genes of every ortholog pair (a_key, b_key): one row per transcript, ``side`` a or b.
+
+    ``documents`` are those of ``search.gene_document``. A gene without transcripts has its one row, so
+    both sides of every pair are there.
+    """
+    both = [F.struct(F.lit(side).alias("side"), F.col(f"{side}_key").alias("gene_key")) for side in ("a", "b")]
+    sides = pairs.select("a_key", "b_key", F.explode(F.array(*both)).alias("s"))
+    return sides.select("a_key", "b_key", "s.side", "s.gene_key").join(documents, "gene_key")

@@ -225,10 +225,35 @@ def compare_species(t: Tables) -> DataFrame:
     docs = se.document_counts(t.genes, t.transcripts, t.cds, t.proteins, t.domains).select(
         "gene_key", "specie", "n_transcripts", "n_gene_exons", "n_domains"
     )
+    return orth.compare_species(_ortholog_keys(t), docs)
+
+
+@query(
+    "compare_species_documents",
+    """WITH p AS (SELECT a.gene_key AS a_key, b.gene_key AS b_key FROM orthology JOIN genes a ON a.gene_ensembl_id = a_ensembl_id JOIN genes b ON b.gene_ensembl_id = b_ensembl_id),
+       sides AS (SELECT a_key, b_key, 'a' AS side, a_key AS gene_key FROM p UNION ALL SELECT a_key, b_key, 'b', b_key FROM p),
+       e AS (SELECT tx_key, string_agg(genomic_start_tx || '-' || genomic_end_tx, ' ' ORDER BY order_in_transcript) AS exons FROM cds GROUP BY 1),
+       d AS (SELECT tx_key, string_agg(aa_start || '-' || aa_end || ':' || ext_id, ' ' ORDER BY aa_start, aa_end, type_id, ext_id) AS domains FROM domains GROUP BY 1)
+       SELECT a_key, b_key, side, g.gene_symbol, g.specie, x.tx_key, x.transcript_refseq_id, p.length AS protein_length, coalesce(exons, '') AS exons, coalesce(domains, '') AS domains
+       FROM sides s JOIN genes g ON g.gene_key = s.gene_key LEFT JOIN transcripts x ON x.gene_key = s.gene_key LEFT JOIN proteins p ON p.tx_key = x.tx_key
+       LEFT JOIN e ON e.tx_key = x.tx_key LEFT JOIN d ON d.tx_key = x.tx_key""",
+)
+def compare_species_documents(t: Tables) -> DataFrame:
+    """The documents of both genes, with their exons and domains written out in order."""
+    docs = se.gene_document(t.genes, t.transcripts, t.cds, t.proteins, t.domains)
+    exons = F.transform("exons", lambda e: F.concat_ws("-", e["genomic_start_tx"], e["genomic_end_tx"]))
+    domains = F.transform("domains", lambda d: F.concat(d["aa_start"].cast("string"), F.lit("-"), d["aa_end"].cast("string"), F.lit(":"), d["ext_id"]))
+    return orth.compare_documents(_ortholog_keys(t), docs).select(
+        "a_key", "b_key", "side", "gene_symbol", "specie", "tx_key", "transcript_refseq_id", F.col("protein.length").alias("protein_length"),
+        F.coalesce(F.array_join(exons, " "), F.lit("")).alias("exons"), F.coalesce(F.array_join(domains, " "), F.lit("")).alias("domains"),
+    )
+
+
+def _ortholog_keys(t: Tables) -> DataFrame:
     ids = t.genes.select("gene_key", "gene_ensembl_id")
     keyed = (
         t.orthology
         .join(ids.select(F.col("gene_key").alias("a_key"), F.col("gene_ensembl_id").alias("a_ensembl_id")), "a_ensembl_id")
         .join(ids.select(F.col("gene_key").alias("b_key"), F.col("gene_ensembl_id").alias("b_ensembl_id")), "b_ensembl_id")
     )
-    return orth.compare_species(keyed.select("a_key", "b_key"), docs)
+    return keyed.select("a_key", "b_key")

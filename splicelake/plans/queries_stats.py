@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from splicelake.operators import domains as dom
 from splicelake.operators import stats
 from splicelake.plans.derived import Tables
 from splicelake.plans.registry import query
+from splicelake.sinks.tables import export_gene_summary_csv
+from splicelake.sources.checks import read_result_csv
 
 
 def _exons_with_ids(t: Tables) -> DataFrame:
@@ -28,6 +32,24 @@ def gene_summary(t: Tables) -> DataFrame:
     return stats.gene_summary(t.genes, t.transcripts, unique)
 
 
+@query(
+    "export_gene_summary",
+    """WITH s AS (SELECT g.gene_key, gene_symbol, specie, count(*) AS transcripts_number, max(CAST(exon_count AS BIGINT)) AS max_exons_per_transcript, any_value(n) AS unique_exons_per_gene
+         FROM genes g JOIN transcripts t ON g.gene_key = t.gene_key
+         JOIN (SELECT gene_key, count(*) AS n FROM (SELECT DISTINCT gene_key, genomic_start_tx, genomic_end_tx FROM exons) GROUP BY 1) u ON u.gene_key = g.gene_key GROUP BY ALL)
+       SELECT 'all' AS layout, * FROM s UNION ALL SELECT 'by species', * FROM s""",
+)
+def export_gene_summary(t: Tables) -> DataFrame:
+    """The gene summary written as CSV in both layouts and read back from them."""
+    folder = t.folder("export", uuid.uuid4().hex)
+    summary = gene_summary(t).join(t.genes.select("gene_key", "specie"), "gene_key")
+    export_gene_summary_csv(summary, folder)
+    schema = "gene_key LONG, gene_symbol STRING, transcripts_number LONG, max_exons_per_transcript LONG, unique_exons_per_gene LONG, specie STRING"
+    whole = read_result_csv(t.spark, f"{folder}/gene_summary", schema).withColumn("layout", F.lit("all"))
+    parted = read_result_csv(t.spark, f"{folder}/gene_summary_by_species", schema).withColumn("layout", F.lit("by species"))
+    return whole.unionByName(parted)
+
+
 @query(
     "species_counts",
     """WITH u AS (SELECT DISTINCT gene_key, genomic_start_tx AS s, genomic_end_tx AS e FROM exons), ux AS (SELECT u.*, gene_geneid_id AS a, gene_ensembl_id AS b FROM u JOIN genes g ON g.gene_key = u.gene_key)

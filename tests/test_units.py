@@ -310,3 +310,25 @@ def test_same_exons(spark):
     )
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (4, 1)], "a_tx long, b_tx long")
     assert rows(same_exons(pairs, exons), "a_tx", "b_tx", "same_exons") == [(1, 2, True), (1, 3, False), (1, 4, False), (4, 1, False)]
+
+
+def test_gene_similarity_of_a_hot_gene_with_exons_of_no_length(spark):
+    """One gene holds most rows, most exons share a type, and some exons have equal start and end."""
+    rnd = random.Random(9)
+    exon_rows, type_rows, genes = [], [], {}
+    for g, n in ((1, 60), (2, 3), (3, 2)):
+        for k in range(n):
+            built = []
+            for o in range(1, 6):
+                s = rnd.choice([0, 40, 100, 900])
+                e, clen = s + rnd.choice([0, 60, 90]), rnd.choice([0, 29, 59])
+                held = [7] * rnd.randint(0, 2) + [rnd.randint(1, 3) for _ in range(rnd.randint(0, 1))]
+                built.append((s, e, clen, held))
+                exon_rows.append((g, g * 1000 + k, o, s, e, clen, len(held)))
+                type_rows += [(g * 1000 + k, o, d, held.count(d)) for d in set(held)]
+            genes.setdefault(g, []).append(built)
+    exons = spark.createDataFrame(exon_rows, "gene_key long, tx_key long, order_in_transcript int, s long, e long, coding_len long, n_complete long")
+    types = spark.createDataFrame(type_rows, "tx_key long, order_in_transcript int, type_id long, n_type long")
+    got = {r.gene_key: r.similarity for r in sim.gene_similarity(exons.select("gene_key", "tx_key").distinct(), exons, types, (2, 1, 1)).collect()}
+    for g, txs in genes.items():
+        assert got[g] == pytest.approx(brute_gene_similarity(txs, (2, 1, 1)))
