@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    A session that names none gets a folder below its warehouse, which all executors share.
+    A session that names none gets a folder below its warehouse. On a cluster that must not be a folder
+    of the driver's own machine: every executor would write to its own disk, and rows would be missed.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -19,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if current:
         return current
     folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    if urlsplit(folder).scheme in ("", "file") and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 

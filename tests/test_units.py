@@ -332,3 +332,20 @@ def test_gene_similarity_of_a_hot_gene_with_exons_of_no_length(spark):
     got = {r.gene_key: r.similarity for r in sim.gene_similarity(exons.select("gene_key", "tx_key").distinct(), exons, types, (2, 1, 1)).collect()}
     for g, txs in genes.items():
         assert got[g] == pytest.approx(brute_gene_similarity(txs, (2, 1, 1)))
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from splicelake.session import shared_dir
+
+    def session(master, warehouse):
+        settings = {"spark.sql.warehouse.dir": warehouse}
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda folder: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, *rest: settings.get(key, *rest)))
+
+    assert shared_dir(session("local[4]", "file:/tmp/w")) == "file:/tmp/w/_shared"
+    assert shared_dir(session("yarn", "hdfs://nn/w/")) == "hdfs://nn/w/_shared"
+    for warehouse in ("file:/tmp/w", "/tmp/w"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session("spark://host:7077", warehouse))
