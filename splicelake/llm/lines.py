@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from splicelake.llm.common import short_batches, stage, text_of
 from splicelake.llm.components import components
 
-#: Most edits allowed between two lines, and the default of the characters from which a line takes part.
+#: Most edits allowed between two lines, and the characters from which that many are allowed.
 TAU, MIN_CHARS = 2, 24
 #: Characters of the shorter line for each edit.
 PER_EDIT = 12
@@ -175,7 +175,7 @@ def _close_signs():
     return (apart[0] + apart[1] <= 4 * edits) & (apart[2] <= 2 * edits)
 
 
-def near_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
+def near_lines(docs: DataFrame, tau: int = TAU, least: int = 1) -> DataFrame:
     """One row per line: ``doc_id, row, line_no, line, class_doc, class_line, kept``.
 
     ``docs`` has ``doc_id, row, _text``; ``doc_id`` and ``row`` together name a text. Lines of at least
@@ -242,7 +242,7 @@ def near_lines(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataF
     )
 
 
-def line_dedup(docs: DataFrame, tau: int = TAU, least: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, tau: int = TAU, least: int = 1) -> DataFrame:
     """One row per input row: ``doc_id, n_lines, n_dropped, dropped`` (numbers of dropped lines, from 0).
 
     Lines lie between line feeds. Null text: one empty line, kept. Rows that repeat an id with other

@@ -69,7 +69,7 @@ def test_line_dedup_matches_brute_force(docs_of):
             said[int(rng.integers(len(said)))] = "#"
         rows.append((i, "".join(said) + "\n" + base[(i + 1) % 3]))
     rows.append((40, None))
-    got = {r["doc_id"]: r["dropped"] for r in line_dedup(docs_of(rows)).collect()}
+    got = {r["doc_id"]: r["dropped"] for r in line_dedup(docs_of(rows), least=lines.MIN_CHARS).collect()}
     said = [(i, k, x) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
     root = {p: p for p in range(len(said))}
 
