@@ -8,25 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splicelake.schemas import stored_schema
-from splicelake.sources.lines import line_order
+from splicelake.sources.first_lines import first_lines
+from splicelake.sources.quoted_csv import read_quoted_csv
 
 #: Stored tables whose rows belong to no single species.
 ALL_SPECIES = ("domain_type", "orthology", "representative_domains")
 
 
 def sniff_headers(spark: SparkSession, path: str, prefixes: Sequence[str]) -> DataFrame:
-    """(file, first_line, is_valid) of every file under ``path``.
-
-    Only the split that starts a file can hold its first line, so later splits
-    are filtered out before anything is compared.
-    """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_at"),
-        line_order().alias("_row"),
-        F.ltrim("value").alias("value"),
-    )
-    first = lines.filter("_at = 0").groupBy("file").agg(F.min_by("value", "_row").alias("first_line"))
+    """(file, first_line, is_valid) of every file under ``path``; of each only the blocks of its first line are read."""
+    first = first_lines(spark, path).select("file", F.ltrim("first_line").alias("first_line"))
     return with_validity(first, "first_line", prefixes)
 
 
@@ -49,8 +40,13 @@ def load_table(spark: SparkSession, folder: str, name: str, species: str | None
     return df if species is None else df.filter(F.col("specie") == species)
 
 
-def read_result_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Quoted CSV with embedded commas, doubled quotes and line breaks."""
+def read_result_csv(spark: SparkSession, path: str, schema: str | None = None, stray_quotes: bool = False) -> DataFrame:
+    """Quoted CSV with embedded commas, doubled quotes and line breaks; large files are read in splits.
+
+    Where quotes stand inside unquoted fields (``stray_quotes``) no split can be read by itself, and a file is one task.
+    """
+    if not stray_quotes:
+        return read_quoted_csv(spark, path, schema)
     reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
     return (reader.schema(schema) if schema else reader).csv(path)
 

@@ -1,6 +1,8 @@
 """Readers and sinks on small files that hold the awkward cases."""
 
+import csv
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from splicelake.operators import crosswalk as xw
 from splicelake.sinks import tables as sinks
 from splicelake.sources import checks, ensembl, flatfile, interpro, refseq, tables
+from splicelake.sources.first_lines import first_lines
 from splicelake.sources.gff3 import attr, read_gff3
 
 
@@ -284,6 +287,49 @@ def test_result_csv(spark, tmp_path):
     assert checks.preview(df, 2).count() == 2
 
 
+def test_quoted_csv_in_splits_equals_whole_files(spark, tmp_path):
+    rnd = random.Random(4)
+    signs = ["a", ",", '"', "\n", "\r\n", " ", "é", "", "long field " * 4]
+    for part in ("p=1", "p=2"):
+        (tmp_path / part).mkdir()
+        with (tmp_path / part / "r.csv").open("w", newline="") as f:
+            out = csv.writer(f, lineterminator="\n" if part == "p=1" else "\r\n", quoting=csv.QUOTE_ALL)
+            out.writerow(["key", "two\nlines", "n"])
+            for k in range(400):
+                out.writerow([f"k{k}", "".join(rnd.choice(signs) for _ in range(rnd.randrange(9))), k])
+            f.write('\n"last",x,' + "7")
+    (tmp_path / "p=1" / "empty.csv").write_text("")
+    schema = "key string, said string, n int"
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "700b")
+    try:
+        for given in (schema, None):
+            split, whole = (checks.read_result_csv(spark, str(tmp_path), given, stray_quotes=stray) for stray in (False, True))
+            assert split.columns == whole.columns
+            assert sorted(map(repr, split.collect())) == sorted(map(repr, whole.collect()))
+            assert split.count() == 802
+        assert spark.read.option("lineSep", "\n").text(str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_first_lines_read_one_block(spark, tmp_path):
+    (tmp_path / "a b.txt").write_text("head\r\n" + "row\n" * 100_000)
+    (tmp_path / "long.txt").write_text("é" * 5000 + "\nx")
+    (tmp_path / "blank.txt").write_text("\nx\n")
+    (tmp_path / "one.txt").write_text("no end")
+    (tmp_path / "empty.txt").write_text("")
+    with gzip.open(tmp_path / "z.gz", "wt") as f:
+        f.write("packed\nrow\n")
+    got = {r["file"].split("/")[-1]: r for r in first_lines(spark, str(tmp_path), block=1024).collect()}
+    assert {k: r["first_line"] for k, r in got.items()} == {
+        "a%20b.txt": "head", "long.txt": "é" * 5000, "blank.txt": "", "one.txt": "no end", "z.gz": "packed",
+    }
+    assert got["a%20b.txt"]["bytes_read"] == 1024 and got["long.txt"]["bytes_read"] <= 10_240 + 1024
+
+
 def test_sinks(spark, tmp_path):
     genes = spark.createDataFrame(
         [("1", "E1", "A", None, "1", "+", "H_sapiens"), ("2", "E2", "B", "x", "2", "-", "M_musculus")],
