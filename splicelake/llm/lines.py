@@ -176,7 +176,7 @@ def _close_signs():
 
 
 def near_lines(docs: DataFrame, tau: int = TAU, least: int = 1) -> DataFrame:
-    """One row per line: ``doc_id, row, line_no, line, class_doc, class_line, kept``.
+    """One row per line: ``doc_id, row, line_no, line, class_doc, class_line, kept, in_class``.
 
     ``docs`` has ``doc_id, row, _text``; ``doc_id`` and ``row`` together name a text. Lines of at least
     ``least`` characters are linked when they are equal or within the edits of the shorter one (``edits_of``);
@@ -238,7 +238,7 @@ def near_lines(docs: DataFrame, tau: int = TAU, least: int = 1) -> DataFrame:
     top = F.coalesce(F.col("top"), here)
     return out.select(
         "doc_id", "row", "line_no", "line", top["doc_id"].alias("class_doc"), top["line_no"].alias("class_line"),
-        (top == here).alias("kept"),
+        (top == here).alias("kept"), F.col("_class").isNotNull().alias("in_class"),
     )
 
 
@@ -246,18 +246,26 @@ def line_dedup(docs: DataFrame, tau: int = TAU, least: int = 1) -> DataFrame:
     """One row per input row: ``doc_id, n_lines, n_dropped, dropped`` (numbers of dropped lines, from 0).
 
     Lines lie between line feeds. Null text: one empty line, kept. Rows that repeat an id with other
-    texts are documents of their own; rows that repeat id and text share all lines, so they are
-    reported once each with the same result. Null ids come last. An empty table gives an
+    texts are documents of their own. Of rows that repeat id and text one is reported as the first, and the others
+    lose every line that takes part, as equal texts of other ids would. Null ids come last. An empty table gives an
     empty result; other columns are ignored.
     """
     short_batches(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("row"), text_of().alias("_text"))
-    decided = near_lines(named, tau, least).groupBy("doc_id", "row", "line_no").agg(F.max("kept").alias("kept"), F.count("*").alias("copies"))
-    per = decided.groupBy("doc_id", "row").agg(
-        F.count("*").alias("n_lines"),
-        F.count(F.when(~F.col("kept"), 1)).alias("n_dropped"),
-        F.array_join(F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("line_no")))), ",").alias("dropped"),
-        F.max("copies").alias("copies"),
+    decided = near_lines(named, tau, least).groupBy("doc_id", "row", "line_no").agg(
+        (~F.max("kept")).alias("out"), F.max("in_class").alias("out_again"), F.count("*").alias("copies")
+    )
+
+    def gone(flag: str) -> list:
+        numbers = F.array_sort(F.collect_list(F.when(F.col(flag), F.col("line_no"))))
+        return [F.count_if(flag).alias(f"n_{flag}"), F.array_join(numbers, ",").alias(f"{flag}_numbers")]
+
+    per = decided.groupBy("doc_id", "row").agg(F.count("*").alias("n_lines"), F.max("copies").alias("copies"), *gone("out"), *gone("out_again"))
+    rows = per.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    first = F.col("_copy") == 1
+    return rows.select(
+        "doc_id",
+        "n_lines",
+        F.when(first, F.col("n_out")).otherwise(F.col("n_out_again")).alias("n_dropped"),
+        F.when(first, F.col("out_numbers")).otherwise(F.col("out_again_numbers")).alias("dropped"),
     )
-    rows = per.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.select("doc_id", "n_lines", "n_dropped", "dropped")
