@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from splicelake.llm.common import short_batches, stage, text_of
+from splicelake.llm.common import short_batches, stage, summed_vectors, text_of
 from splicelake.llm.components import components
 
 #: Counters of the n-gram frequency table: a fixed number, 32 MB to the driver and 4 MB broadcast.
@@ -116,18 +116,12 @@ def frequency_classes(docs: DataFrame, words: int) -> np.ndarray:
         rows = table.reshape(blocks, width)
         used = [k for k in range(blocks) if rows[k].any()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), pa.array([rows[k].astype("<u4").tobytes() for k in used], pa.binary())], names=["block", "counts"]
+            [pa.array(used, pa.int32()), pa.array([rows[k].astype("<u4").tobytes() for k in used], pa.binary())], names=["k", "v"]
         )
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, "<u4").astype("<i8") for c in pdf["counts"])
-        return pd.DataFrame({"block": pdf["block"][:1], "counts": [total.tobytes()]})
-
-    per_task = docs.select("_text").mapInArrow(count, "block int, counts binary")
-    summed = per_task.groupBy("block").applyInPandas(add, "block int, counts binary").collect()  # 64 rows of 512 KB
     table = np.zeros((blocks, width), np.int64)
-    for r in summed:
-        table[r["block"]] = np.frombuffer(r["counts"], "<i8")
+    for block, counts in summed_vectors(docs.select("_text").mapInArrow(count, "k int, v binary"), "<u4", "<i8").items():  # 64 of 512 KB
+        table[block] = counts
     return np.minimum(np.log2(np.maximum(table.ravel(), 1)), 63).astype(np.uint8)
 
 

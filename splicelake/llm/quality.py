@@ -17,11 +17,10 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from splicelake.llm.common import short_batches, text_of
+from splicelake.llm.common import short_batches, summed_vectors, text_of
 
 BINS = 1 << 14
 LABELLERS = ("symbols", "capitals", "repeats", "runs", "doubled_marks", "bars", "sentence_ends", "lower_starts")
@@ -195,11 +194,7 @@ def _tables(docs: DataFrame, make) -> dict[int, np.ndarray]:
             [pa.array(keys, pa.int32()), pa.array([total[k].astype("<f8").tobytes() for k in keys], pa.binary())], names=["k", "v"]
         )
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": pdf["k"][:1], "v": [sum(np.frombuffer(v, "<f8") for v in pdf["v"]).tobytes()]})
-
-    rows = docs.select(text_of()).mapInArrow(per_task, "k int, v binary").groupBy("k").applyInPandas(add, "k int, v binary")
-    return {r["k"]: np.frombuffer(r["v"], "<f8") for r in rows.collect()}  # a few vectors of fixed size
+    return summed_vectors(docs.select(text_of()).mapInArrow(per_task, "k int, v binary"), "<f8", "<f8")
 
 
 def threshold_step(good: np.ndarray, bad: np.ndarray, loss: float) -> int:
