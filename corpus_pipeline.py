@@ -6,7 +6,6 @@ hands the written table to the next stage.
 
 from __future__ import annotations
 
-import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,37 +22,16 @@ from splicelake.session import shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
-_left_over: list[str] = []
-
-
-def _tidy(stage):
-    """Before a stage begins, the intermediate tables of earlier ones go, unless ``docs`` still reads them."""
-
-    @functools.wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _left_over else []
-        done = [p for p in _left_over if not any(p.rsplit("/", 1)[-1] in f for f in read)]
-        discard(spark, *done)
-        _left_over[:] = [p for p in _left_over if p not in done]
-        with tables_of(_left_over):
-            return stage(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@_tidy
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
     return good_documents(docs.select(*COLUMNS))
 
 
-@_tidy
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of equal texts."""
     return distinct_documents(docs.select(*COLUMNS))
 
 
-@_tidy
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies: five-word shingles, four fifths of their union shared."""
     kept = near_groups(docs, words=5, percent=80).filter("kept")
@@ -62,7 +40,6 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")), "left_semi").select(*COLUMNS)
 
 
-@_tidy
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the 1:2:3 mix of the sources takes it."""
     taken = mix(docs).filter("copies > 0")
@@ -74,7 +51,6 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return counted.join(taken, same).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
-@_tidy
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their places in the sequences."""
     return pack(token_pieces(docs, tokenizer_path(), with_ids=False))
@@ -94,10 +70,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
+    """The rows of the last stage over ``documents``.
+
+    A stage's intermediate tables go as soon as its result is written. Stages called by themselves leave theirs
+    below the application's folder, as their frames may be read at any time.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/pipeline/{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with tables_of([]) as staged:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        discard(spark, *staged)
         docs = spark.read.parquet(path)
     return docs
