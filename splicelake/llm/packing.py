@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -16,65 +18,113 @@ from splicelake.llm.common import short_batches, stage, text_of
 
 #: Pieces per packing task; a constant, so the number of tasks grows with the corpus.
 GROUP = 20_000
-#: Words whose ids a Python worker remembers; beyond that it forgets all and starts again.
+#: Words, and parts of words, whose ids a Python worker remembers; beyond that it forgets all and starts again.
 REMEMBERED = 400_000
+#: Characters of the longest word or part that is remembered.
+LONGEST_REMEMBERED = 64
+
+
+class PartIds(dict):
+    """Ids of the parts that a model has split already; unknown parts are split, and short ones remembered."""
+
+    def __init__(self, split):
+        super().__init__()
+        self.split = split
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.split(part)
+        if len(part) <= LONGEST_REMEMBERED:
+            self[part] = ids
+        return ids
 
 
 class WordEncoder:
-    """Token ids of whole texts through a tokenizer whose pre-tokenizer drops white space.
+    """Token ids of whole texts; ids are bytes, 4 to a token, little-endian.
 
-    Such a tokenizer treats the words between spaces and line ends alone, so each distinct
-    word is encoded once and remembered. Ids are bytes, 4 to a token, little-endian.
+    A tokenizer file whose normaliser and pre-tokenizer are ``NORMALIZER`` and ``PRE_TOKENIZER`` treats each part that
+    its pattern finds alone and drops white space. There, words of plain letters are cut
+    into parts here, and each distinct part is split by the model once and remembered; every other word goes through the
+    library. With any other file whole texts go through the library.
     """
 
-    #: Letters whose lower case and composition are the same in every library.
-    PLAIN = re.compile(r"[A-Za-z0-9!-/:-@\[-`{-~ÀÂÄÇÉÈÊËÎÏÍÑÓÔÖÙÛÜÚÁàâäçéèêëîïíñóôöùûüúáß]*\Z")
-    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zàâäçéèêëîïíñóôöùûüúáß]+|[0-9]|[^\sa-zàâäçéèêëîïíñóôöùûüúáß0-9]+")
+    # What the tokenizer file states, and the letters whose lower case and composition all libraries agree on.
+    NORMALIZER = {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    }
+    PRE_TOKENIZER = {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    }
+    LETTERS = "àâäçéèêëîïíñóôöùûüúáß"
+    UPPER = "ÀÂÄÇÉÈÊËÎÏÍÑÓÔÖÙÛÜÚÁ"
+    PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^ a-z{LETTERS}0-9]+")
+    ODD = rf"[^ !-~{UPPER}{LETTERS}]"
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        spec = json.loads(self.tokenizer.to_str())
+        self.by_parts = spec["normalizer"] == self.NORMALIZER and spec["pre_tokenizer"] == self.PRE_TOKENIZER and not spec["model"].get("dropout")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_parts = self.by_parts and not any(re.search(r"\s", s) for s in self.specials)
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.spell = {c: byte_level.pre_tokenize_str(c)[0][0] for c in map(chr, range(33, 256)) if c.strip()}
+        self.spell = str.maketrans({c: byte_level.pre_tokenize_str(c)[0][0] for c in self.LETTERS})
+        self.odd = re.compile(self.ODD)
+        self.odd_or_special = re.compile("|".join([self.ODD, *map(re.escape, self.specials)]))
+        self.model = self.tokenizer.model
+        self.parts = PartIds(self._split)
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.remembered = remembered
 
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            spelled = part if part.isascii() else "".join(map(self.spell.__getitem__, part))
-            ids = self.parts[part] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        return ids
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > self.remembered:
-            self.words.clear()
-        if len(self.parts) > self.remembered:
-            self.parts.clear()
-        odd = []
-        for w in words:
-            if self.PLAIN.match(w) and not any(s in w for s in self.specials):
-                self.words[w] = b"".join(map(self._part, self.PARTS.findall(w.lower())))
-            else:
-                odd.append(w)
-        for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, "<u4").tobytes()
+    def _split(self, part: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.spell))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, self.PARTS.findall(text.lower())))
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _stretches(self, text: str) -> list[tuple[bool, str]]:
+        """The text, spaces for line ends, as (is odd, stretch): odd words stand alone, stretches between them are plain."""
+        odd = self.odd_or_special if any(s in text for s in self.specials) else self.odd
+        out, at = [], 0
+        while hit := odd.search(text, at):
+            start = max(text.rfind(" ", at, hit.start()) + 1, at)
+            end = text.find(" ", hit.start())
+            end = len(text) if end < 0 else end
+            if start > at:
+                out.append((False, text[at:start]))
+            out.append((True, text[start:end]))
+            at = end
+        if at < len(text):
+            out.append((False, text[at:]))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        seen = set().union(*split)
-        known = self.words
-        new = seen.difference(known)
-        if new:
-            if len(known) + len(new) > self.remembered:
-                new = seen
-            self.learn(new)
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+        if not self.by_parts:
+            return self._library(texts)
+        cut = [self._stretches(t.replace("\n", " ")) for t in texts]
+        odd = {w for stretches in cut for is_odd, w in stretches if is_odd}
+        new = list(odd.difference(self.words))
+        self.words.update(zip(new, self._library(new)))
+        out = [b"".join(self.words[w] if is_odd else self._plain(w) for is_odd, w in stretches) for stretches in cut]
+        for w in new:
+            if len(w) > LONGEST_REMEMBERED:
+                del self.words[w]
+        for memory in (self.words, self.parts):
+            if len(memory) > self.remembered:
+                memory.clear()
+        return out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
