@@ -1,6 +1,7 @@
 """Corpus operators against plain Python on small awkward tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ import pytest
 
 import corpus_pipeline
 from splicelake.llm import lines, packing, secrets
+from splicelake.llm.common import stage, summed_vectors, tables_of
 from splicelake.llm.chat import escaped, format_tree, parse, parts_of, read_back, unescaped
 from splicelake.llm.exact_dedup import distinct_documents, exact_dedup
 from splicelake.llm.fingerprint import fingerprint_with_edits
@@ -389,3 +391,47 @@ def test_pipeline_matches_plain_python(docs_of, spark, tmp_path):
 @pytest.mark.parametrize("run", [exact_dedup, fingerprint_with_edits, line_dedup, mix, near_groups, remove_repeats])
 def test_empty_tables(docs_of, run):
     assert run(docs_of([])).count() == 0
+
+
+def test_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(5)
+    signs = " \n\t\r'stdmrelv09aZé<|>endoftext́İßẞàÀ漢²\x1c\xa0—ñ.,!"
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(60))) for _ in range(1500)]
+    texts += ["", "a<|endoftext|>b c", "<|startoftext|> x <|endoftext|>", "É's " * 5, "x" * 30_000, "漢" * 5000, "né" * 3000 + "\n" + LONG]
+    for name in ("word_bpe_49k", "byte_bpe_50k"):
+        path = tokenizer_path().replace("word_bpe_49k", name)
+        encoder, library = packing.WordEncoder(path, remembered=50), Tokenizer.from_file(path)
+        assert encoder.by_parts == (name == "word_bpe_49k")
+        for at in range(0, len(texts), 100):
+            some = texts[at : at + 100]
+            got = [list(np.frombuffer(b, "<u4")) for b in encoder.encode(some)]
+            assert got == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_line_dedup_keeps_one_of_repeated_rows(docs_of):
+    menu = "Menu\n\nAll rights reserved."
+    got = line_dedup(docs_of([(None, "a\nb"), (None, "a\nb"), (3, menu), (3, menu), (4, menu)])).collect()
+    assert sorted((str(r["doc_id"]), r["n_dropped"], r["dropped"]) for r in got) == [
+        ("3", 0, ""), ("3", 2, "0,2"), ("4", 2, "0,2"), ("None", 0, ""), ("None", 2, "0,1"),
+    ]
+
+
+def test_summed_vectors(spark):
+    rows = [(k, np.array([k, i, 4_000_000_000], "<u4").tobytes()) for i in range(40) for k in (1, 5)]
+    df = spark.createDataFrame(rows, "k int, v binary").repartition(20)
+    got = summed_vectors(df, "<u4", "<i8", (7, 3))
+    assert {k: v.tolist() for k, v in got.items()} == {k: [40 * k, 780, 160_000_000_000] for k in (1, 5)}
+    assert summed_vectors(df.limit(0), "<u4", "<i8") == {}
+
+
+def test_stages_called_before_any_is_read(spark, docs_of, tmp_path):
+    docs = docs_of([(i, f"{LONG} {i % 3}", "s") for i in range(9)])
+    first = corpus_pipeline.exact(spark, docs, str(tmp_path))
+    second = corpus_pipeline.near(spark, docs, str(tmp_path))
+    assert first.count() == 3 and second.count() == 1
+    with tables_of([]) as outer:
+        with tables_of([]) as inner:
+            stage(docs)
+    assert outer == inner and len(inner) == 1
