@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from splicelake.functions import ids, text
@@ -129,11 +129,13 @@ def keyed_tables(
     previous_types: DataFrame | None = None,
     events: str = "all",
     earlier_facts: DataFrame | None = None,
+    verdicts: Observation | None = None,
 ) -> dict[str, DataFrame]:
     """All tables of one species with the build's own keys, and the facts its domain types rest on.
 
     ``previous_types`` is (ext_id, type_id) of an earlier build; its type ids are kept. With ``earlier_facts``, those
-    of other species, a domain also belongs to an earlier type when only those facts link the two.
+    of other species, a domain also belongs to an earlier type when only those facts link the two. ``verdicts`` gets the
+    counts of kept and dropped domains from the pass that labels them.
     """
     r, e = read_refseq(spark, paths), read_ensembl(spark, paths)
     rows = clean_crosswalk(tables.read_id_crosswalk(spark, paths.crosswalk), SPECIES[paths.species][3])
@@ -184,7 +186,8 @@ def keyed_tables(
         .groupBy("tx_key", "ext_id", "aa_start", "aa_end")
         .agg(*[F.min(c).alias(c) for c in ("name", "note", "cdd")])
     )
-    judged = staged(ty.eligible_domains(united.withColumnRenamed("note", "own_note"), entry_index))
+    labelled = ty.eligible_domains(united.withColumnRenamed("note", "own_note"), entry_index)
+    judged = staged(labelled if verdicts is None else ty.observe_verdicts(labelled, verdicts))
     usable = judged.filter("verdict IN ('used', 'name_only')")
     facts = usable.select("ext_id", "accession", "cdd", "name", F.concat_ws("; ", "own_note", "note").alias("note")).distinct().withColumn(
         "note", F.nullif(F.col("note"), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from splicelake.functions import text
@@ -303,6 +303,17 @@ def eligible_domains(t: Tables) -> DataFrame:
     return ty.eligible_domains(t.domains, interpro.entry_index(t.entries)).select(*KEYS, "accession", "verdict", "note")
 
 
+@query(
+    "dropped_domains",
+    f"""WITH {ELIGIBLE_SQL} SELECT count(*) AS domains, {", ".join(f"count(*) FILTER (verdict = '{v}') AS {v}" for v in ty.VERDICTS)} FROM verdicts""",
+)
+def dropped_domains(t: Tables) -> DataFrame:
+    """Kept and dropped domains, counted by the pass that writes the labelled ones."""
+    counts = Observation()
+    staged(ty.observe_verdicts(ty.eligible_domains(t.domains, interpro.entry_index(t.entries)), counts))
+    return t.spark.createDataFrame([counts.get], ", ".join(f"{c} bigint" for c in ("domains", *ty.VERDICTS)))
+
+
 def _linked(t: Tables) -> DataFrame:
     good = ty.eligible_domains(t.domains, interpro.entry_index(t.entries)).filter("verdict IN ('used', 'name_only')")
     return good.select("ext_id", "accession", "cdd", "name", "note", "entry_type").distinct()
