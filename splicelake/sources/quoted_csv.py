@@ -97,10 +97,14 @@ def read_quoted_csv(spark: SparkSession, path: str, schema: str | T.StructType |
         schema = T.StructType([T.StructField(n, T.StringType()) for n in _names(first["_head"]["value"])])
     elif isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    parts = [c for c in records.columns if c not in ("_file", "_from", "_n", "value") and c not in schema.names]
+    # As in Spark's own readers, a column that the folders name is no column of the files.
+    kinds = {f.name: f.dataType for f in schema.fields}
+    found = [c for c in records.columns if c not in ("_file", "_from", "_n", "value")]
+    parts = [F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in found]
+    schema = T.StructType([f for f in schema.fields if f.name not in found])
     at: Column = F.struct("_from", "_n")
     body = records.join(header, "_file").filter(at > F.struct("_head._from", "_head._n"))
-    return body.select(F.from_csv("value", _ddl(schema), _OPTIONS).alias("_r"), *parts).select("_r.*", *parts)
+    return body.select(F.from_csv("value", _ddl(schema), _OPTIONS).alias("_r"), *parts).select("_r.*", *found)
 
 
 def _ddl(schema: T.StructType) -> str:
