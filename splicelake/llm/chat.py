@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from splicelake.llm.common import short_batches, stage, text_of
@@ -26,6 +26,9 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 LEARNED = "assistant"
 #: Nodes of a conversation that take part in the sampled splitters.
 SPLITTER_DEPTH = 16
+#: Intervals handed back by a worker at once.
+WAY_ROWS = 10_000
+_ATTEND = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 def escaped(text: str) -> str:
@@ -101,16 +104,26 @@ def _tokenised(path: str):
     return encode
 
 
-def _spans(steps: Column) -> Column:
-    """Neighbouring intervals of an ordered array of (start, stop) joined."""
-    return F.aggregate(
-        steps,
-        F.array().cast("array<struct<start:bigint,stop:bigint>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] == x["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), x["stop"].alias("stop")))),
-        ).otherwise(F.array_append(acc, x)),
-    )
+def _attended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One walk down each way: the intervals before every node that the way emits, neighbouring ones joined."""
+    for b in batches:
+        for way in b.column("way"):
+            spans: list[tuple[int, int]] = []
+            nodes, attend, held = [], [], 0
+            _, *fields = way.values.flatten()
+            for node, start, stop, own in zip(*(f.to_pylist() for f in fields)):
+                if own:
+                    nodes.append(node)
+                    attend.append([{"start": x, "stop": y} for x, y in spans])
+                    held += len(spans) + 1
+                if spans and spans[-1][1] == start:
+                    spans[-1] = (spans[-1][0], stop)
+                else:
+                    spans.append((start, stop))
+                if held >= WAY_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(attend, _ATTEND)], names=["node", "attend"])
+                    nodes, attend, held = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(attend, _ATTEND)], names=["node", "attend"])
 
 
 def format_tree(turns: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
@@ -123,7 +136,8 @@ def format_tree(turns: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]
     Nodes: ``node, parent, role, start, stop`` (place in the output), ``position`` (of the first
     token), ``attend`` (intervals of the ancestors), ``tokens``, ``loss_from, loss_to`` (token range
     under the loss mask, relative to ``start``; empty unless the role is assistant).
-    Ways: ``conv_id, leaf, path`` (nodes from the root). One conversation is one row.
+    Ways: ``conv_id, leaf, path`` (nodes from the root). One conversation is one row; work and memory grow in
+    proportion to its turns (and to the intervals its turns have).
     """
     short_batches(turns.sparkSession)
     clean = turns.select("conv_id", "turn", text_of("role").alias("role"), text_of("text").alias("text"))
@@ -154,18 +168,15 @@ def format_tree(turns: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]
     offsets = totals.select("part", before.alias("base"))  # one row per stored part
     along = Window.partitionBy("part").orderBy("nth", "depth").rowsBetween(Window.unboundedPreceding, 0)
     spots = sized.withColumn("end", F.sum("n").over(along)).join(offsets, "part")
-    spots = spots.select("node", (F.col("base") + F.col("end") - F.col("n")).alias("start"), (F.col("base") + F.col("end")).alias("stop"))
+    spots = spots.select("node", F.struct("part", "nth").alias("at"), (F.col("base") + F.col("end") - F.col("n")).alias("start"), (F.col("base") + F.col("end")).alias("stop"))
     spots, _ = stage(spots)
 
     # What a node attends to: the places of the nodes before it on the way that emits it.
-    owned = first.select("node", F.col("at.part").alias("part"), F.col("at.nth").alias("nth"))
-    steps = reached.join(spots, "node").groupBy("part", "nth").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "start", "stop"))).alias("way"))
-    one = F.posexplode("way").alias("i", "me")
-    opened = steps.select("part", "nth", "way", one).withColumn("up", F.slice("way", F.lit(1), F.col("i")))
-    seen = opened.select(
-        "part", "nth", F.col("me.node").alias("node"), _spans(F.transform("up", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))).alias("attend")
-    )
-    attends = owned.join(seen, ["part", "nth", "node"]).select("node", "attend")
+    own = F.col("at") == F.struct("part", "nth")
+    step = F.struct("depth", "node", "start", "stop", own.alias("own"))
+    steps = reached.join(spots, "node").groupBy("part", "nth").agg(F.sort_array(F.collect_list(step)).alias("way"))
+    attends = steps.select("way").mapInArrow(_attended, "node binary, attend array<struct<start:bigint,stop:bigint>>")
+    spots = spots.drop("at")
     position = F.aggregate("attend", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
     learned = F.col("role") == LEARNED
     nodes = tokenised.join(spots, "node").join(attends, "node").select(

@@ -161,6 +161,37 @@ def test_chat_tree_shares_beginnings(spark):
     assert back[5]["turns_sha256"] == hashlib.sha256(b"assistant\na\nuser\nb\n").hexdigest()
 
 
+def test_chat_tree_on_very_long_conversations(spark):
+    """20,000 turns, another way off halfway, and a repeated row, in time and memory that grow with the turns."""
+    n = 20_000
+    a = [(1, k, ("user", "assistant")[k % 2], f"t{k}", "x") for k in range(n)]
+    b = [(2, k, r, x if k < n // 2 else x + "b", "y") for _, k, r, x, _ in a[: n // 2 + 40]]
+    rows = [*a, *b, (3, 0, "user", "t0", "z"), (3, 0, "user", "t0", "z")]
+    path = tokenizer_path("byte_bpe_50k.json")
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node string").repartition(8)
+    nodes, ways = format_tree(table, path)
+    told = nodes.select("node", "parent", "start", "stop", "position", "attend").collect()
+    assert len(told) == n + 40 + 1
+    by = {bytes(r["node"]): r for r in told}
+    chain = {None: []}
+    for r in sorted(told, key=lambda r: (r["position"], r["start"])):  # parents before children
+        above = chain[r["parent"] and bytes(r["parent"])]
+        assert [(s["start"], s["stop"]) for s in r["attend"]] == above and r["position"] == sum(y - x for x, y in above)
+        spans = above[:-1] + [(above[-1][0], r["stop"])] if above and above[-1][1] == r["start"] else [*above, (r["start"], r["stop"])]
+        chain[bytes(r["node"])] = spans
+    assert len(by) == len(told)
+    back = {r["conv_id"]: r for r in read_back(nodes, ways, path).collect()}
+    for conv in (1, 2, 3):
+        said = "".join(f"{r}\n{x}\n" for c, _, r, x, _ in rows if c == conv)
+        assert back[conv]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
+def test_chat_tree_on_an_empty_table(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    nodes, ways = format_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), path)
+    assert nodes.count() == ways.count() == 0 and read_back(nodes, ways, path).count() == 0
+
+
 def test_secrets(docs_of):
     key = "9f" * 20
     rows = [(1, f'token = "{key}" and AKIA{"A1" * 10}'), (2, None), (3, "plain prose only"), (4, "see mail7.example.com now"), (5, "é" + key)]
