@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from splicelake.functions import coords, ids, text
 from splicelake.operators.grouping import group_opens
-from splicelake.operators.lists import group_text
+from splicelake.operators.lists import group_text, item_rows
 from splicelake.operators.ordered import Layout, in_parts, interval_join, scan
 from splicelake.session import staged
 
@@ -207,31 +207,36 @@ def rep_domain_view(representative: DataFrame) -> DataFrame:
     return representative.select("protein_interpro_id", *rep_domain_columns())
 
 
-def domains_text(events: DataFrame, types: DataFrame, protein: list[str]) -> DataFrame:
-    """Per protein ``name;accessions;AAs-AAe;ns-ne`` joined by ``||``, ordered by position."""
-    named = events.join(types.select("type_id", "name"), "type_id")
+#: Order of the domains in a protein's text.
+TEXT_ORDER = ("aa_start", "aa_end", "type_id")
+
 
+def _domain_item() -> Column:
     def clean(c: Column) -> Column:
         return F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit(","), F.lit("."))
 
     def span(lo: str, hi: str) -> Column:
         return F.concat(F.col(lo).cast("string"), F.lit("-"), F.col(hi).cast("string"))
 
-    item = F.concat_ws(
+    return F.concat_ws(
         ";",
         clean(F.col("name")),
         clean(F.replace(F.col("ext_id"), F.lit("; "), F.lit("/"))),
         span("aa_start", "aa_end"),
         span("nuc_start", "nuc_end"),
     )
-    return group_text(
-        named,
-        protein,
-        item,
-        "||",
-        "domains_info",
-        sort_by=[F.col("aa_start"), F.col("aa_end"), F.col("type_id")],
-    )
+
+
+def domains_text(events: DataFrame, types: DataFrame, protein: list[str]) -> DataFrame:
+    """Per protein ``name;accessions;AAs-AAe;ns-ne`` joined by ``||``, ordered by position."""
+    named = events.join(types.select("type_id", "name"), "type_id")
+    return group_text(named, protein, _domain_item(), "||", "domains_info", sort_by=[F.col(c) for c in TEXT_ORDER])
+
+
+def domain_items(events: DataFrame, types: DataFrame, protein: list[str]) -> DataFrame:
+    """The items of ``domains_text`` as rows with their positions; a protein may have any number."""
+    named = events.join(types.select("type_id", "name"), "type_id")
+    return item_rows(named, protein, _domain_item(), sort_by=[F.col(c) for c in TEXT_ORDER])
 
 
 # --- domains against domains -------------------------------------------------

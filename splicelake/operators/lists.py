@@ -1,4 +1,4 @@
-"""Delimited text per group."""
+"""Delimited text per group, and its items as rows of their own."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from splicelake.operators.ordered import running
+
 
 def group_text(
     df: DataFrame,
@@ -30,3 +32,32 @@ def group_text(
     fields = [*[f"_s{i}" for i in range(len(ranks))], "_item"]
     sorted_items = F.array_sort(F.collect_list(F.struct(*fields)))
     return rows.groupBy(*keys).agg(F.array_join(F.transform(sorted_items, lambda s: s["_item"]), sep).alias(out))
+
+
+def item_rows(
+    df: DataFrame,
+    keys: Sequence[str],
+    item: Column,
+    *,
+    sort_by: Sequence[Column] = (),
+    unique: bool = False,
+) -> DataFrame:
+    """The items of each group as rows ``keys, position, item``, in the order of ``group_text``.
+
+    Positions count from 1; null items are left out, as joined text leaves them out. A group is cut
+    into as many ranges of its order as it needs, so none has to fit into one task.
+    """
+    ranks = [c.alias(f"_s{i}") for i, c in enumerate(sort_by)]
+    rows = df.select(*keys, *ranks, item.alias("item")).filter(F.col("item").isNotNull())
+    if unique:
+        rows = rows.distinct()
+    order = [*[f"_s{i}" for i in range(len(ranks))], "item"]
+    counted = running(rows.withColumn("_one", F.lit(1).cast("bigint")), keys, order, {"position": ("sum", "_one", "through")})
+    return counted.select(*keys, "position", "item")
+
+
+def text_pieces(items: DataFrame, keys: Sequence[str], sep: str, per_piece: int) -> DataFrame:
+    """``keys, piece, text``: at most ``per_piece`` items of a group joined; the pieces in order, with ``sep`` between, are the whole text."""
+    piece = F.floor((F.col("position") - 1) / F.lit(per_piece)).cast("bigint")
+    held = items.groupBy(*keys, piece.alias("piece")).agg(F.sort_array(F.collect_list(F.struct("position", "item"))).alias("_items"))
+    return held.select(*keys, "piece", F.array_join(F.transform("_items", lambda x: x["item"]), sep).alias("text"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from splicelake.functions import ids, text
 from splicelake.operators.exons import coding_transcripts
 from splicelake.operators.joins import or_join
-from splicelake.operators.lists import group_text
+from splicelake.operators.lists import group_text, item_rows
 from splicelake.operators.ordered import running
 from splicelake.session import staged
 
@@ -139,6 +139,14 @@ def did_you_mean(terms: DataFrame, genes: DataFrame) -> DataFrame:
     return listed
 
 
+def did_you_mean_items(terms: DataFrame, genes: DataFrame) -> DataFrame:
+    """The candidates of ``did_you_mean`` as rows ``term, n_genes, position, item``, however many a term has."""
+    hits = close_genes(terms, genes)
+    several = hits.groupBy("term").agg(F.count("*").alias("n_genes")).filter("n_genes > 1")
+    listed = item_rows(hits.join(several, "term").select("term", "gene_symbol"), ["term"], F.col("gene_symbol"), unique=True)
+    return listed.join(several, "term").select("term", "n_genes", "position", "item")
+
+
 # --- documents ---------------------------------------------------------------
 
 

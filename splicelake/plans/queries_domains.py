@@ -14,8 +14,8 @@ from splicelake.operators import types as ty
 from splicelake.operators.ordered import running
 from splicelake.plans.derived import Tables
 from splicelake.plans.registry import query
-from splicelake.session import staged
-from splicelake.sinks.tables import export_transcript_domains_csv, transcript_domains
+from splicelake.session import shared_dir, staged
+from splicelake.sinks.tables import export_transcript_domains_csv, transcript_domains, write_texts
 from splicelake.sources import interpro
 from splicelake.sources.checks import read_result_csv
 
@@ -139,13 +139,42 @@ def domains_text(t: Tables) -> DataFrame:
     return _domains_text(t)
 
 
-def _domains_text(t: Tables) -> DataFrame:
+PROTEIN = ["protein_refseq_id", "protein_ensembl_id"]
+
+
+def _named_events(t: Tables) -> tuple[DataFrame, DataFrame]:
     spans = dom.with_nuc_span(t.domains).drop("name", "cdd")
-    events = dom.collapse_events(spans).join(
-        t.proteins.select("tx_key", "protein_refseq_id", "protein_ensembl_id"), "tx_key"
-    )
-    types = t.domains.select("type_id", "name").distinct()
-    return dom.domains_text(events, types, ["protein_refseq_id", "protein_ensembl_id"])
+    events = dom.collapse_events(spans).join(t.proteins.select("tx_key", *PROTEIN), "tx_key")
+    return events, t.domains.select("type_id", "name").distinct()
+
+
+def _domains_text(t: Tables) -> DataFrame:
+    return dom.domains_text(*_named_events(t), PROTEIN)
+
+
+DOMAIN_ITEMS_SQL = """SELECT *, row_number() OVER (PARTITION BY protein_refseq_id, protein_ensembl_id ORDER BY aa_start, aa_end, type_id, item) AS position
+       FROM (SELECT protein_refseq_id, protein_ensembl_id, aa_start, aa_end, type_id,
+               concat(coalesce(name, ''), ';', ext_id, ';', aa_start, '-', aa_end, ';', nuc_start, '-', nuc_end) AS item
+             FROM (SELECT tx_key, type_id, aa_start, aa_end, nuc_start, nuc_end, name, replace(string_agg(ext_id, '; ' ORDER BY ext_id), '; ', '/') AS ext_id
+                   FROM spans GROUP BY ALL) e JOIN proteins p ON e.tx_key = p.tx_key)"""
+
+
+@query("domains_text_items", f"SELECT protein_refseq_id, protein_ensembl_id, position, item FROM ({DOMAIN_ITEMS_SQL})")
+def domains_text_items(t: Tables) -> DataFrame:
+    return dom.domain_items(*_named_events(t), PROTEIN)
+
+
+@query(
+    "domains_text_pieces",
+    f"""SELECT protein_refseq_id, protein_ensembl_id, (position - 1) // 3 AS piece, string_agg(item, '||' ORDER BY position) AS text
+        FROM ({DOMAIN_ITEMS_SQL}) GROUP BY ALL""",
+)
+def domains_text_pieces(t: Tables) -> DataFrame:
+    """Domain texts as stored: pieces of three items, written and read back."""
+    spark = t.domains.sparkSession
+    folder = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/texts/{uuid.uuid4().hex}"
+    write_texts(domains_text_items(t), folder, "domains_text", PROTEIN, sep="||", per_piece=3)
+    return spark.read.parquet(f"{folder}/domains_text")
 
 
 EXPORT_SQL = """WITH texts AS (SELECT coalesce(protein_refseq_id, '') AS r, coalesce(protein_ensembl_id, '') AS e,
@@ -366,6 +395,25 @@ def type_attributes(t: Tables) -> DataFrame:
     return ty.type_attributes(linked.join(numbered, "ext_id"))
 
 
+@query(
+    "type_attribute_items",
+    COMPONENT_SQL
+    + """, facts AS (SELECT DISTINCT component, v.ext_id, v.type_id % 5 AS src, cdd, name, CASE WHEN entry_type = 'repeat' THEN 'Repeat_domain' END AS note
+         FROM verdicts v JOIN comps ON v.ext_id = node WHERE verdict IN ('used', 'name_only')),
+       ids AS (SELECT component, dense_rank() OVER (ORDER BY component) AS type_id FROM (SELECT DISTINCT component FROM facts)),
+       heads AS (SELECT component, arg_min(name, row(length(name), name)) AS main FROM facts WHERE name IS NOT NULL GROUP BY component),
+       long AS (SELECT component, CASE WHEN name = main THEN 'name' ELSE 'other_name' END AS attribute, name AS item FROM facts JOIN heads USING (component)
+         WHERE name IS NOT NULL
+         UNION SELECT component, 'description', note FROM facts WHERE note IS NOT NULL UNION SELECT component, 'cdd_id', cdd FROM facts WHERE cdd IS NOT NULL
+         UNION SELECT component, ['pfam', 'smart', 'cdd', 'tigr', 'interpro'][src + 1], ext_id FROM facts)
+       SELECT type_id, attribute, row_number() OVER (PARTITION BY type_id, attribute ORDER BY item) AS position, item FROM long JOIN ids USING (component)""",
+)
+def type_attribute_items(t: Tables) -> DataFrame:
+    linked = _linked(t)
+    numbered = ty.number_types(ty.resolve_domain_types(ty.type_edges(linked)))
+    return ty.type_attribute_items(linked.join(numbered, "ext_id"))
+
+
 @query(
     "stable_ids",
     COMPONENT_SQL

@@ -68,6 +68,16 @@ def did_you_mean(t: Tables) -> DataFrame:
     return se.did_you_mean(t.search_terms, t.genes)
 
 
+@query(
+    "did_you_mean_items",
+    f"""WITH {TIERS_SQL}, several AS (SELECT term, count(*) AS n_genes FROM close_hits GROUP BY term HAVING count(*) > 1)
+       SELECT term, n_genes, row_number() OVER (PARTITION BY term ORDER BY gene_symbol) AS position, gene_symbol AS item
+       FROM (SELECT DISTINCT term, n_genes, gene_symbol FROM close_hits JOIN several USING (term) WHERE gene_symbol IS NOT NULL)""",
+)
+def did_you_mean_items(t: Tables) -> DataFrame:
+    return se.did_you_mean_items(t.search_terms, t.genes)
+
+
 COUNTS_SQL = """SELECT g.gene_key, gene_symbol, specie,
          (SELECT count(*) FROM transcripts x WHERE x.gene_key = g.gene_key) AS n_transcripts,
          (SELECT count(*) FROM cds x WHERE x.gene_key = g.gene_key) AS n_transcript_exons,

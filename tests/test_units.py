@@ -13,7 +13,7 @@ from splicelake.operators import search as se
 from splicelake.operators import similarity as sim
 from splicelake.operators import stats
 from splicelake.operators import types as ty
-from splicelake.operators.lists import group_text
+from splicelake.operators.lists import group_text, item_rows, text_pieces
 from splicelake.operators.ordered import interval_join, running
 
 
@@ -151,6 +151,28 @@ def test_group_text_keeps_order_in_groups_of_any_size(spark):
     assert got == {"a": ",".join(str(i) for i in reversed(range(30_000))), "b": "x"}
 
 
+def test_item_rows_of_a_hot_group_and_their_pieces(spark):
+    """A group of a third of the rows lies in several parts; nulls are left out, ties stay, a null key is a group."""
+    rows = [("hot", k % 50, f"v{k % 700:03}") for k in range(3000)] + [(f"k{k % 900}", k % 7, f"v{k % 11}") for k in range(6000)]
+    rows += [(None, 1, "b"), (None, 0, "z"), (None, None, "n"), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "k string, s int, v string")
+    for unique in (False, True):
+        want = {}
+        for k, s, v in set(rows) if unique else rows:
+            if v is not None:
+                want.setdefault(k, []).append((s is not None, s or 0, v))
+        want = {k: [v for *_, v in sorted(x)] for k, x in want.items()}
+        items = item_rows(df, ["k"], F.col("v"), sort_by=[F.col("s")], unique=unique)
+        got = {}
+        for r in items.collect():
+            got.setdefault(r["k"], []).append((r["position"], r["item"]))
+        assert {k: [v for _, v in sorted(x)] for k, x in got.items()} == want
+        assert all([p for p, _ in sorted(x)] == list(range(1, len(x) + 1)) for x in got.values())
+    pieces = text_pieces(items, ["k"], ",", 100).filter("k = 'hot'").orderBy("piece").collect()
+    assert max(len(r["text"].split(",")) for r in pieces) == 100 and ",".join(r["text"] for r in pieces) == ",".join(want["hot"])
+    assert item_rows(df.limit(0), ["k"], F.col("v")).count() == 0
+
+
 def test_gene_document_loses_no_transcript(spark):
     genes = spark.createDataFrame(
         [(k, f"g{k}", None, f"S{k}", None, "1", "+", "H_sapiens") for k in (1, 2)],
