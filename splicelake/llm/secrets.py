@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ BEFORE, INSIDE, AFTER = 16, 40, 4
 #: From one view of a long candidate to the next.
 STEP = 20
 VIEW = BEFORE + INSIDE + AFTER
+#: Views judged at a time.
+SLICE = 4096
 FILTERS, WIDTH = 16, 5
 #: Bounds of the training set: documents sampled, findings of either label kept, made-up ones added.
 TRAIN_DOCUMENTS, TRAIN_FINDINGS, MADE_UP = 20_000, 1_500, 6_000
@@ -228,6 +232,42 @@ def train(views: np.ndarray, labels: np.ndarray, rounds: int = 6, seed: int = 4)
     return m
 
 
+class Spans:
+    """Findings by start; those that touch a range are found by bisection."""
+
+    def __init__(self, found: list[tuple[int, str, int]]):
+        self.spans = sorted((a, z) for a, _, z in found)
+        self.starts = [a for a, _ in self.spans]
+        self.reach = list(accumulate((z for _, z in self.spans), max))
+
+    def touching(self, start: int, end: int) -> list[tuple[int, int]]:
+        return [(a, z) for a, z in self.spans[bisect_right(self.reach, start) : bisect_left(self.starts, end)] if z > start]
+
+
+def _asked(texts: list[str], per_text: list[list[tuple[int, str, int]]]) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
+    """The views of every candidate that touches no finding, one after the other."""
+    for k, text in enumerate(texts):
+        keyed, spans = keyed_spans(text), Spans(per_text[k])
+        for s, e in candidates(text, keyed):
+            if not spans.touching(s, e):
+                for x, y in places(text, s, e, keyed):
+                    yield (k, s, e), view(text, x, y, x in keyed).astype(np.int8)
+
+
+def judged(model: SecretModel, asked: Iterator[tuple[tuple[int, int, int], np.ndarray]]) -> Iterator[tuple[tuple[int, int, int], float]]:
+    """Each candidate with its largest chance. A candidate's views follow one another; ``SLICE`` views are held at a time."""
+    last, best = None, 0.0
+    while held := list(islice(asked, SLICE)):
+        for name, p in zip((n for n, _ in held), model.chances(np.stack([v for _, v in held])).tolist()):
+            if name != last:
+                if last is not None:
+                    yield last, best
+                last, best = name, p
+            best = max(best, p)
+    if last is not None:
+        yield last, best
+
+
 def fit_secrets(docs: DataFrame) -> SecretModel:
     """Train on at most ``TRAIN_FINDINGS`` findings of either label from about ``TRAIN_DOCUMENTS`` documents."""
     short_batches(docs.sparkSession)
@@ -239,8 +279,9 @@ def fit_secrets(docs: DataFrame) -> SecretModel:
             views, labels = [], []
             for text in b.column(0).to_pylist():
                 base, keyed = base_spans(text), keyed_spans(text)
+                spans = Spans(base)
                 for start, end in candidates(text, keyed):
-                    near = [(a, z) for a, _, z in base if a < end and start < z]
+                    near = spans.touching(start, end)
                     for s, e in places(text, start, end, keyed):
                         shared = max((min(e, z) - max(s, a) for a, z in near), default=0)
                         # The patterns say nothing about a view with less of a finding, nor about other keyed tokens.
@@ -275,18 +316,8 @@ def scan(docs: DataFrame, model: SecretModel) -> DataFrame:
         for b in batches:
             texts = b.column("_text").to_pylist()
             per_text = [base_spans(t) for t in texts]
-            open_ones, views, firsts = [], [], []
-            for k, t in enumerate(texts):
-                keyed = keyed_spans(t)
-                for s, e in candidates(t, keyed):
-                    if not any(a < e and s < z for a, _, z in per_text[k]):
-                        open_ones.append((k, s, e))
-                        firsts.append(len(views))
-                        views += [view(t, x, y, x in keyed).astype(np.int8) for x, y in places(t, s, e, keyed)]
-            if open_ones:
-                chance = np.maximum.reduceat(m.chances(np.stack(views)), firsts)
             all_spans = [list(x) for x in per_text]
-            for (k, s, e), p in zip(open_ones, chance if open_ones else ()):
+            for (k, s, e), p in judged(m, _asked(texts, per_text)):
                 if p >= m.threshold:
                     all_spans[k].append((s, "model", e))
             said = lambda spans: ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(spans, key=lambda x: (x[0], KINDS.index(x[1]))))

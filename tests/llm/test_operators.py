@@ -206,6 +206,77 @@ def test_secrets(docs_of):
     assert (chance[labels == 1] >= model.threshold).mean() > 0.93 and (chance[labels == 0] >= model.threshold).mean() < 0.1
 
 
+def _plain_base(text):
+    """The fixed patterns by hand, character by character."""
+    words = ["password", "passwd", "secret", "token", "api_key", "apikey"]
+    low = "".join(c.lower() if c < "\x80" else c for c in text)
+    alnum = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    run = lambda i, allowed: next((j for j in range(i, len(text)) if text[j] not in allowed), len(text))
+    found, at = [], 0
+    while at < len(text):
+        stop = None
+        for w in words:
+            if low.startswith(w, at):
+                i = at + len(w)
+                i += text[i : i + 1] in ("'", '"')
+                i = run(i, " ")
+                if text[i : i + 1] in (":", "=") and text[i : i + 1]:
+                    i = run(i + 1, " ")
+                    i += text[i : i + 1] in ("'", '"')
+                    end = run(i, alnum | set("+/_.=-"))
+                    if end > i:
+                        stop = (i, end)
+        if stop:
+            if stop[1] - stop[0] >= 6:
+                found.append((at, "assign", stop[1]))
+            at = stop[1]
+        else:
+            at += 1
+    for kind, head, allowed, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(head), allowed) if text.startswith(head, at) else at
+            if end > at + len(head):
+                found += [(at, kind, end)] * (end - at >= least)
+                at = end
+            else:
+                at += 1
+    return sorted(found)
+
+
+def test_base_spans_match_a_plain_scan():
+    rng = np.random.default_rng(3)
+    bits = ["password", "PassWd", "secret", "Token", "api_key", "apikey", "api__key", '"', "'", " ", "  ", ":", "=", "==", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "ff09", "é", "\n", "x", "abc.def", "tok", "ſecret", "K"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits, int(rng.integers(1, 14))))
+        assert sorted(secrets.base_spans(text)) == _plain_base(text), text
+
+
+def test_candidates_judged_in_slices_and_touching_spans(docs_of, monkeypatch):
+    """Slices and bisection change nothing; a token of 200,000 characters, empty tables, null ids and repeated rows are taken."""
+    model = secrets.train(*[np.array(x) if k else np.stack(x) for k, x in enumerate(secrets._made_up(1200, 1))])
+    rng = np.random.default_rng(5)
+    signs = list("abcXYZ019/.=-_ ") + ["token=", " pwd: ", "AKIA", "deadbeef0123456789abcdef"]
+    texts = ["".join(rng.choice(signs, 400)) for _ in range(12)] + ["a1" * 100_000]
+    base = [secrets.base_spans(t) for t in texts]
+    want = {}
+    for k, t in enumerate(texts):
+        keyed = secrets.keyed_spans(t)
+        for s, e in secrets.candidates(t, keyed):
+            near = [(a, z) for a, _, z in base[k] if a < e and s < z]
+            assert sorted(secrets.Spans(base[k]).touching(s, e)) == sorted(near)
+            if not near:
+                want[k, s, e] = model.chances(np.stack([secrets.view(t, x, y, x in keyed) for x, y in secrets.places(t, s, e, keyed)])).max()
+    for size in (7, 4096):
+        monkeypatch.setattr(secrets, "SLICE", size)
+        got = dict(secrets.judged(model, secrets._asked(texts[: 12 if size == 7 else 13], base)))
+        assert all(abs(got[c] - want[c]) < 1e-5 for c in got) and set(got) == {c for c in want if c[0] < (12 if size == 7 else 13)}
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (4, "")]
+    found = secrets.scan(docs_of(rows), model).collect()
+    assert len(found) == 4 and len({r["spans"] for r in found if r["doc_id"] == 1}) == 1
+    assert secrets.scan(docs_of(rows).limit(0), model).count() == 0
+
+
 def test_secrets_behind_long_beginnings_and_short_ones_after_a_word(docs_of):
     key, mixed = "Zk4vQ8xT2mB7nR1wY6cJ9pLd", "qT7xKp2ZrW9v"
     keys = [
