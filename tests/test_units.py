@@ -356,6 +356,34 @@ def test_gene_similarity_of_a_hot_gene_with_exons_of_no_length(spark):
         assert got[g] == pytest.approx(brute_gene_similarity(txs, (2, 1, 1)))
 
 
+@pytest.mark.parametrize("paired", [0, 20, 1000])
+def test_gene_similarity_keeps_pairs_of_exons_inside_tasks(spark, paired):
+    """Genes under the limit shuffle their exons only; genes on both sides of it give the same scores."""
+    rnd = random.Random(11)
+    exon_rows, type_rows, genes = [], [], {}
+    for g, n in ((1, 14), (2, 3), (3, 2), (4, 9), (5, 1)):
+        for k in range(n):
+            built = []
+            for o in range(1, 5):
+                s = rnd.choice([0, 40, 100, 900, 5000])
+                e, clen = s + rnd.choice([0, 60, 90, 3000]), rnd.choice([0, 29, 59])
+                held = [rnd.randint(1, 4) for _ in range(rnd.randint(0, 3))]
+                built.append((s, e, clen, held))
+                exon_rows.append((g, g * 1000 + k, o, s, e, clen, len(held)))
+                type_rows += [(g * 1000 + k, o, d, held.count(d)) for d in set(held)]
+            genes.setdefault(g, []).append(built)
+    exons = spark.createDataFrame(exon_rows, "gene_key long, tx_key long, order_in_transcript int, s long, e long, coding_len long, n_complete long")
+    types = spark.createDataFrame(type_rows, "tx_key long, order_in_transcript int, type_id long, n_type long")
+    scored = sim.gene_similarity(exons.select("gene_key", "tx_key").distinct(), exons, types, (2, 1, 3), paired_exons=paired)
+    got = {r.gene_key: r.similarity for r in scored.collect()}
+    for g, txs in genes.items():
+        want = brute_gene_similarity(txs, (2, 1, 3))
+        assert got[g] == (None if want is None else pytest.approx(want))
+    if paired == 1000:
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert not any("shape" in line.split("hashpartitioning", 1)[1].split("ENSURE")[0] for line in plan.splitlines() if "hashpartitioning" in line)
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     from types import SimpleNamespace
 
