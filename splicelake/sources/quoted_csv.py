@@ -28,15 +28,27 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: ``_file, _from, _n`` (split it starts in, number there), ``value`` and partition columns.
+    """One row per record: ``_file, _from, _n`` (split it starts in, order there), ``value`` and partition columns.
 
     A line starts a record where an even number of quotes lies before it in the file. Within a split that number is
     known but for its parity at the split's start, so both cases are counted, and the parities
     of the splits are summed over one row per split. A record on one line is whole; only
     records over several lines are gathered, each by itself.
     """
-    raw = _numbered_lines(spark, path)
-    parts = [c for c in raw.columns if not c.startswith("_") and c != "value"]
+    every = _numbered_lines(spark, path)
+    parts = [c for c in every.columns if not c.startswith("_") and c != "value"]
+    # Only a line with an odd number of quotes can begin or end inside a field: in files without one each line is a record.
+    broken_files = staged(every.filter("_quotes % 2 = 1").select("_file").distinct())
+    plain = every
+    if broken_files.limit(1).count():
+        plain, raw = every.join(broken_files, "_file", "left_anti"), every.join(broken_files, "_file", "left_semi")
+    single = plain.select("_file", F.col("_block").alias("_from"), F.col("_row").alias("_n"), "value", *parts)
+    records = single if plain is every else single.unionByName(_gathered(raw, parts))
+    return records.withColumn("value", F.regexp_replace("value", r"\r$", "")).filter("value <> ''")
+
+
+def _gathered(raw: DataFrame, parts: list[str]) -> DataFrame:
+    """The records of files in which some go over several lines."""
     so_far = Window.partitionBy("_file", "_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
     counted = raw.withColumn("_through", F.sum("_quotes").over(so_far)).withColumn("_odd", (F.col("_through") - F.col("_quotes")) % 2)
     even = F.count_if(F.col("_odd") == 0).over(so_far)
@@ -70,8 +82,7 @@ def _records(spark: SparkSession, path: str) -> DataFrame:
         .groupBy("_file", "_from", "_n")
         .agg(F.array_join(pieces, "\n").alias("value"), *[F.first(p).alias(p) for p in parts])
     )
-    records = whole.unionByName(broken.select("_file", "_from", "_n", "value", *parts))
-    return records.withColumn("value", F.regexp_replace("value", r"\r$", "")).filter("value <> ''")
+    return whole.unionByName(broken.select("_file", "_from", "_n", "value", *parts))
 
 
 def _names(header: str) -> list[str]:
@@ -103,7 +114,8 @@ def read_quoted_csv(spark: SparkSession, path: str, schema: str | T.StructType |
     parts = [F.col(c).cast(kinds[c]).alias(c) if c in kinds else F.col(c) for c in found]
     schema = T.StructType([f for f in schema.fields if f.name not in found])
     at: Column = F.struct("_from", "_n")
-    body = records.join(header, "_file").filter(at > F.struct("_head._from", "_head._n"))
+    places = header.select("_file", F.struct("_head._from", "_head._n").alias("_head"))
+    body = records.join(F.broadcast(places), "_file").filter(at > F.col("_head"))
     return body.select(F.from_csv("value", _ddl(schema), _OPTIONS).alias("_r"), *parts).select("_r.*", *found)
 
 

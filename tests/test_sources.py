@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from splicelake.operators import crosswalk as xw
 from splicelake.sinks import tables as sinks
-from splicelake.sources import checks, ensembl, flatfile, interpro, refseq, tables
+from splicelake.sources import checks, ensembl, flatfile, interpro, quoted_csv, refseq, tables
 from splicelake.sources.first_lines import first_lines
 from splicelake.sources.gff3 import attr, read_gff3
 
@@ -344,6 +344,26 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv" / "by_species")).filter("species = 'H_sapiens'").count() == 1
 
 
+def test_an_export_computes_its_rows_once(spark, tmp_path):
+    rows = spark.range(40).selectExpr("uuid() AS gene_symbol", "IF(id % 2 = 0, 'H_sapiens', 'M_musculus') AS species")
+    sinks.export_transcript_domains_csv(rows, str(tmp_path))
+    read = lambda part: {r.gene_symbol for r in spark.read.option("header", True).csv(f"{tmp_path}/{part}").collect()}
+    assert read("all_species") == read("by_species") == read("preview")
+
+
+def test_quoted_csv_gathers_only_files_with_records_over_several_lines(spark, tmp_path, monkeypatch):
+    for k in range(3):
+        (tmp_path / f"plain{k}.csv").write_text("id,text\r\n" + "".join(f'{k}{i},"a, ""b"" {i}"\r\n' for i in range(50)))
+    with monkeypatch.context() as m:
+        m.setattr(quoted_csv, "_gathered", None)
+        got = quoted_csv.read_quoted_csv(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((f"{k}{i}", f'a, "b" {i}') for k in range(3) for i in range(50))
+    (tmp_path / "broken.csv").write_text('id,text\n' + "".join(f'9{i},"x\n""y"", {i}\n"\n' for i in range(30)))
+    both = quoted_csv.read_quoted_csv(spark, str(tmp_path)).filter("id LIKE '9%'").collect()
+    assert sorted(map(tuple, both)) == sorted((f"9{i}", f'x\n"y", {i}\n') for i in range(30))
+    assert quoted_csv.read_quoted_csv(spark, str(tmp_path)).count() == 180
+
+
 def test_xml_elements_without_content_hide_no_neighbour(spark, tmp_path):
     lcn = '<lcn start="1" end="9" score="2.5" representative="true"/>'
     full = lambda k: f'<protein id="{k}"><match id="M{k}" name="a/b"><ipr id="I{k}" name="n"/>{lcn}</match></protein>\n'
