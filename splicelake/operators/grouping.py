@@ -11,7 +11,7 @@ states that could arrive lead to the same start. Only a part without such a star
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -162,14 +162,23 @@ def group_opens(layout: Layout) -> DataFrame:
     entries, (key,) = _entries(layout), layout.keys
     fields = ", ".join(f"{n} {t}" for n, t in layout.rows.dtypes) + ", _opens long"
 
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([key, "aa_start", "_neg_end"])
-        new = (pdf[key] != pdf[key].shift()).to_numpy()
-        began = np.flatnonzero(new)
-        s, e, later = pdf["aa_start"].tolist(), pdf["aa_end"].tolist(), pdf["_prev_end"].notna().tolist()
-        opens: list[int] = []
-        for a, z in zip(began, [*began[1:], len(pdf)]):
-            opens += fold(s[a:z], e[a:z], entries[int(pdf[PART].iloc[0])] if later[a] else None)[0]
-        return pdf.assign(_opens=opens)
-
-    return layout.rows.groupBy(PART).applyInPandas(mark, fields)
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None  # the key and part of the row before, and the group that is open there
+        for pdf in batches:
+            parts, keys = pdf[PART].tolist(), pdf[key].tolist()
+            s, e, later = pdf["aa_start"].tolist(), pdf["aa_end"].tolist(), pdf["_prev_end"].notna().tolist()
+            here = list(zip(parts, (None if no else k for no, k in zip(pdf[key].isna().tolist(), keys))))
+            began = [i for i, x in enumerate(here) if x != (here[i - 1] if i else at)]
+            if not began or began[0]:
+                began.insert(0, 0)
+            opens: list[int] = []
+            for a, z in zip(began, [*began[1:], len(here)]):
+                if here[a] != at:
+                    state = entries[parts[a]] if later[a] else None
+                found, state = fold(s[a:z], e[a:z], state)
+                opens += found
+                at = here[a]
+            yield pdf.assign(_opens=opens)
+
+    # Sorted, a part runs through a task batch by batch; no part has to fit into Python's memory.
+    return layout.rows.repartition(PART).sortWithinPartitions(PART, key, "aa_start", "_neg_end").mapInPandas(mark, fields)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from splicelake.operators import domains as dom
 from splicelake.operators import exons as ex
 from splicelake.operators import ordered, search, types
-from splicelake.operators.grouping import certain_start, fold, next_starts
+from splicelake.operators.grouping import certain_start, fold, group_opens, next_starts
 from splicelake.operators.ordered import PART, in_parts, running
 
 
@@ -166,6 +166,20 @@ def test_close_groups_of_a_hot_transcript_over_many_parts(spark, parts, shape):
         assert found[k] == [(i + 1, *x) for i, x in enumerate(brute(spans))]
 
 
+def test_groups_are_marked_batch_by_batch(spark, parts):
+    """A part passes through Python in batches, with the open group handed on; it is never one pandas group."""
+    rnd = random.Random(8)
+    spans = {k: {(s, s + rnd.randint(1, 60)) for s in rnd.sample(range(4000), n)} for k, n in ((1, 700), (2, 3), (3, 90), (4, 1))}
+    df = spark.createDataFrame([(k, *x) for k, v in spans.items() for x in v], "tx_key long, aa_start long, aa_end long")
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="7"):
+        got = dom.close_groups(df).groupBy("tx_key", "group_at").agg(F.min(F.struct("aa_start", F.col("aa_end") * -1)).alias("f")).collect()
+    assert sorted((r.tx_key, r.group_at, r.f[0], -r.f[1]) for r in got) == [(k, i + 1, *x) for k, v in spans.items() for i, x in enumerate(brute(v))]
+    laid = in_parts(df.withColumn("_neg_end", -F.col("aa_end")), ["tx_key"], ["aa_start", "_neg_end"])
+    seen = ordered.scan(laid, {"_prev_end": ("max", "aa_end", "before"), "_prev_start": ("max", "aa_start", "before")})
+    plan = group_opens(laid.rewritten(seen))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
+
+
 def test_a_chain_of_200_000_spans_is_grouped_in_several_tasks(spark, parts):
     df = spark.range(200_000).selectExpr("1L AS tx_key", "id * 3 AS aa_start", "id * 3 + 4 + id * id % 23 AS aa_end")
     assert in_parts(df, ["tx_key"], ["aa_start"]).rows.select(PART).distinct().count() == 8
