@@ -384,6 +384,29 @@ def test_gene_similarity_keeps_pairs_of_exons_inside_tasks(spark, paired):
         assert not any("shape" in line.split("hashpartitioning", 1)[1].split("ENSURE")[0] for line in plan.splitlines() if "hashpartitioning" in line)
 
 
+def test_gene_similarity_of_exons_without_spans_or_lengths(spark):
+    """Missing starts, ends and lengths count alike whether a gene is dealt whole or spread over bins."""
+    rnd = random.Random(12)
+    exon_rows, type_rows = [], []
+    for g in range(8):
+        for k in range(rnd.randint(2, 5)):
+            for o in range(1, 5):
+                s = rnd.choice([None, 0, 40, 100])
+                e = rnd.choice([None, 60, 130])
+                held = [rnd.randint(1, 3) for _ in range(rnd.randint(0, 2))]
+                exon_rows.append((g if g else None, g * 100 + k if k else None, o, s, e, rnd.choice([None, 0, 29]), len(held)))
+                type_rows += [(g * 100 + k, o, d, held.count(d)) for d in set(held)]
+    exons = spark.createDataFrame(exon_rows, "gene_key long, tx_key long, order_in_transcript int, s long, e long, coding_len long, n_complete long")
+    types = spark.createDataFrame(type_rows, "tx_key long, order_in_transcript int, type_id long, n_type long")
+    whole, spread = (
+        {r.gene_key: r.similarity for r in sim.gene_similarity(exons.select("gene_key", "tx_key").distinct(), exons, types, (2, 1, 3), paired_exons=n).collect()}
+        for n in (1000, 0)
+    )
+    assert whole.keys() == spread.keys()
+    for g in whole:
+        assert whole[g] == (None if spread[g] is None else pytest.approx(spread[g]))
+
+
 def test_a_cluster_needs_a_shared_folder(spark):
     from types import SimpleNamespace
 
