@@ -12,7 +12,7 @@ from splicelake.operators import domains as dom
 from splicelake.operators import exons as ex
 from splicelake.operators import ordered, search, types
 from splicelake.operators.grouping import certain_start, fold, group_opens, next_starts
-from splicelake.operators.ordered import PART, in_parts, running
+from splicelake.operators.ordered import PART, in_parts, running, running_by_key
 
 
 @contextmanager
@@ -87,6 +87,38 @@ def test_input_is_read_once(spark, parts, tmp_path, monkeypatch):
     assert out.inputFiles() and not [f for f in out.inputFiles() if path in f]
 
 
+@pytest.mark.parametrize("frame", ["before", "through", "after"])
+def test_running_by_key_equals_running(spark, parts, frame):
+    """Ordinary keys are scanned whole, one hot and one null key in ranges."""
+    rnd = random.Random(5)
+    data = [(k, i, rnd.randint(-9, 9)) for k, n in (("a", 5), ("hot", 300), (None, 90), ("b", 1)) for i in range(n)]
+    df = spark.createDataFrame(data, "k string, i int, v long")
+    sizes = df.groupBy("k").agg(F.count("*").alias("n_rows"))
+    asked = {"s": ("sum", "v", frame), "m": ("max", "v", frame)}
+    want = sorted(map(str, running(df, ["k"], ["i"], asked).collect()))
+    for hot_rows in (1_000, 50, 0):
+        assert sorted(map(str, running_by_key(df, ["k"], ["i"], asked, sizes, hot_rows).collect())) == want
+
+
+def test_coding_coordinates_of_counted_exons_take_the_shuffle_of_their_join_only(spark, parts, monkeypatch):
+    exons = spark.range(400).selectExpr(
+        "id % 90 AS tx_key", "CAST(floor(id / 90) + 1 AS INT) AS order_in_transcript", "id * 100 AS genomic_start_tx", "id * 100 + 50 + id % 7 AS genomic_end_tx"
+    )
+    spans = exons.groupBy("tx_key").agg(F.min("genomic_start_tx").alias("tx_start"), F.max("genomic_end_tx").alias("tx_end"))
+    transcripts = spans.selectExpr("*", "tx_start + 20 AS cds_start", "CASE WHEN tx_key % 4 = 0 THEN NULL ELSE tx_end - 20 END AS cds_end")
+    want = sorted(map(tuple, ex.exons_to_cds(exons, transcripts).collect()))
+    written = []
+    keep = ordered.staged
+    monkeypatch.setattr(ordered, "staged", lambda df: written.append(1) or keep(df))
+    sizes = exons.groupBy("tx_key").agg(F.count("*").alias("n_rows"))
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        got = ex.exons_to_cds(exons, transcripts, sizes=sizes)
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(map(tuple, got.collect())) == want
+        final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not written and "Window" in plan and final.count("Exchange hashpartitioning") == 2
+
+
 def test_ranks_of_hot_keys(spark, parts):
     rows = spark.range(4000).selectExpr(
         "IF(id % 3 = 0, 1L, id) AS gene_key", "id AS tx_key", "CAST(IF(id % 5 = 0, 1, 0) AS INT) AS canonical", "IF(id % 7 = 0, NULL, 3000L) AS protein_nt"
