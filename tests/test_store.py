@@ -104,3 +104,27 @@ def test_build_merged_from_files(spark, tmp_path):
     assert tx.join(store.load("genes"), "gene_key", "left_anti").count() == 0
     assert store.load("domain_event").join(store.load("domain_type"), "type_id", "left_anti").count() == 0
     assert store.load("transcript_exon").join(tx, "tx_key", "left_anti").count() == 0
+
+
+def test_each_table_is_dealt_to_its_species_once(spark, tmp_path, monkeypatch):
+    """However many species there are, the exons and proteins of all are read and joined once."""
+    from collections import Counter
+
+    from splicelake.plans import derived, queries_store
+
+    asked = Counter()
+    keep = derived.Tables.__getattr__
+    t = derived.Tables(spark, "/root/testdata/sf0.001")
+    t.prepare()
+    monkeypatch.setattr(derived.Tables, "__getattr__", lambda self, name: asked.update([name]) or keep(self, name))
+    store = queries_store.build_store(t, str(tmp_path / "store"))
+    assert asked["cds"] == 2 and asked["proteins"] == 2 and asked["transcripts"] == 1
+    assert store.load("transcript_exon").count() == t.cds.count() and store.load("proteins").count() == t.proteins.count()
+
+
+def test_staged_by_a_column_reads_one_value_alone(spark):
+    from splicelake.session import staged
+
+    df = staged(spark.range(40).selectExpr("id", "concat('s', id % 4) AS specie"), by="specie")
+    assert sorted(r.id for r in df.filter("specie = 's1'").collect()) == list(range(1, 40, 4))
+    assert all("specie=" in f for f in df.inputFiles())
