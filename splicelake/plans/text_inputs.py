@@ -6,12 +6,16 @@ application and returns its path.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from splicelake.plans.derived import Tables
+from splicelake.sources.first_lines import open_uri, opened_uri
 
 _DONE: dict[tuple[str, str, str], str] = {}
 
@@ -29,6 +33,31 @@ def _write_lines(parts: list[DataFrame], path: str) -> None:
     reduce(DataFrame.unionByName, parts).write.mode("overwrite").text(path)
 
 
+def _files_of_their_own(rows: DataFrame, by: str, path: str) -> None:
+    """The texts in ``value``, one file for each value of ``by``, in ``part=<task>/<by>=<value>``.
+
+    Tasks write the files where they stay: Spark's writer makes several calls for each file and lists and moves all of them
+    in the end. A task that is run again writes the same names. Where pyarrow can't open the file system, Spark's writer is taken.
+    """
+    root = opened_uri(rows.sparkSession, path)
+    if root is None:
+        rows.repartition(by).write.mode("overwrite").partitionBy(by).text(path)
+        return
+
+    def write(part: Iterator[Row]) -> None:
+        system, base = open_uri(root)
+        folder = f"{base}/part={TaskContext.get().partitionId()}"
+        for value, same in groupby(part, key=lambda r: r[by]):
+            at = f"{folder}/{by}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}"
+            system.create_dir(at)
+            with system.open_output_stream(f"{at}/lines.txt") as file:
+                for r in same:
+                    file.write(f"{r['value'] or ''}\n".encode())
+
+    rows.sparkSession.createDataFrame([], "value string").write.mode("overwrite").text(path)  # an empty folder, without earlier files
+    rows.repartition(by).sortWithinPartitions(by).foreachPartition(write)
+
+
 def _gff(df: DataFrame, seqid: str, kind: str, start: str, end: str, strand: str, attributes: str) -> DataFrame:
     cells = [seqid, "'src'", f"'{kind}'", f"CAST({start} AS STRING)", f"CAST({end} AS STRING)", "'.'", strand, "'.'", attributes]
     return df.selectExpr(f"concat_ws('\t', {', '.join(cells)}) AS value")
@@ -259,7 +288,7 @@ def header_files(t: Tables) -> str:
 
     def write(path: str) -> None:
         pages = t.source("pages").select("page_id", F.col("html").alias("value"))
-        pages.repartition("page_id").write.mode("overwrite").partitionBy("page_id").text(path)
+        _files_of_their_own(pages, "page_id", path)
 
     return _once(t, "header_files", write)
 

@@ -5,9 +5,11 @@ import gzip
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from splicelake.operators import crosswalk as xw
+from splicelake.plans import text_inputs
 from splicelake.sinks import tables as sinks
 from splicelake.sources import checks, ensembl, flatfile, interpro, quoted_csv, refseq, tables
 from splicelake.sources.first_lines import first_lines
@@ -380,3 +382,29 @@ def test_load_table_filters_every_table_of_a_species(spark, tmp_path):
     sinks.write_table(sinks.conform(df, "transcripts"), str(tmp_path), "transcripts", by_species=False)
     got = checks.load_table(spark, str(tmp_path), "transcripts", "M_musculus").collect()
     assert [r.transcript_refseq_id for r in got] == ["NM_2"]
+
+
+def test_first_lines_of_many_files_are_found_by_tasks(spark, tmp_path):
+    (tmp_path / "k=1" / "deep").mkdir(parents=True)
+    (tmp_path / "k=2").mkdir()
+    (tmp_path / "_temporary").mkdir()
+    names = ["k=1/a b.txt", "k=1/ü#%41[1].txt", "k=2/.hidden", "k=2/_log", "k=2/c;d+e.txt", "_temporary/no.txt"]
+    for n in names:
+        (tmp_path / n).write_text(f"{n}\nx\n")
+    got = first_lines(spark, str(tmp_path))
+    assert got.inputFiles() == []  # no name passes the driver
+    scanned = spark.read.format("binaryFile").load(str(tmp_path)).select("_metadata.file_path").collect()
+    assert sorted(r.file for r in got.collect()) == sorted(r.file_path for r in scanned)
+    assert sorted(r.first_line for r in got.collect()) == sorted([names[0], names[1], names[4]])
+    assert [r.first_line for r in first_lines(spark, str(tmp_path / "k=2" / "c*")).collect()] == [names[4]]
+    with pytest.raises(AnalysisException):
+        first_lines(spark, str(tmp_path / "none"))
+
+
+def test_rows_of_one_value_become_one_file(spark, tmp_path):
+    df = spark.sql("SELECT * FROM VALUES (1L, 'a'), (2L, 'b\\nc'), (2L, 'd'), (-3L, NULL), (NULL, 'e') AS t(k, value)")
+    for _ in range(2):  # earlier files go
+        text_inputs._files_of_their_own(df, "k", str(tmp_path / "out"))
+    found = {p.parent.name: sorted(p.read_text().splitlines()) for p in (tmp_path / "out").glob("part=*/*/*.txt")}
+    assert found == {"k=1": ["a"], "k=2": ["b", "c", "d"], "k=-3": [""], "k=__HIVE_DEFAULT_PARTITION__": ["e"]}
+    assert len(list((tmp_path / "out").glob("part=*/*/*.txt"))) == 4
