@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from splicelake.functions import text
 from splicelake.operators import domains as dom
 from splicelake.operators import types as ty
-from splicelake.operators.ordered import running
 from splicelake.plans.derived import Tables
 from splicelake.plans.registry import query
 from splicelake.session import shared_dir, staged
@@ -287,13 +286,7 @@ def max_overlap_depth(t: Tables) -> DataFrame:
 )
 def rank_domains(t: Tables) -> DataFrame:
     """Longest domain first, ties by position and type."""
-    keyed = t.domains.select(*KEYS, (F.col("aa_start") - F.col("aa_end")).alias("_neg"), F.lit(1).cast("bigint").alias("_one"))
-    return running(
-        keyed,
-        ["tx_key"],
-        ["_neg", "aa_start", "type_id", "ext_id"],
-        {"draw_rank": ("sum", "_one", "through")},
-    ).drop("_neg", "_one")
+    return dom.rank_domains(t.domains.select(*KEYS))
 
 
 # --- types --------------------------------------------------------------------

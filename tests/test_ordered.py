@@ -220,3 +220,17 @@ def test_a_chain_of_200_000_spans_is_grouped_in_several_tasks(spark, parts):
     assert time.time() - began < 60
     spans = [(i * 3, i * 3 + 4 + i * i % 23) for i in range(200_000)]
     assert tuple(out) == (len(brute(spans)), 200_000)
+
+
+def test_small_transcripts_are_ranked_without_a_layout(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, 1, 2, 2, 2]), rng.randint(1, 9), a := rng.randint(1, 30), a + rng.randint(0, 20), f"x{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "tx_key long, type_id long, aa_start long, aa_end long, ext_id string")
+    want = []
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[2] - r[3], r[2], r[1], r[4]))
+        want += [(*r, n) for n, r in enumerate(mine, 1)]
+    for hot in (100, 1000):  # transcript 2 is hot, then none
+        assert sorted(map(tuple, dom.rank_domains(df, hot).collect()), key=repr) == sorted(want, key=repr)
+    monkeypatch.setattr(ordered, "in_parts", None)
+    assert dom.rank_domains(df).count() == 300
