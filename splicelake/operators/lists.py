@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splicelake.operators.ordered import running
+from splicelake.operators.ordered import running_by_key
 
 
 def group_text(
@@ -44,15 +44,17 @@ def item_rows(
 ) -> DataFrame:
     """The items of each group as rows ``keys, position, item``, in the order of ``group_text``.
 
-    Positions count from 1; null items are left out, as joined text leaves them out. A group is cut
-    into as many ranges of its order as it needs, so none has to fit into one task.
+    Positions count from 1; null items are left out, as joined text leaves them out. A group of more than
+    ``HOT_ROWS`` items is cut into as many ranges of its order as it needs, so none has to fit into one task; the
+    others meet by one shuffle, which serves a grouping by ``keys`` after it as well.
     """
     ranks = [c.alias(f"_s{i}") for i, c in enumerate(sort_by)]
     rows = df.select(*keys, *ranks, item.alias("item")).filter(F.col("item").isNotNull())
     if unique:
         rows = rows.distinct()
     order = [*[f"_s{i}" for i in range(len(ranks))], "item"]
-    counted = running(rows.withColumn("_one", F.lit(1).cast("bigint")), keys, order, {"position": ("sum", "_one", "through")})
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    counted = running_by_key(rows.withColumn("_one", F.lit(1).cast("bigint")), keys, order, {"position": ("sum", "_one", "through")}, sizes)
     return counted.select(*keys, "position", "item")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from splicelake.operators import domains as dom
 from splicelake.operators import exons as ex
-from splicelake.operators import ordered, search, types
+from splicelake.operators import lists, ordered, search, types
 from splicelake.operators.grouping import certain_start, fold, group_opens, next_starts
 from splicelake.operators.ordered import PART, in_parts, running, running_by_key
 
@@ -234,3 +234,11 @@ def test_small_transcripts_are_ranked_without_a_layout(spark, monkeypatch):
         assert sorted(map(tuple, dom.rank_domains(df, hot).collect()), key=repr) == sorted(want, key=repr)
     monkeypatch.setattr(ordered, "in_parts", None)
     assert dom.rank_domains(df).count() == 300
+
+
+def test_items_of_small_groups_are_numbered_without_a_layout(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "in_parts", None)
+    df = spark.sql("SELECT * FROM VALUES ('a', NULL, 'y'), ('a', NULL, 'x'), (NULL, 'b', 'z'), ('a', NULL, 'x'), ('a', 'b', NULL) AS t(k, l, v)")
+    got = lists.item_rows(df, ["k", "l"], F.col("v"))
+    assert sorted(map(tuple, got.collect()), key=repr) == [("a", None, 1, "x"), ("a", None, 2, "x"), ("a", None, 3, "y"), (None, "b", 1, "z")]
+    assert lists.item_rows(df, ["k"], F.col("v"), unique=True).count() == 3
