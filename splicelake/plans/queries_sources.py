@@ -132,7 +132,8 @@ def ensembl_proteins(t: Tables) -> DataFrame:
     f = read_gff3(t.spark, files.ensembl_gff(t))
     tx = ensembl.ensembl_transcripts(f, ensembl.ensembl_genes(f))
     domains, pairs = tables.read_domain_tables(t.spark, files.domain_tables(t), "H_sapiens")
-    coding = t.cds.join(t.transcripts.select("tx_key", "transcript_ensembl_id"), "tx_key")
+    ends = t.cds.groupBy("tx_key").agg(F.max("abs_end_cds").alias("abs_end_cds"))
+    coding = ends.join(t.transcripts.select("tx_key", "transcript_ensembl_id"), "tx_key")
     proteins, _, _ = ensembl.ensembl_proteins(pairs, tx, coding, domains)
     return proteins
 

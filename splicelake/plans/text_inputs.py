@@ -30,7 +30,8 @@ def _once(t: Tables, name: str, write) -> str:
 
 
 def _write_lines(parts: list[DataFrame], path: str) -> None:
-    reduce(DataFrame.unionByName, parts).write.mode("overwrite").text(path)
+    """Lines of all parts, compressed as annotation is published; each task's file is one split of the reader."""
+    reduce(DataFrame.unionByName, parts).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def _files_of_their_own(rows: DataFrame, by: str, path: str) -> None:
