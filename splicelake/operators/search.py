@@ -87,7 +87,7 @@ def _exact_hits(terms: DataFrame, genes: DataFrame, transcripts: DataFrame) -> D
     sized = stored.withColumn("n", F.explode(sizes)).filter(F.col("n") <= F.length(ids.strip_version(F.col("full"))))
     prefixes = sized.select(F.substring("full", F.lit(1), F.col("n")).alias("key"), "_t_geneid", "_t_ensembl")
     tier3 = bare.join(prefixes, "key").select("term", F.lit(3).alias("tier"), "_t_geneid", "_t_ensembl")
-    by_transcript = _genes_of(tier2.unionByName(tier3).distinct(), genes)
+    by_transcript = _genes_of(staged(tier2.unionByName(tier3).distinct()), genes)  # read twice, found once
     return tier1.unionByName(by_transcript)
 
 
