@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from splicelake.llm.common import short_batches, stage, summed_vectors, text_of
+from splicelake.llm.common import discard, short_batches, stage, summed_vectors, text_of
 from splicelake.llm.components import components
 
 #: Counters of the n-gram frequency table: a fixed number, 32 MB to the driver and 4 MB broadcast.
@@ -332,6 +332,7 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame
 
     links = roots = None
     for turn in range(-1, STAR_ROUNDS + 1):
+        done: list[str] = []  # tables that only this turn reads
         if turn < 0:
             pairs = star(members, None)
         else:
@@ -341,14 +342,17 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame
                 known = roots.select("node", F.col("root").alias("comp"))
                 open_rows = crowd.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             mixed = open_rows.groupBy("token", "band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-            open_rows, _ = stage(open_rows.join(mixed.select("token", "band"), ["token", "band"]))
+            open_rows, open_at = stage(open_rows.join(mixed.select("token", "band"), ["token", "band"]))
+            done.append(open_at)
             if turn < STAR_ROUNDS:
                 pairs = star(open_rows, turn)
             else:
-                signed, _ = stage(open_rows.join(nodes.select("node", "sign"), "node"))
+                signed, signed_at = stage(open_rows.join(nodes.select("node", "sign"), "node"))
+                done.append(signed_at)
                 both = side(signed, "a", "comp", "sign").join(side(signed, "b", "comp", "sign"), ["token", "band"])
                 pairs = _oriented(both.filter("a < b AND a_comp <> b_comp").filter(_may_link(percent) & _signs_agree(percent)))
         likely = _alike(pairs, nodes, percent)
+        discard(spark, *done)
         if not likely.limit(1).count():
             continue
         sets = sets_of(likely)
