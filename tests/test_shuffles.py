@@ -75,3 +75,22 @@ def test_written_tables_are_compressed_well(spark):
     _, path = stage(spark.range(10))
     assert list(Path(path).glob("*.zstd.parquet"))
     assert all(".zstd." in f for f in staged(spark.range(10)).inputFiles())
+
+
+def test_documents_are_dealt_by_transcript_only(spark):
+    """Gene and transcript meet before a transcript has its lists; genes and transcripts without a match stay as they were."""
+    ids = "transcript_refseq_id string, transcript_ensembl_id string, protein_refseq_id string, protein_ensembl_id string"
+    genes = spark.createDataFrame([(1, "A"), (2, "B"), (None, "C"), (1, "D")], "gene_key long, gene_symbol string")
+    genes = genes.withColumns({c: F.lit(None).cast("string") for c in ("gene_geneid_id", "gene_ensembl_id", "synonyms", "chromosome", "strand", "specie")})
+    tx = spark.createDataFrame([(1, 10, "a"), (1, None, "b"), (None, 12, "c"), (3, 13, "d")], "gene_key long, tx_key long, transcript_refseq_id string")
+    tx = tx.selectExpr("*", *[f"CAST(NULL AS STRING) AS {c.split()[0]}" for c in ids.split(", ")[1:]], "1L AS tx_start", "9L AS tx_end", "0 AS canonical")
+    cds = spark.createDataFrame([(10, k, 5, 9, 1, 5) for k in (2, 1)], "tx_key long, order_in_transcript int, genomic_start_tx long, genomic_end_tx long, abs_start_cds long, abs_end_cds long")
+    proteins = spark.createDataFrame([(10, "NP", None, None, 7)], "tx_key long, protein_refseq_id string, protein_ensembl_id string, description string, length long")
+    domains = spark.createDataFrame([(10, 1, 4, 5, "x", "n")], "tx_key long, aa_start long, aa_end long, type_id long, ext_id string, name string")
+    docs = se.gene_document(genes, tx, cds, proteins, domains)
+    joins = [line for line in docs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert "tx_key" in joins[0]  # the outermost join, with the lists, is not by gene
+    got = sorted(((r.gene_symbol, r.tx_key, r.transcript_refseq_id, r.exons and [e.order_in_transcript for e in r.exons], r.domains and len(r.domains), r.protein and r.protein.length, r.exons is None)
+                  for r in docs.collect()), key=str)
+    assert got == [("A", 10, "a", [1, 2], 1, 7, False), ("A", None, "b", [], [], None, False), ("B", None, None, None, None, None, True),
+                   ("C", None, None, None, None, None, True), ("D", 10, "a", [1, 2], 1, 7, False), ("D", None, "b", [], [], None, False)]
