@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splicelake.operators.ordered import running_by_key
+from splicelake.operators.ordered import hot_sizes, running_by_key
+from splicelake.session import staged
 
 
 def group_text(
@@ -46,15 +47,18 @@ def item_rows(
 
     Positions count from 1; null items are left out, as joined text leaves them out. A group of more than
     ``HOT_ROWS`` items is cut into as many ranges of its order as it needs, so none has to fit into one task; the
-    others meet by one shuffle, which serves a grouping by ``keys`` after it as well.
+    others meet by one shuffle, which serves a grouping by ``keys`` after it as well. Items are made and written once, as counting
+    them and numbering them both need them.
     """
     ranks = [c.alias(f"_s{i}") for i, c in enumerate(sort_by)]
     rows = df.select(*keys, *ranks, item.alias("item")).filter(F.col("item").isNotNull())
     if unique:
         rows = rows.distinct()
+    rows = staged(rows)
     order = [*[f"_s{i}" for i in range(len(ranks))], "item"]
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"))
-    counted = running_by_key(rows.withColumn("_one", F.lit(1).cast("bigint")), keys, order, {"position": ("sum", "_one", "through")}, sizes)
+    counted = running_by_key(
+        rows.withColumn("_one", F.lit(1).cast("bigint")), keys, order, {"position": ("sum", "_one", "through")}, hot_sizes(rows, keys)
+    )
     return counted.select(*keys, "position", "item")
 
 

@@ -13,7 +13,7 @@ from splicelake.operators import domains as dom
 from splicelake.operators import types as ty
 from splicelake.plans.derived import Tables
 from splicelake.plans.registry import query
-from splicelake.session import shared_dir, staged
+from splicelake.session import discard, scratch, shared_dir, staged
 from splicelake.sinks.tables import export_transcript_domains_csv, transcript_domains, write_texts
 from splicelake.sources import interpro
 from splicelake.sources.checks import read_result_csv
@@ -142,13 +142,15 @@ PROTEIN = ["protein_refseq_id", "protein_ensembl_id"]
 
 
 def _named_events(t: Tables) -> tuple[DataFrame, DataFrame]:
-    spans = dom.with_nuc_span(t.domains).drop("name", "cdd")
-    events = dom.collapse_events(spans).join(t.proteins.select("tx_key", *PROTEIN), "tx_key")
+    """Events with their protein, written, and the names of the types. What follows from a span is added when equal events have met."""
+    collapsed = dom.with_nuc_span(dom.collapse_events(t.domains.drop("name", "cdd")))
+    events = staged(collapsed.join(t.proteins.select("tx_key", *PROTEIN), "tx_key"))
     return events, t.domains.select("type_id", "name").distinct()
 
 
 def _domains_text(t: Tables) -> DataFrame:
-    return dom.domains_text(*_named_events(t), PROTEIN)
+    with scratch(t.spark):
+        return staged(dom.domains_text(*_named_events(t), PROTEIN), kept=True)
 
 
 DOMAIN_ITEMS_SQL = """SELECT *, row_number() OVER (PARTITION BY protein_refseq_id, protein_ensembl_id ORDER BY aa_start, aa_end, type_id, item) AS position
@@ -160,7 +162,10 @@ DOMAIN_ITEMS_SQL = """SELECT *, row_number() OVER (PARTITION BY protein_refseq_i
 
 @query("domains_text_items", f"SELECT protein_refseq_id, protein_ensembl_id, position, item FROM ({DOMAIN_ITEMS_SQL})")
 def domains_text_items(t: Tables) -> DataFrame:
-    return dom.domain_items(*_named_events(t), PROTEIN)
+    events, types = _named_events(t)
+    items = dom.domain_items(events, types, PROTEIN)
+    discard(events)  # the items are written
+    return items
 
 
 @query(

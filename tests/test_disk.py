@@ -7,10 +7,13 @@ from types import SimpleNamespace
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from splicelake import session as ses
-from splicelake.plans import queries_store
+from splicelake.operators.lists import item_rows
+from splicelake.operators.ordered import hot_sizes, running_by_key
+from splicelake.plans import queries_domains, queries_store
 from splicelake.sinks.store import Store
 
 
@@ -19,6 +22,10 @@ def shuffle_files(spark):
     return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
 
 
+def staged_folders(spark):
+    return set(Path(ses.shared_dir(spark).removeprefix("file://"), spark.sparkContext.applicationId, "staged").glob("*"))
+
+
 def path_of(df):
     return Path(df.inputFiles()[0].removeprefix("file://")).parent
 
@@ -79,7 +86,7 @@ def test_types_are_numbered_without_reading_events(spark, tmp_path, monkeypatch)
     seen = []
     whole = queries_store.ty.number_types
     monkeypatch.setattr(queries_store.ty, "number_types", lambda nodes, ids: seen.append(nodes.inputFiles()) or whole(nodes, ids))
-    staged_before = set(Path(ses.shared_dir(spark).removeprefix("file://"), spark.sparkContext.applicationId, "staged").glob("*"))
+    before = staged_folders(spark)
     columns = []
     add = Store.add
     monkeypatch.setattr(Store, "add", lambda self, *a: columns.extend(c for f in seen[-1] for c in pq.read_schema(f.removeprefix("file://")).names) or add(self, *a))
@@ -89,5 +96,32 @@ def test_types_are_numbered_without_reading_events(spark, tmp_path, monkeypatch)
     assert types == {(1, "long name", None), (2, None, "CDD1"), (3, None, "CDD1")}
     per = {(r["specie"], r["type_id"]): r["count"] for r in store.load("domain_event").groupBy("specie", "type_id").count().collect()}
     assert per == {("H_sapiens", 1): 80, ("H_sapiens", 2): 80, ("M_musculus", 1): 80, ("M_musculus", 3): 80}
-    after = set(Path(ses.shared_dir(spark).removeprefix("file://"), spark.sparkContext.applicationId, "staged").glob("*"))
-    assert after == staged_before  # the store holds all that is needed
+    assert staged_folders(spark) == before  # the store holds all that is needed
+
+
+def test_items_are_made_once_and_numbered(spark):
+    rows = [("a", None, 3, "x"), ("a", None, 1, "y"), ("a", None, 1, "b"), (None, "q", 2, "z"), (None, "q", 2, None), ("a", "q", 5, "w")]
+    df = spark.createDataFrame(rows, "k string, m string, at int, what string")
+    items = item_rows(df, ["k", "m"], F.concat("what", F.lit("!")), sort_by=[F.col("at")])
+    assert items.inputFiles() and all("/staged/" in f for f in items.inputFiles())  # counting and numbering read what was written
+    assert sorted(map(tuple, items.collect()), key=str) == [("a", "q", 1, "w!"), ("a", None, 1, "b!"), ("a", None, 2, "y!"), ("a", None, 3, "x!"), (None, "q", 1, "z!")]
+
+
+def test_hot_keys_are_told_by_hash_and_still_cut(spark):
+    df = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("k"), F.lit(None).cast("string").alias("m"), "id", F.lit(1).cast("bigint").alias("one"))
+    df = ses.staged(df.filter("k IS NULL OR k = 'k1' OR id < 60"))
+    sizes = hot_sizes(df, ["k", "m"], hot_rows=100)
+    assert {(r["k"], r["m"], r["n_rows"]) for r in sizes.collect()} == {(None, None, 300), ("k1", None, 300)}
+    got = running_by_key(df, ["k", "m"], ["id"], {"n": ("sum", "one", "through")}, sizes, hot_rows=100)
+    want = df.withColumn("w", F.count("*").over(Window.partitionBy("k", "m").orderBy("id")))
+    assert got.join(want, "id").filter("n <> w").count() == 0 and got.count() == 620
+    assert hot_sizes(df, ["k", "m"], hot_rows=1000).count() == 0
+
+
+def test_events_go_when_their_items_are_written(spark):
+    t, before = small_tables(spark, copies=3), staged_folders(spark)
+    items = queries_domains.domains_text_items(t)
+    assert len(staged_folders(spark) - before) == 1
+    assert items.count() == 24 and {"item"} <= set(pq.read_schema(items.inputFiles()[0].removeprefix("file://")).names)
+    first = items.filter("protein_refseq_id = 'NP_1'").orderBy("position").collect()
+    assert [r["item"] for r in first][:2] == ["long name;pfam10;1-9;1-27", ";smart21;1-9;1-27"] and [r["position"] for r in first] == [1, 2, 3, 4, 5, 6]
