@@ -227,16 +227,20 @@ def _domain_item() -> Column:
     )
 
 
+def _named_items(events: DataFrame, types: DataFrame, protein: list[str]) -> DataFrame:
+    """Each event's item under its protein, with what it is ordered by."""
+    return events.join(types.select("type_id", "name"), "type_id").select(*protein, *TEXT_ORDER, _domain_item().alias("_text"))
+
+
 def domains_text(events: DataFrame, types: DataFrame, protein: list[str]) -> DataFrame:
-    """Per protein ``name;accessions;AAs-AAe;ns-ne`` joined by ``||``, ordered by position."""
-    named = events.join(types.select("type_id", "name"), "type_id")
-    return group_text(named, protein, _domain_item(), "||", "domains_info", sort_by=[F.col(c) for c in TEXT_ORDER])
+    """Per protein ``name;accessions;AAs-AAe;ns-ne`` joined by ``||``, ordered by position. Items are written before they meet."""
+    named = staged(_named_items(events, types, protein))
+    return group_text(named, protein, F.col("_text"), "||", "domains_info", sort_by=[F.col(c) for c in TEXT_ORDER])
 
 
 def domain_items(events: DataFrame, types: DataFrame, protein: list[str]) -> DataFrame:
     """The items of ``domains_text`` as rows with their positions; a protein may have any number."""
-    named = events.join(types.select("type_id", "name"), "type_id")
-    return item_rows(named, protein, _domain_item(), sort_by=[F.col(c) for c in TEXT_ORDER])
+    return item_rows(_named_items(events, types, protein), protein, F.col("_text"), sort_by=[F.col(c) for c in TEXT_ORDER])
 
 
 # --- domains against domains -------------------------------------------------

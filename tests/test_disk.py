@@ -125,3 +125,14 @@ def test_events_go_when_their_items_are_written(spark):
     assert items.count() == 24 and {"item"} <= set(pq.read_schema(items.inputFiles()[0].removeprefix("file://")).names)
     first = items.filter("protein_refseq_id = 'NP_1'").orderBy("position").collect()
     assert [r["item"] for r in first][:2] == ["long name;pfam10;1-9;1-27", ";smart21;1-9;1-27"] and [r["position"] for r in first] == [1, 2, 3, 4, 5, 6]
+
+
+def test_texts_are_written_before_proteins_meet_them(spark):
+    """The outer join reads one written table of texts; events and items behind it are gone."""
+    t, before = small_tables(spark, copies=2), staged_folders(spark)
+    joined = queries_domains.outer_join_domains(t)
+    made = staged_folders(spark) - before
+    assert len(made) == 1 and {"domains_info"} <= set(pq.read_schema(next(made.pop().glob("*.parquet"))).names)
+    got = {r["protein_refseq_id"]: r["domains_info"] for r in joined.collect()}
+    assert set(got) == {"NP_0", "NP_1", "NP_2", "NP_3"}
+    assert got["NP_1"] == "long name;pfam10;1-9;1-27||;smart21;1-9;1-27||long name;pfam10;2-10;4-30||;smart21;2-10;4-30"
