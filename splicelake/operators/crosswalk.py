@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splicelake.functions.ids import dash_to_null, strip_version
-from splicelake.session import staged
+from splicelake.session import scratch, staged
 
 ID_COLUMNS = ("gene_id", "ens_gene", "refseq_tx", "ens_tx", "refseq_prot", "ens_prot")
 
@@ -79,6 +79,11 @@ def crosswalk_facts(rows: DataFrame) -> DataFrame:
     it is null: own pairing, reverse pairing, the other source's transcript, the
     other source's protein.
     """
+    with scratch(rows.sparkSession):
+        return staged(_facts(rows), kept=True)
+
+
+def _facts(rows: DataFrame) -> DataFrame:
     def last(id_column: str, **values: str) -> DataFrame:
         """Last crosswalk row of every id in one column."""
         fields = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
@@ -130,10 +135,8 @@ def crosswalk_facts(rows: DataFrame) -> DataFrame:
     loose = full.join(genes.withColumnRenamed("id", "_full"), "_full").select(
         F.col("bare").alias("id"), F.col("gene").alias("loose_gene")
     )
-    return staged(
-        exact.withColumn("is_tx", F.col("tx_other").isNotNull() | F.col("gene").isNotNull()).unionByName(
-            loose, allowMissingColumns=True
-        )
+    return exact.withColumn("is_tx", F.col("tx_other").isNotNull() | F.col("gene").isNotNull()).unionByName(
+        loose, allowMissingColumns=True
     )
 
 

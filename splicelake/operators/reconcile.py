@@ -11,6 +11,9 @@ Inputs, one row per transcript and keyed by a total order ``ord``:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from splicelake.functions import text
 from splicelake.operators import crosswalk as xw
 from splicelake.operators.joins import dedupe_transcripts
 from splicelake.operators.ordered import first_per_key
-from splicelake.session import staged
+from splicelake.session import scratch, staged
 
 COLUMNS = [
     "seq",
@@ -113,8 +116,20 @@ def reconcile_transcripts(
     ``exon_source`` names the source whose exons the row takes; ``ref_tx``,
     ``ens_tx`` and ``ens_prot`` are the source records behind it.
     """
-    facts = xw.crosswalk_facts(rows)
+    with scratch(rows.sparkSession):  # facts and pairs go when the parts are written
+        parts = [staged(part.select(*COLUMNS), kept=True) for part in _reconciled(refseq, ensembl, rows, trans2pro)]
+    everything = reduce(DataFrame.unionByName, parts)
+    unique = dedupe_transcripts(everything, "seq")
+    return repoint_genes(unique, first_pairing_wins(everything, "gene_ensembl_id", "gene_geneid_id", "seq"))
+
+
+def _reconciled(refseq: DataFrame, ensembl: DataFrame, rows: DataFrame, trans2pro: DataFrame | None) -> Iterator[DataFrame]:
+    """The rows of both sources before ids are made unique: RefSeq's, Ensembl partners kept apart, Ensembl's leftovers.
+
+    One after the other, so that the shuffles of each can go before the next is made.
+    """
     pairs = staged(pair_transcripts(refseq, ensembl, rows, trans2pro))
+    facts = xw.crosswalk_facts(rows)
     e = ensembl.select(
         F.col("ord").alias("_e_ord"),
         F.col("transcript_ensembl_id").alias("_e_tx"),
@@ -139,10 +154,9 @@ def reconcile_transcripts(
         F.when(merged, F.col("_e_tx")).alias("ens_tx"),
         F.when(merged, F.col("ens_prot")).alias("ens_prot"),
     )
+    from_refseq = staged(from_refseq)  # every way of filling ids reads it
     filled = from_refseq.filter("action IN ('merge', 'fill')")
-    ref_part = from_refseq.filter("action NOT IN ('merge', 'fill')").unionByName(
-        xw.fill_missing_ids(filled, facts)
-    )
+    yield from_refseq.filter("action NOT IN ('merge', 'fill')").unionByName(xw.fill_missing_ids(filled, facts))
 
     apart = partnered.filter((F.col("action") == "separate") & F.col("_e_tx").isNotNull()).select(
         _seq(0, F.col("ord"), 1).alias("seq"),
@@ -160,7 +174,7 @@ def reconcile_transcripts(
         F.col("_e_prot").alias("ens_prot"),
     )
     apart = first_per_key(apart, ["transcript_ensembl_id"], ["seq"])
-    apart = xw.look_up(apart, "gene_ensembl_id", xw.gene_map(rows), "_g").withColumn("gene_geneid_id", F.col("_g")).drop("_g")
+    yield xw.look_up(apart, "gene_ensembl_id", xw.gene_map(rows), "_g").withColumn("gene_geneid_id", F.col("_g")).drop("_g")
 
     written = (
         pairs.select(F.explode(F.array(F.when(F.col("action").isin("merge", "separate"), F.col("ens_tx")), F.col("rejected_tx"))).alias("_e_tx"))
@@ -182,18 +196,12 @@ def reconcile_transcripts(
         F.col("_e_tx").alias("ens_tx"),
         F.col("_e_prot").alias("ens_prot"),
     )
-    left = xw.fill_missing_ids(left, facts)
+    left = xw.fill_missing_ids(staged(left), facts)
     ref_canonical = refseq.groupBy(F.col("transcript_refseq_id").alias("id")).agg(F.max("canonical").alias("other"))
-    left = xw.look_up(left, "transcript_refseq_id", ref_canonical, "_rc").withColumn(
+    yield xw.look_up(left, "transcript_refseq_id", ref_canonical, "_rc").withColumn(
         "canonical", F.col("canonical").bitwiseOR(F.coalesce("_rc", F.lit(0)))
     ).drop("_rc")
 
-    everything = staged(
-        ref_part.select(*COLUMNS).unionByName(apart.select(*COLUMNS)).unionByName(left.select(*COLUMNS))
-    )
-    unique = dedupe_transcripts(everything, "seq")
-    return repoint_genes(unique, first_pairing_wins(everything, "gene_ensembl_id", "gene_geneid_id", "seq"))
-
 
 def reconcile_metrics(refseq: DataFrame, ensembl: DataFrame, rows: DataFrame) -> DataFrame:
     """Counts that tell how well the two sources agree."""

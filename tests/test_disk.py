@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from splicelake import session as ses
+from splicelake.operators import reconcile as rc
 from splicelake.operators.lists import item_rows
 from splicelake.operators.ordered import hot_sizes, running_by_key
 from splicelake.plans import queries_domains, queries_store
@@ -136,3 +137,29 @@ def test_texts_are_written_before_proteins_meet_them(spark):
     got = {r["protein_refseq_id"]: r["domains_info"] for r in joined.collect()}
     assert set(got) == {"NP_0", "NP_1", "NP_2", "NP_3"}
     assert got["NP_1"] == "long name;pfam10;1-9;1-27||;smart21;1-9;1-27||long name;pfam10;2-10;4-30||;smart21;2-10;4-30"
+
+
+def test_reconciling_leaves_only_its_parts(spark):
+    """Facts, pairs and unfilled rows are deleted when the three parts are written, and each part is written by itself."""
+    refseq = spark.createDataFrame(
+        [(1, "NM_1.1", None, "G1", "NP_1.1", 100, 1), (2, "NM_2.1", None, "G2", "NP_2.1", 50, 0), (3, "NM_3.1", None, "G3", None, None, 0)],
+        "ord long, transcript_refseq_id string, own_ensembl_id string, gene_geneid_id string, protein_refseq_id string, length long, canonical int",
+    )
+    ensembl = spark.createDataFrame(
+        [(1, "ENST1.1", "ENSG1", "ENSP1.1", 101, 2), (2, "ENST2.1", "ENSG2", "ENSP2.1", 90, 0), (9, "ENST9.1", "ENSG9", None, None, 2)],
+        "ord long, transcript_ensembl_id string, gene_ensembl_id string, protein_ensembl_id string, length long, canonical int",
+    )
+    rows = spark.createDataFrame(
+        [("G1", "ENSG1", "NM_1.1", "ENST1.1", "NP_1.1", "ENSP1.1", 1), ("G2", "ENSG2", "NM_2.1", "ENST2.1", "NP_2.1", "ENSP2.1", 2), ("G9", "ENSG9", None, "ENST9.1", None, None, 3)],
+        "gene_id string, ens_gene string, refseq_tx string, ens_tx string, refseq_prot string, ens_prot string, ord long",
+    )
+    before = staged_folders(spark)
+    got = rc.reconcile_transcripts(refseq, ensembl, rows)
+    assert len(staged_folders(spark) - before) == 3
+    assert sorted((r.action, r.transcript_refseq_id, r.transcript_ensembl_id, r.gene_geneid_id, r.gene_ensembl_id, r.protein_refseq_id, r.protein_ensembl_id, r.canonical) for r in got.collect()) == [
+        ("fill", "NM_3.1", None, "G3", None, None, None, 0),
+        ("kept_apart", None, "ENST2.1", "G2", "ENSG2", None, "ENSP2.1", 0),
+        ("leftover", None, "ENST9.1", "G9", "ENSG9", None, None, 2),
+        ("merge", "NM_1.1", "ENST1.1", "G1", "ENSG1", "NP_1.1", "ENSP1.1", 3),
+        ("separate", "NM_2.1", None, "G2", "ENSG2", "NP_2.1", None, 0),
+    ]
