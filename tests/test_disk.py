@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from splicelake import session as ses
 from splicelake.operators import reconcile as rc
+from splicelake.operators import types as ty
 from splicelake.operators.lists import item_rows
 from splicelake.operators.ordered import hot_sizes, running_by_key
 from splicelake.plans import queries_domains, queries_store
@@ -163,3 +164,13 @@ def test_reconciling_leaves_only_its_parts(spark):
         ("merge", "NM_1.1", "ENST1.1", "G1", "ENSG1", "NP_1.1", "ENSP1.1", 3),
         ("separate", "NM_2.1", None, "G2", "ENSG2", "NP_2.1", None, 0),
     ]
+
+
+def test_types_met_before_are_looked_up_once(spark, monkeypatch):
+    """What earlier numbers say of each component is written once and read for both kept and new ids."""
+    written = []
+    monkeypatch.setattr(ty, "staged", lambda df: written.append(df.columns) or ses.staged(df))
+    nodes = spark.createDataFrame([("a", "c1"), ("b", "c1"), ("d", "c2"), ("e", "c0"), (None, "c3")], "node string, component string")
+    known = spark.createDataFrame([("b", 4), ("a", 6), ("z", 9)], "ext_id string, type_id long")
+    got = sorted(map(tuple, ty.number_types(nodes, known).collect()), key=str)
+    assert got == [("a", 4), ("b", 4), ("d", 11), ("e", 10), (None, 12)] and ["component", "_old"] in written
