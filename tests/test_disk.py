@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from splicelake import session as ses
 from splicelake.operators import reconcile as rc
+from splicelake.operators import search as se
 from splicelake.operators import types as ty
 from splicelake.operators.lists import item_rows
 from splicelake.operators.ordered import hot_sizes, running_by_key
@@ -174,3 +175,24 @@ def test_types_met_before_are_looked_up_once(spark, monkeypatch):
     known = spark.createDataFrame([("b", 4), ("a", 6), ("z", 9)], "ext_id string, type_id long")
     got = sorted(map(tuple, ty.number_types(nodes, known).collect()), key=str)
     assert got == [("a", 4), ("b", 4), ("d", 11), ("e", 10), (None, 12)] and ["component", "_old"] in written
+
+
+def test_search_keeps_only_its_hits(spark):
+    """What was looked up by id and by prefix goes when the hits are written."""
+    genes = spark.createDataFrame([(1, "H", "ABC", "11", "ENSG1", "old; abc2"), (2, "M", "XYZ", None, "ENSG2", "abc2")],
+                                  "gene_key long, specie string, gene_symbol string, gene_geneid_id string, gene_ensembl_id string, synonyms string")
+    tx = spark.createDataFrame([("NM_1.1", "ENST1.1", "11", "ENSG1"), ("NM_12.1", None, None, "ENSG2")],
+                               "transcript_refseq_id string, transcript_ensembl_id string, gene_geneid_id string, gene_ensembl_id string")
+    tx = tx.withColumns({"protein_refseq_id": F.lit(None).cast("string"), "protein_ensembl_id": F.lit(None).cast("string")})
+    terms = spark.createDataFrame([("abc2", "M"), ("nm_1", "all"), ("ENST1.1", "M"), ("nm_1.1", None), ("nm_1", "H")], "term string, species string")
+    wanted = {
+        False: {("abc2", "M", 4, 2), ("nm_1", "all", 3, 1), ("nm_1", "all", 3, 2), ("nm_1", "H", 3, 1), ("nm_1.1", None, 2, 1)},
+        True: {("abc2", "M", 4, 2), ("nm_1", "all", 3, 1), ("nm_1", "all", 3, 2), ("nm_1", "H", 3, 1), ("nm_1.1", None, 2, 1)},
+    }
+    for first, rows in wanted.items():
+        before = staged_folders(spark)
+        found = se.search(terms, genes, tx, species_first=first)
+        assert len(staged_folders(spark) - before) == 1
+        assert {(r["term"], r["species"], r["tier"], r["gene_key"]) for r in found.collect()} == rows and found.count() == len(rows)
+    before = staged_folders(spark)
+    assert se.find_genes(terms, genes, tx).filter("term = 'nm_1'").count() == 2 and len(staged_folders(spark) - before) == 1
